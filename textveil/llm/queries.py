@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textveil.llm import bpe
 from textveil.llm.common import documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -12,7 +14,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, digests=True)
+
+
+QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textveil.llm import bpe
+from textveil.llm import bpe, packing
 from textveil.llm.common import documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -19,7 +19,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op8_packing": op8_packing,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textveil.llm import bpe, packing
-from textveil.llm.common import documents
+from textveil.llm import bpe, language, packing
+from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 
 
@@ -14,6 +14,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, digests=True)
@@ -24,6 +30,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language": op3_language,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,

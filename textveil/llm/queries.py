@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textveil.llm import bpe, language, packing
+from textveil.llm import bpe, language, packing, pii
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -14,6 +15,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the base spans; spans lists these and the disguised ones."""
+    listed = "concat_ws(',', transform({}, x -> concat_ws(':', x.kind, x.start, x.end)))"
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
+    digest = F.sha2(F.expr(listed.format("base")).cast("binary"), 256).alias("base_sha256")
+    return pii.find(documents(spark, sf_dir)).select("doc_id", *counts, digest, F.expr(listed.format("spans")).alias("spans"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language.predict(docs, language.train(docs))
@@ -30,6 +39,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_language": op3_language,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_packing": op8_packing,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, language, packing, pii
+from textveil.llm import bpe, language, packing, pii, simhash
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -23,6 +23,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir)).select("doc_id", *counts, digest, F.expr(listed.format("spans")).alias("spans"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = language.predict(docs, language.train(docs))
@@ -40,6 +44,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_packing": op8_packing,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, language, packing, pii, simhash
+from textveil.llm import bpe, language, packing, pii, quality, simhash
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -38,6 +38,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trusted target: labelled rows of quality 1."""
+    docs = documents(spark, sf_dir)
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return quality.judge(docs, quality.log_ratios(docs, trusted))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +54,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality": op6_quality,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }

@@ -34,7 +34,7 @@ def exact_groups(docs: DataFrame, first_width: int = FIRST_WIDTH, widening: int
         repeated = keyed.groupBy("gid", "piece").count().where("count > 1").select("gid", "piece", F.monotonically_increasing_id().alias("next"))
         repeated = durable(repeated, f"radix-groups-{level}")
         ended = F.octet_length("piece") < width
-        labelled = keyed.join(repeated, ["gid", "piece"], "left")
+        labelled = keyed.join(repeated.hint("merge"), ["gid", "piece"], "left")  # of unknown size: never broadcast
         open_ = F.col("next").isNotNull() & ~ended
         level_rows = durable(
             labelled.select(

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, language, packing, pii, quality, simhash
+from textveil.llm import bpe, language, packing, pii, quality, simhash, toxicity
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -33,6 +33,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out, predicted = (crc_mod("doc_id", 5) == 0).alias("held_out"), (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", predicted)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, digests=True)
@@ -53,6 +60,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, language, packing, pii, quality, simhash, toxicity
+from textveil.llm import bpe, language, lm, packing, pii, quality, repeats, simhash, toxicity
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 
@@ -52,10 +52,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.log_ratios(docs, trusted))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = (crc_mod("doc_id", 10) == 0).alias("held_out")
+    return lm.score(docs, lm.split(docs)[0]).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.expr("aggregate(spans, 0L, (sum, x) -> sum + x.end - x.start)").alias("n_removed")
+    found = repeats.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -63,8 +75,10 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL = {

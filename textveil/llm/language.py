@@ -101,6 +101,20 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return fit(rows)
 
 
+def _predicted(known: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Language and score of each text; `und` and 0 without a letter."""
+    named, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lettered = [k for k, t in enumerate(texts) if known.languages and any(map(str.isalpha, t))]
+    if lettered:
+        outputs = known.scores([texts[k] for k in lettered])
+        shares = np.exp(SHARPNESS * (outputs - outputs.max(1, keepdims=True)).astype(np.float64))
+        shares /= shares.sum(1, keepdims=True)
+        for k, share in zip(lettered, shares, strict=True):
+            best = int(share.argmax())
+            named[k], sure[k] = known.languages[best], min(1.0, float(share[best]))
+    return named, sure
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs.
 
@@ -111,21 +125,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                named, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                lettered = [k for k, t in enumerate(texts) if known.languages and any(map(str.isalpha, t))]
-                if lettered:
-                    outputs = known.scores([texts[k] for k in lettered])
-                    shares = np.exp(SHARPNESS * (outputs - outputs.max(1, keepdims=True)).astype(np.float64))
-                    shares /= shares.sum(1, keepdims=True)
-                    for k, share in zip(lettered, shares, strict=True):
-                        best = int(share.argmax())
-                        named[k], sure[k] = known.languages[best], min(1.0, float(share[best]))
+                named, sure = _predicted(shared.value, [t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column("doc_id"), pa.array(named, pa.string()), pa.array(sure, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(work, "doc_id long, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs, all columns as they are, whose text has a predicted language; `und` ones go. No shuffle."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                named, _ = _predicted(shared.value, [t or "" for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([n != UNKNOWN for n in named], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -1,0 +1,284 @@
+"""The named queries over the driver tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textveil.functions import dates, labels, spans
+from textveil.functions.patterns import PATTERNS
+from textveil.operators import bio, latency, masking, restore, scoring
+from textveil.sources import synthetic
+from textveil.sources import text as texts
+from textveil.sources.notes import SURNAMES, notes
+
+SECRET, DAYS = "example secret", 10
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+
+
+def flat(df: DataFrame, column: str = "spans", *keys: str) -> DataFrame:
+    """A row for each span, with its part of the text."""
+    # inline_outer: for inline the optimiser would compute the whole array a second time, in a filter on its size
+    rows = df.select(*keys, "doc_id", "text", F.inline_outer(column)).where("label is not null")
+    return rows.select(*keys, "doc_id", *(F.col(c).cast("long") for c in ("s", "e")), "label", F.expr("substring(text, s + 1, e - s)").alias("part"))
+
+
+def source(table: str) -> Query:
+    return {"documents": documents, "notes": notes}[table]
+
+
+def label_spans(pattern: str, table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of one grammar, before other grammars claim characters."""
+    rows = source(table)(spark, sf_dir).withColumn("spans", spans.candidates("text", {pattern}))
+    return flat(rows.withColumn("spans", F.expr("transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label))")))
+
+
+def detect_all(table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(spans.with_spans(source(table)(spark, sf_dir)))
+
+
+def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return flat(spans.with_spans(pages))
+
+
+def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that lost their characters, counted by label and prio."""
+    staged = notes(spark, sf_dir).withColumn("found", spans.candidates("text")).withColumn("won", spans.claim("found"))
+    lost = F.expr("filter(found, c -> not exists(won, w -> w.s = c.s and w.e = c.e and w.label = c.label))")
+    return staged.select(F.inline_outer(lost)).where("label is not null").groupBy("label").agg(F.count("*").alias("lost"))
+
+
+def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = documents(spark, sf_dir).select("text").unionByName(notes(spark, sf_dir).select("text"))
+    return spans.with_spans(every).select(F.inline_outer("spans")).where("label is not null").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("s")).alias("chars"))
+
+
+def docs_with_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.with_spans(documents(spark, sf_dir))
+    return found.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.size("spans") > 0).alias("with_identifiers"))
+
+
+def doc_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", dates.keyed_shift(F.col("doc_id"), SECRET).cast("long").alias("days"))
+
+
+def date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flat(spans.with_spans(notes(spark, sf_dir))).where("label = 'DATE'")
+    return rows.select("doc_id", "s", "part", F.expr(f"cast({dates.parsed('part')} as string)").alias("day"), F.expr(dates.shifted("part", str(DAYS))).alias("moved"))
+
+
+def date_interval_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days between the first and last readable date of a note, before and after a keyed shift."""
+    rows = flat(spans.with_spans(notes(spark, sf_dir))).where("label = 'DATE'").withColumn("shift", dates.keyed_shift(F.col("doc_id"), SECRET))
+    both = rows.select("doc_id", F.expr(dates.parsed("part")).alias("a"), F.expr(dates.shifted("part", "shift")).alias("moved"))
+    both = both.select("doc_id", "a", F.expr(dates.parsed("moved")).alias("b")).where("a is not null and b is not null")
+    gap = lambda c: F.datediff(F.max(c), F.min(c)).cast("long")
+    return both.groupBy("doc_id").agg(gap("a").alias("days_before"), gap("b").alias("days_after"))
+
+
+def _masked(table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.mask(spans.with_spans(source(table)(spark, sf_dir)).withColumn("shift", F.lit(DAYS)))
+
+
+def mask_table(table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(table, spark, sf_dir).select("doc_id", "masked")
+
+
+def mask_selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.selfcheck(_masked("notes", spark, sf_dir)).select("doc_id", "masked", F.size("leaks").cast("long").alias("leaks"))
+
+
+def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.mapping(_masked("notes", spark, sf_dir), "doc_id").withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+def pseudonym_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _masked("notes", spark, sf_dir).select("doc_id", F.inline_outer("items")).where("m like '[%'")
+    return rows.select("doc_id", F.col("s").cast("long").alias("s"), "label", F.col("m").alias("token"))
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked notes as responses; in every seventh the first pseudonyms are replaced by ones that no mapping knows."""
+    done = _masked("notes", spark, sf_dir)
+    swapped = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("masked", "_1\\]", "_91]")).otherwise(F.col("masked"))
+    return done.select("doc_id", swapped.alias("response"), F.expr("""transform(array_distinct(transform(filter(items, x -> x.mapped), x -> x.m)), (m, i) ->
+        named_struct('ordinal', i, 'masked', m, 'original', element_at(filter(items, x -> x.mapped and x.m = m), -1).o))""").alias("entries"))
+
+
+def rehydrate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir).select("doc_id", restore.rehydrated().alias("restored"))
+
+
+def rehydrate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answered(spark, sf_dir).select("doc_id", F.posexplode(restore.warnings()).alias("place", "token"))
+    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "token")
+
+
+def roundtrip_dry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked("notes", spark, sf_dir).select("doc_id", restore.dry_run(restore.prompt("masked", F.lit(texts.QUESTION))).alias("response"))
+
+
+def _surname_spans(docs: DataFrame) -> DataFrame:
+    """A stand-in for a model: doctors with a known surname, and the countries that name a note's source."""
+    doctor = spans.matches("text", r"Dr\. (?:" + "|".join(SURNAMES) + ")")
+    place = "if(instr(text, source) > 0, array(named_struct('s', instr(text, source) - 1, 'm', source)), cast(array() as array<struct<s: int, m: string>>))"
+    shaped = "transform({}, x -> named_struct('s', x.s, 'e', x.s + length(x.m), 'label', '{}'))"
+    return docs.withColumn("model", F.expr(f"concat({shaped.format(doctor, 'NAME')}, {shaped.format(place, 'LOCATION')})"))
+
+
+def _detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = _surname_spans(spans.with_spans(notes(spark, sf_dir))).withColumn("ensemble", spans.ensemble("spans", "model"))
+    return staged
+
+
+def ensemble_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(_detectors(spark, sf_dir), "ensemble")
+
+
+def normalise_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign labels of the same spans, renamed by a join with the fixed table; those without a name of ours go."""
+    back = {ours: theirs for theirs, ours in labels.FOREIGN.items()} | {"MRN": "MEDICAL_RECORD", "AGE": "AGE"}
+    foreign = F.create_map(*(F.lit(x) for pair in back.items() for x in pair))
+    rows = flat(spans.with_spans(notes(spark, sf_dir))).select("doc_id", "s", F.coalesce(F.try_element_at(foreign, F.col("label")), F.lit("OTHER")).alias("foreign"))
+    table = spark.createDataFrame(list(labels.FOREIGN.items()), "foreign string, label string")
+    return rows.join(F.broadcast(table), "foreign").groupBy("foreign", "label").agg(F.count("*").alias("n"))  # ten rows
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of three detectors in one pass over the notes."""
+    staged = _detectors(spark, sf_dir)
+    stacked = staged.select("doc_id", "gold", F.expr("explode(array(named_struct('detector', 'regex', 'found', spans), named_struct('detector', 'model', 'found', model), named_struct('detector', 'ensemble', 'found', ensemble))) as d"))
+    both = stacked.select("doc_id", F.col("d.detector").alias("detector"), F.expr("array_distinct(d.found)").alias("found"), "gold")
+    listed = F.expr("""concat(transform(found, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'kind', if(exists(gold, g -> g = x), 'tp', 'fp'))),
+        transform(filter(gold, g -> not exists(found, x -> x = g)), x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'kind', 'fn')))""")
+    return both.select("detector", "doc_id", F.inline_outer(listed)).where("label is not null")
+
+
+def _tidy(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def score_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(scoring.overall(_scored(spark, sf_dir), ("detector",)))
+
+
+def score_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(scoring.per_label(_scored(spark, sf_dir), ("detector",)))
+
+
+def score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern detector's, by the table form of the scorer."""
+    staged = spans.with_spans(notes(spark, sf_dir))
+    return _tidy(scoring.overall(scoring.verdicts(*(staged.select("doc_id", F.inline_outer(c)).where("label is not null") for c in ("spans", "gold")))))
+
+
+def score_leak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(scoring.leak_rate(_scored(spark, sf_dir).where("detector = 'regex'"), notes(spark, sf_dir)))
+
+
+def missed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report: the first eight."""
+    found = scoring.missed(_scored(spark, sf_dir).where("detector = 'regex'"), notes(spark, sf_dir))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("s", "e")})
+
+
+def gold_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(texts.gold(spark), "entities")
+
+
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(latency.summary(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value"))
+
+
+def _numbered(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select("doc_id", F.posexplode_outer(column).alias("ordinal", "g")).where("g is not null").select("doc_id", "ordinal", "g.*")
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = notes(spark, sf_dir)
+    gold = _numbered(rows, "gold")
+    return bio.align(bio.tokens(rows), gold)
+
+
+def bio_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pos", "ts", "te", "tag_id")), "tag")
+
+
+def bio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the tags of regex spans against those of gold tags."""
+    rows = spans.with_spans(notes(spark, sf_dir))
+    words = bio.tokens(rows)
+    tagged = [bio.decode(bio.align(words, _numbered(rows, c))) for c in ("spans", "gold")]
+    return _tidy(scoring.overall(scoring.verdicts(*tagged)))
+
+
+def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bio.class_weights(spark).withColumn("tag_id", F.col("tag_id").cast("long"))
+
+
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.createDataFrame([(1, 1.0, 0.61), (2, 2.0, 0.82), (3, 3.0, 0.87), (4, 4.0, 0.87), (5, 5.0, 0.85)], "ord int, epoch double, recall double")
+    return latency.best_epoch(log)
+
+
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with identifiers by role: a check that finds nothing if all is well."""
+    turns = spans.with_spans(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.size("spans") > 0).alias("with_hits"))
+
+
+def synth_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic notes of both pools, with how often each label stands in them."""
+    both = [synthetic.generate(spark, 2000, split=s).withColumn("split", F.lit(s)) for s in ("train", "eval")]
+    return both[0].unionByName(both[1]).select("split", "doc_id", "template_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
+def synth_label_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [synthetic.generate(spark, 2000, split=s).withColumn("split", F.lit(s)) for s in ("train", "eval")]
+    return both[0].unionByName(both[1]).select("split", F.inline("entities")).groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Query] = {
+    **{f"spans_{p.label.lower()}": partial(label_spans, p.label, "documents" if p.label in ("EMAIL", "IP") else "notes") for p in PATTERNS},
+    "detect_all_documents": partial(detect_all, "documents"),
+    "detect_all_notes": partial(detect_all, "notes"),
+    "detect_pages": detect_pages,
+    "claim_conflicts": claim_conflicts,
+    "label_histogram": label_histogram,
+    "docs_with_identifiers_by_lang": docs_with_identifiers,
+    "doc_shift": doc_shift,
+    "date_shift": date_shift,
+    "date_interval_preserved": date_interval_preserved,
+    "mask_documents": partial(mask_table, "documents"),
+    "mask_notes": partial(mask_table, "notes"),
+    "mask_notes_selfcheck": mask_selfcheck,
+    "mapping_table": mapping_table,
+    "pseudonym_ids": pseudonym_ids,
+    "rehydrate_notes": rehydrate_notes,
+    "rehydrate_warnings": rehydrate_warnings,
+    "roundtrip_dry": roundtrip_dry,
+    "ensemble_spans": ensemble_spans,
+    "normalise_labels": normalise_labels,
+    "score_overall": score_overall,
+    "score_by_detector": score_by_detector,
+    "score_per_label": score_per_label,
+    "score_leak_rate": score_leak_rate,
+    "missed_sample": missed_sample,
+    "gold_locate": gold_locate,
+    "latency_percentiles": latency_percentiles,
+    "bio_align": bio_align,
+    "bio_metrics": bio_metrics,
+    "class_weights": class_weights,
+    "best_epoch": best_epoch,
+    "leak_scan_conversations": leak_scan,
+    "synth_notes": synth_notes,
+    "synth_label_support": synth_label_support,
+}

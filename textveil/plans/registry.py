@@ -1,4 +1,6 @@
 """Named queries over the driver tables and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from textveil.plans.oracle import ORACLE_SQL
+from textveil.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

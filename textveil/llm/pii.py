@@ -200,7 +200,7 @@ TRANSDUCERS: tuple[Callable[[Tape], None], ...] = (fold, undisguise, spell_out,
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans: the base ones and those of the normalised text that touch none of their kind."""
+    """Base spans, and all spans: the base ones, and those of the normalised text that touch none of their kind or go beyond."""
     base = base_spans(text)
     tape = Tape(text)
     for step in TRANSDUCERS:
@@ -210,7 +210,9 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     every = list(base)
     for kind, start, end in base_spans(tape.text):
         s, e = tape.starts[start], tape.ends[end - 1]
-        if not any(k == kind and s < b and a < e for k, a, b in base):
+        touched = [(a, b) for k, a, b in base if k == kind and s < b and a < e]
+        # One that reaches beyond a plain match is told from a chance join by having no blank in it.
+        if not touched or not any(a <= s and e <= b for a, b in touched) and not re.search(r"\s", text[s:e]):
             every.append((kind, s, e))
     return base, sorted(every, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -84,11 +84,13 @@ class Codec:
             else:
                 fresh.append(piece)
         self._learn(fresh)
-        for pieces in cut:
-            yield list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        for piece in fresh:
-            if len(piece) > MEMO_CHARS:
-                del memo[piece]
+        try:
+            for pieces in cut:
+                yield list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        finally:
+            for piece in fresh:
+                if len(piece) > MEMO_CHARS:
+                    del memo[piece]
 
     def _learn(self, fresh: list[str]) -> None:
         """Encode pieces: those that open with a blank as one long text, which the pattern cuts at each blank again."""
@@ -131,6 +133,12 @@ class Codec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(spec: str) -> Codec:
+    """The codec of a worker process: what it remembers outlives a task."""
+    return Codec(spec)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = True, digests: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, ids and, as asked for, byte_starts, char_starts (per token) and digests.
 
@@ -141,7 +149,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = True,
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>" + ", byte_starts array<int>, char_starts array<int>" * offsets
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec.value)
+        codec = codec_of(spec.value)
         decimal = list(map(str, range(len(codec.token_bytes))))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -168,7 +176,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     spec = tokens.sparkSession.sparkContext.broadcast(tokenizer_json(ranks_path, pattern))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec.value)
+        codec = codec_of(spec.value)
         for batch in batches:
             texts = [codec.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ CAPACITY, END_ID = 4096, 1
 #: Rounds of the price updates, their strength, and how near the dearest a configuration must come.
 ROUNDS, STRENGTH, NEAR = 40, 1.0, 0.02
 #: Pieces of text remembered in each of two generations of a worker, and the longest that stay.
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 50_000
 #: Python's str.split takes these four for white space, the tokenizer's pattern doesn't (fixed values).
@@ -61,12 +62,13 @@ class Encoder:
             else:
                 fresh.append(word)
         self._learn(fresh)
-        for words in cut:
-            yield b"".join(map(memo.__getitem__, words))
-        for word in fresh:
-            if len(word) > MEMO_CHARS:
-                del memo[word]
-
+        try:
+            for words in cut:
+                yield b"".join(map(memo.__getitem__, words))
+        finally:
+            for word in fresh:
+                if len(word) > MEMO_CHARS:
+                    del memo[word]
 
     def _learn(self, fresh: list[str]) -> None:
         memo, older, halves, rest, parts = self.memo, self.older, [], [], set()
@@ -100,12 +102,18 @@ class Encoder:
         return found
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process: what it remembers outlives a task."""
+    return Encoder(path)
+
+
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece of every row; a null text has the end id alone."""
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -135,6 +135,20 @@ def test_lm_base_and_score(spark, sample):
     assert none.where("n_known > 0").isEmpty()
 
 
+def test_lm_filter_beyond_broadcast(spark, sample, monkeypatch):
+    """However small the broadcast may be, no n-gram is dropped and the scores are the same."""
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)
+    train = lm.split(sample)[0]
+    want = sorted(lm.score(sample, train).collect(), key=key)
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 13)
+    monkeypatch.setattr(lm, "build", None)
+    for log in (lm.SEGMENT_LOG, 9):  # 9: more segments than the least
+        monkeypatch.setattr(lm, "SEGMENT_LOG", log)
+        got = sorted(lm.score(sample, train).collect(), key=key)
+        assert [(r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in got] == [(r.doc_id, r.n_tokens, r.n_known, pytest.approx(r.base_score)) for r in want]
+        assert [r.score for r in got] == pytest.approx([r.score for r in want], rel=1e-9 if log > 9 else 0.1)  # other segments: other false hits
+
+
 def test_bloom_counts():
     import numpy as np
 

@@ -2,9 +2,10 @@
 
 Words and word pairs of the training texts are counted, counts are quantised on a logarithmic scale, and a filter holds an
 n-gram once for every step of its count (Talbot and Osborne, 2007): a probe for step 1, 2, 3 ... answers until one fails.
-The filter is cut into segments; an n-gram's bits lie in one of them, so tasks build segments apart and the driver only
-strings them together. Its size follows the training tokens up to MAX_BITS, which bounds what is broadcast; beyond that,
-pairs seen less than tokens / (MAX_BITS / 4) times are not held, so that at most MAX_BITS / 4 can be.
+The filter is cut into segments; an n-gram's bits lie in one of them, so tasks build segments apart. Its size follows the
+training tokens, and every n-gram is held whatever its count. Up to MAX_BITS the driver strings the segments together and
+broadcasts them; a larger filter stays in Spark as rows of segments, and the n-grams of blocks of texts are sent to them.
+Both ways probe the same bits, so they give the same scores.
 
 A pair's probability mixes its count with the word's own: (c(v w) - D + K p(w)) / (c(v) + K), all counts by probes. The
 exact unigram base score is apart: commonest words from a table of bounded size, all others by a join on the word.
@@ -12,11 +13,12 @@ exact unigram base score is apart: commonest words from a table of bounded size,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -26,6 +28,8 @@ from textveil.llm.repeats import slices
 
 #: Bounds of the filter, its segments, bits for each training token, and hash functions of the first and later steps.
 MIN_BITS, MAX_BITS, SEGMENTS, BITS_A_TOKEN, FIRST, LATER = 1 << 20, 1 << 29, 1 << 10, 8, 4, 2
+#: Binary logarithm of the most bits of a segment (larger filters have more segments), and bytes of an n-gram within one.
+SEGMENT_LOG, LOW = 24, 5
 #: Steps of the scale that double a count.
 STEPS = 2
 #: Words whose exact counts are broadcast.
@@ -79,7 +83,7 @@ def value(levels: np.ndarray) -> np.ndarray:
 
 
 def _places(grams: np.ndarray, step: int, number: int, size: int) -> np.ndarray:
-    """Bit within its segment for each n-gram (its lower 48 bits)."""
+    """Bit within its segment for each n-gram (its low part)."""
     return _mix((grams + np.uint64(step * 16 + number)) * _A) & np.uint64(size - 1)
 
 
@@ -93,6 +97,42 @@ def segment(grams: np.ndarray, levels: np.ndarray, size: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def probe(bits: np.ndarray, base: np.ndarray, low: np.ndarray, size: int) -> np.ndarray:
+    """Steps held for each n-gram, by probes until one fails; base: the first bit of its segment."""
+    levels, alive, step = np.zeros(len(low), np.int64), np.arange(len(low)), 1
+    while len(alive) and step < 64 * STEPS:
+        for number in range(FIRST if step == 1 else LATER):
+            at = base[alive] + _places(low[alive], step, number, size)
+            alive = alive[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        levels[alive] = step
+        step += 1
+    return levels
+
+
+def geometry(total: int) -> tuple[int, int]:
+    """Bits of the filter, and how many leading bits of an n-gram name its segment. Both follow the training tokens alone."""
+    bits = max(MIN_BITS, 1 << (BITS_A_TOKEN * max(1, total) - 1).bit_length())
+    if 4 * total <= MAX_BITS:
+        bits = min(bits, MAX_BITS)
+    return bits, max(SEGMENTS.bit_length() - 1, bits.bit_length() - 1 - SEGMENT_LOG)
+
+
+def _low(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(6)) & np.uint64((1 << 8 * LOW) - 1)
+
+
+def _pack(grams: np.ndarray) -> np.ndarray:
+    """Low parts of n-grams, a row of LOW bytes each."""
+    return np.ascontiguousarray(_low(grams).view(np.uint8).reshape(-1, 8)[:, :LOW])
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    low = np.frombuffer(packed, np.uint8).reshape(-1, LOW)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :LOW] = low
+    return wide.view("<u8").reshape(-1).astype(np.uint64)
+
+
 @dataclass
 class LogFilter:
     bits: np.ndarray  # bytes of all segments
@@ -100,31 +140,29 @@ class LogFilter:
     distinct: int
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Quantised counts of n-gram hashes, by probes until one fails."""
+        """Quantised counts of n-gram hashes."""
         size = 8 * len(self.bits) // SEGMENTS
-        base, low = (grams >> np.uint64(54)) * np.uint64(size), (grams >> np.uint64(6)) & np.uint64((1 << 48) - 1)
-        levels, alive, step = np.zeros(len(grams), np.int64), np.arange(len(grams)), 1
-        while len(alive) and step < 64 * STEPS:
-            for number in range(FIRST if step == 1 else LATER):
-                at = base[alive] + _places(low[alive], step, number, size)
-                alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-            levels[alive] = step
-            step += 1
-        return value(levels)
-
-    def log10(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of every text."""
-        single = self.counts(_mix(hashes))
-        own = (single + ADDED) / (self.total + ADDED * (self.distinct + 1))
-        before, pair = pairs(hashes, ids, sizes)
-        context = np.empty(len(ids))
-        context[1:] = single[ids[:-1]]
-        firsts = np.cumsum(sizes) - sizes
-        context[firsts] = self.counts(_mix(np.full(1, _START)))[0] if len(firsts) else 0
-        distinct, back = np.unique(pair, return_inverse=True)
-        seen = np.minimum(self.counts(distinct)[back], context)
-        p = (np.maximum(seen - DISCOUNT, 0) + PRIOR * own[ids]) / (context + PRIOR)
-        return np.add.reduceat(np.log10(p), firsts) if len(firsts) else np.zeros(0)
+        return value(probe(self.bits, (grams >> np.uint64(65 - SEGMENTS.bit_length())) * np.uint64(size), _low(grams), size))
+
+
+def asked(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All n-grams whose counts log10 needs, in order."""
+    return np.unique(np.concatenate((pairs(hashes, ids, sizes)[1], _mix(hashes), _mix(np.full(1, _START)))))
+
+
+def log10(counts: Callable[[np.ndarray], np.ndarray], total: int, distinct: int, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of every text, from quantised counts of n-grams."""
+    single = counts(_mix(hashes))
+    own = (single + ADDED) / (total + ADDED * (distinct + 1))
+    _, pair = pairs(hashes, ids, sizes)
+    context = np.empty(len(ids))
+    context[1:] = single[ids[:-1]]
+    firsts = np.cumsum(sizes) - sizes
+    context[firsts] = counts(_mix(np.full(1, _START)))[0] if len(firsts) else 0
+    grams, back = np.unique(pair, return_inverse=True)
+    seen = np.minimum(counts(grams)[back], context)
+    p = (np.maximum(seen - DISCOUNT, 0) + PRIOR * own[ids]) / (context + PRIOR)
+    return np.add.reduceat(np.log10(p), firsts) if len(firsts) else np.zeros(0)
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
@@ -144,15 +182,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _bodies(docs).mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
-    """The filter of all words and pairs of docs. What comes to the driver is the filter, of MAX_BITS at most.
+def segments(docs: DataFrame, bits: int, lead: int) -> DataFrame:
+    """segment and bits: the filter of all words and pairs of docs, whatever their counts.
 
     Tasks send their counts packed, a row for each part of the n-gram space; parts grow in number with the shuffle.
     """
-    spark = docs.sparkSession
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_TOKEN * max(1, total) - 1).bit_length()))
-    least = max(1, -(-4 * total // MAX_BITS))
-    fine = max(0, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // SEGMENTS).bit_length())
+    fine = max(0, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) >> lead).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +197,8 @@ def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
                     continue
                 starts = np.full(len(sizes), _mix(np.full(1, _START))[0])
                 grams, n = np.unique(np.concatenate((pairs(hashes, ids, sizes)[1], _mix(hashes)[ids], starts)), return_counts=True)
-                edges = np.searchsorted(grams >> np.uint64(54 - fine), np.arange((SEGMENTS << fine) + 1, dtype=np.uint64))
-                low = np.ascontiguousarray(((grams >> np.uint64(6)) & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6])
+                edges = np.searchsorted(grams >> np.uint64(64 - lead - fine), np.arange((1 << lead + fine) + 1, dtype=np.uint64))
+                low = _pack(grams)
                 n = n.astype("<u4")
                 used = np.flatnonzero(np.diff(edges))
                 packed = [[x[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()] for x in (low, n)]
@@ -171,16 +206,13 @@ def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(part: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            low = np.frombuffer(b"".join(x[0] for x in held), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(low), 8), np.uint8)
-            wide[:, :6] = low
-            grams = wide.view("<u8").reshape(-1).astype(np.uint64)
+            grams = _unpack(b"".join(x[0] for x in held))
             order = np.argsort(grams, kind="stable")
             grams = grams[order]
             n = np.frombuffer(b"".join(x[1] for x in held), "<u4").astype(np.int64)[order]
             first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
             grams, n = grams[first], np.add.reduceat(n, first)
-            made = segment(grams[n >= least], level(n[n >= least]), bits // SEGMENTS)
+            made = segment(grams, level(n), bits >> lead)
             return pa.RecordBatch.from_arrays([pa.array([part >> fine], pa.int32()), pa.array([made], pa.binary())], ["segment", "bits"])
 
         last, held = -1, []
@@ -207,16 +239,111 @@ def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
             yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([made.tobytes()], pa.binary())], ["segment", "bits"])
 
     packed = _bodies(docs).mapInArrow(count, "part int, grams binary, counts binary").repartition("part").sortWithinPartitions("part")
-    segments = packed.mapInArrow(merge, "segment int, bits binary")
-    if fine:
-        segments = segments.repartition("segment").sortWithinPartitions("segment").mapInArrow(unite, "segment int, bits binary")
-    out = np.zeros((SEGMENTS, bits // SEGMENTS // 8), np.uint8)
-    table = segments.toArrow()
+    made = packed.mapInArrow(merge, "segment int, bits binary")
+    return made.repartition("segment").sortWithinPartitions("segment").mapInArrow(unite, "segment int, bits binary") if fine else made
+
+
+def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
+    """The whole filter; only for such as have MAX_BITS at most."""
+    bits, lead = geometry(total)
+    out = np.zeros((1 << lead, bits >> lead + 3), np.uint8)
+    table = segments(docs, bits, lead).toArrow()
     for number, made in zip(table.column("segment").to_pylist(), table.column("bits"), strict=True):
         out[number] = np.frombuffer(made.as_buffer(), np.uint8)
     return LogFilter(out.reshape(-1), total, distinct)
 
 
+def answers(whole: DataFrame, held: DataFrame, bits: int, lead: int) -> DataFrame:
+    """block, segment and levels (a byte each) of the n-grams that blocks of texts ask for, in order within a segment."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches):
+            grams = asked(*tokens(part.column("body").to_pylist()))
+            edges = np.searchsorted(grams >> np.uint64(64 - lead), np.arange((1 << lead) + 1, dtype=np.uint64))
+            low, used = _pack(grams), np.flatnonzero(np.diff(edges))
+            packed = [low[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), block)), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["block", "segment", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle() -> pa.RecordBatch:
+            low = _unpack(b"".join(x for _, x in waiting))
+            found = probe(filled, np.zeros(len(low), np.uint64), low, bits >> lead).astype(np.uint8)
+            ends = np.cumsum([len(x) // LOW for _, x in waiting])[:-1]
+            parts = [x.tobytes() for x in np.split(found, ends)]
+            blocks = pa.array([b for b, _ in waiting], pa.int64())
+            return pa.RecordBatch.from_arrays([blocks, pa.array(np.full(len(parts), last, np.int32)), pa.array(parts, pa.binary())], ["block", "segment", "levels"])
+
+        none = np.zeros(bits >> lead + 3, np.uint8)
+        last, filled, waiting, size = -1, none, [], 0
+        for batch in batches:
+            for block, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and (number != last or size > TEXT_BYTES):
+                    yield settle()
+                    waiting, size = [], 0
+                if number != last:
+                    last, filled = number, none
+                if block < 0:  # the segment itself comes before what is asked of it
+                    filled = np.frombuffer(data, np.uint8)
+                else:
+                    waiting.append((block, data))
+                    size += len(data)
+        if waiting:
+            yield settle()
+
+    both = whole.mapInArrow(ask, "block long, segment int, data binary").unionByName(held.select(F.lit(-1).cast("long").alias("block"), "segment", F.col("bits").alias("data")))
+    return both.repartition("segment").sortWithinPartitions("segment", "block").mapInArrow(answer, "block long, segment int, levels binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of texts, each with the number of its first row."""
+    for batch in batches:
+        for part in slices(batch, size=TEXT_BYTES):
+            yield part.column("row")[0].as_py(), part
+
+
+def answered(whole: DataFrame, held: DataFrame, bits: int, lead: int) -> DataFrame:
+    """The texts and the answers to their n-grams, block by block, in order within partitions."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), *part.columns], ["block", *part.schema.names])
+
+    texts = whole.mapInArrow(place, "block long, row long, doc_id long, body binary")
+    both = texts.withColumn("segment", F.lit(-1)).unionByName(answers(whole, held, bits, lead), allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "segment", "row")
+
+
+def _reunited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Callable[[np.ndarray], np.ndarray], tuple]]:
+    """Texts of each block, the counts of its n-grams, and its tokens."""
+
+    def settle(parts: list[pa.RecordBatch]) -> tuple[pa.Table, Callable[[np.ndarray], np.ndarray], tuple]:
+        table = pa.Table.from_batches(parts)
+        is_text = pc.is_null(table.column("levels"))
+        texts = table.filter(is_text)
+        known = tokens(texts.column("body").to_pylist())
+        grams = asked(*known)
+        levels = np.frombuffer(b"".join(table.filter(pc.invert(is_text)).column("levels").to_pylist()), np.uint8)
+        if len(levels) != len(grams):
+            raise ValueError(f"{len(levels)} answers for the {len(grams)} n-grams of a block: its rows came in another order when read again")
+        counts = value(levels.astype(np.int64))
+        return texts, lambda some: counts[np.searchsorted(grams, some)], known
+
+    last, held = None, []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if held and block[a] != last:
+                yield settle(held)
+                held = []
+            last = block[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield settle(held)
+
+
 def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
@@ -224,42 +351,55 @@ def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFra
     unknown. Repeated rows get equal scores (each is scored); extra columns are ignored.
     """
     spark = docs.sparkSession
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("body"))
     counts = durable(word_counts(training), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(build(training, total, distinct))
+    bits, lead = geometry(total)
+    small = bits <= MAX_BITS
+    if small:
+        model = spark.sparkContext.broadcast(build(training, total, distinct))
+    else:
+        source = answered(whole, durable(segments(training, bits, lead), "lm-segments"), bits, lead)
     top = counts.orderBy(F.desc("n"), "token").limit(common).toArrow()  # bounded by common
     known, n = (top.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(known)
     table = spark.sparkContext.broadcast((known[order], n[order]))
     norm = total + ADDED * (distinct + 1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(part: pa.RecordBatch | pa.Table, of: Callable[[np.ndarray], np.ndarray], known: tuple) -> Iterator[pa.RecordBatch]:
         names, amounts = table.value
-        for batch in batches:
-            for part in slices(batch, size=TEXT_BYTES):
-                hashes, ids, sizes = tokens(part.column("body").to_pylist())
-                rows = part.column("row").to_numpy(zero_copy_only=False)
-                signed = hashes.view(np.int64)
-                at = np.minimum(np.searchsorted(names, signed), max(0, len(names) - 1))
-                listed = names[at] == signed if len(names) else np.zeros(len(signed), bool)
-                logs = np.where(listed, np.log10((amounts[at] + ADDED) / norm) if len(names) else 0.0, 0.0)
-                firsts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-                base, known_ = np.add.reduceat(logs[ids], firsts), np.add.reduceat(listed[ids].astype(np.int64), firsts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.array(rows), pa.array(np.zeros(len(rows), np.int32)), pa.array(sizes), part.column("doc_id"), pa.array(known_), pa.array(base), pa.array(model.value.log10(hashes, ids, sizes))],
-                    FIELDS,
-                )
-                rare = np.flatnonzero(~listed[ids])
-                code, tf = np.unique(owner[rare] * len(hashes) + ids[rare], return_counts=True)
-                row, token = np.divmod(code, len(hashes))
-                empty = pa.nulls(len(code), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[row]), pa.array(signed[token]), pa.array(np.ones(len(code), np.int32)), pa.array(tf), empty, empty, empty.cast(pa.float64()), empty.cast(pa.float64())],
-                    FIELDS,
-                )
-
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.encode(text_of(), "UTF-8").alias("body"))
-    found = whole.mapInArrow(work, "row long, token long, rare int, tokens long, doc_id long, known long, base double, score double")
+        hashes, ids, sizes = known
+        rows = part.column("row").to_numpy()
+        signed = hashes.view(np.int64)
+        at = np.minimum(np.searchsorted(names, signed), max(0, len(names) - 1))
+        listed = names[at] == signed if len(names) else np.zeros(len(signed), bool)
+        logs = np.where(listed, np.log10((amounts[at] + ADDED) / norm) if len(names) else 0.0, 0.0)
+        firsts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        base, known_ = np.add.reduceat(logs[ids], firsts), np.add.reduceat(listed[ids].astype(np.int64), firsts)
+        doc_id = pa.array(part.column("doc_id").to_pylist(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.array(rows), pa.array(np.zeros(len(rows), np.int32)), pa.array(sizes), doc_id, pa.array(known_), pa.array(base), pa.array(log10(of, total, distinct, *known))],
+            FIELDS,
+        )
+        rare = np.flatnonzero(~listed[ids])
+        code, tf = np.unique(owner[rare] * len(hashes) + ids[rare], return_counts=True)
+        row, token = np.divmod(code, len(hashes))
+        empty = pa.nulls(len(code), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[row]), pa.array(signed[token]), pa.array(np.ones(len(code), np.int32)), pa.array(tf), empty, empty, empty.cast(pa.float64()), empty.cast(pa.float64())],
+            FIELDS,
+        )
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _blocks(batches):
+            yield from rows_of(part, model.value.counts, tokens(part.column("body").to_pylist()))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, of, known in _reunited(batches):
+            yield from rows_of(part, of, known)
+
+    fields = "row long, token long, rare int, tokens long, doc_id long, known long, base double, score double"
+    found = whole.mapInArrow(probed, fields) if small else source.mapInArrow(joined, fields)
     looked = found.join(counts.select("token", F.lit(1).alias("rare"), "n").hint("merge"), ["token", "rare"], "left")
     rare = F.col("rare") == 1
     summed = looked.groupBy("row").agg(

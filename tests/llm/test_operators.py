@@ -259,6 +259,18 @@ def test_quality(spark, sample):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_sees_word_order(spark):
+    """A stutter of trusted words that the base rules pass."""
+    plain = "This is the first of many calm and sunny days that we have seen here this year".split()
+    good = [(k, " ".join(plain[k % 5 :] + plain[: k % 5])) for k in range(60)]
+    stutter = " ".join(w for w in plain for _ in range(2))
+    docs = spark.createDataFrame([*good, *((100 + k, stutter) for k in range(3))], "doc_id long, text string")
+    trusted = spark.createDataFrame([(k,) for k in range(60)], "doc_id long")
+    found = {r.doc_id: r for r in quality.judge(docs, quality.log_ratios(docs, trusted)).collect()}
+    assert all(found[k].kept for k in range(60))
+    assert not any(found[k].base_failed or found[k].kept for k in range(100, 103))
+
+
 def test_every_query_returns_every_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, query in queries.QUERIES.items():

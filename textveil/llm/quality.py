@@ -1,9 +1,10 @@
 """Quality rules with DataFrame functions alone.
 
 Base rules count words, characters, symbols, repeated lines and repeated five-word windows. The verdict of documents that
-pass them is a log-likelihood ratio: n-grams (words, and the last three characters of words, case kept) are hashed into a
-fixed number of cells; one multinomial over the cells comes from a trusted target, one from the raw corpus, and a
-document's mean log ratio per n-gram must reach a fixed threshold. Every document is judged by the same deterministic rule.
+pass them is a log-likelihood ratio: n-grams of two orders (words and the last three characters of words; pairs of words;
+case kept) are hashed into a fixed number of cells an order, all pairs of equal words into one; one multinomial over an
+order's cells comes from a trusted target, one from the raw corpus, and a document's mean log ratio per n-gram must reach
+a fixed threshold in both orders. Every document is judged by the same deterministic rule.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm.common import SPACE, text_of
 
-#: Cells of the hashed n-gram space, weight of a cell's prior count, and the lowest mean log ratio that is kept.
+#: Cells of each order's hashed n-gram space, weight of a cell's prior count, and the lowest mean log ratio that is kept.
 CELLS, PRIOR, THRESHOLD = 16384, 1.0, -0.5
 #: Bound of the trusted target: so many rows at most, chosen by a hash of their id.
 TARGET_ROWS = 20_000
@@ -30,8 +31,15 @@ def _cells(cells: int) -> Column:
                              transform(words, w -> cast(pmod(xxhash64(right(w, 3), 1), {cells}) as int)))""")
 
 
+def _pairs(cells: int) -> Column:
+    """Cells of a row's word pairs, which follow those of the words; a stutter is the same pair whatever its word."""
+    return F.expr(f"""if(size(words) < 2, cast(array() as array<int>),
+                     zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1),
+                              (a, b) -> cast({cells} + pmod(if(a = b, xxhash64(2), xxhash64(a, b, 2)), {cells}) as int)))""")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, prior: float = PRIOR, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row: weights, an array of log(target share / raw share) by cell.
+    """One row: weights, an array of log(target share / raw share) by cell, first of words, then of pairs.
 
     trusted: the ids (column doc_id) of trusted documents, of which at most target_rows are taken. The raw counts cover
     every document. Without documents or trusted ones all weights are equal, which then leaves the base rules alone.
@@ -39,19 +47,19 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, prior: f
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("target", F.lit(1))
     read = docs.select("doc_id", _words(text_of()).alias("words")).join(F.broadcast(chosen), "doc_id", "left")  # bounded by target_rows
-    grams = read.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(_cells(cells)).alias("cell"))
+    grams = read.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(F.concat(_cells(cells), _pairs(cells))).alias("cell"))
     counts = grams.groupBy("cell").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
-    every = docs.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").na.fill(0)
-    table = every.agg(F.array_sort(F.collect_list(F.struct("cell", "raw", "target"))).alias("t"), F.sum("raw").alias("r"), F.sum("target").alias("g"))
-    ratio = f"ln((x.target + {prior}) / (g + {prior * cells})) - ln((x.raw + {prior}) / (r + {prior * cells}))"
+    every = docs.sparkSession.range(2 * cells).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").na.fill(0)
+    table = every.agg(F.array_sort(F.collect_list(F.struct("cell", "raw", "target"))).alias("t"), *(F.sum(F.when((F.col("cell") >= cells) == pair, F.col(name))).alias(short) for name, short, pair in (("raw", "r", False), ("target", "g", False), ("raw", "r2", True), ("target", "g2", True))))
+    ratio = f"ln((x.target + {prior}) / (if(x.cell < {cells}, g, g2) + {prior * cells})) - ln((x.raw + {prior}) / (if(x.cell < {cells}, r, r2) + {prior * cells}))"
     return table.selectExpr(f"if(g = 0, transform(t, x -> 0D), transform(t, x -> cast({ratio} as double))) as weights")
 
 
 def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
-    Null and empty texts have no words and fail. score is the mean log ratio (0 without words). Windows are compared by
-    64-bit hashes of their words. Repeated rows get equal results; extra columns are ignored.
+    Null and empty texts have no words and fail. score is the mean log ratio (0 without n-grams). Windows are compared by
+    64-bit hashes of their words. The score is the lower of the two orders' means. Repeated rows get equal results; extra columns are ignored.
     """
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
@@ -59,7 +67,7 @@ def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: flo
     gets = ", ".join(f"get(words, i + {k})" for k in range(WINDOW))
     second = first.select(
         "doc_id", "n_symbols", F.size("words").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _cells(cells).alias("cells"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _cells(cells).alias("cells"), _pairs(cells).alias("pairs"),
         F.expr(f"if(size(words) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {WINDOW}), i -> xxhash64({gets})))").alias("windows"),
     )
     third = second.select(
@@ -70,7 +78,7 @@ def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: flo
     same = "array_sort(filter(transform(ordered, (e, k) -> if(e.h = get(ordered, k - 1).h or e.h = get(ordered, k + 1).h, e.i, -1)), i -> i >= 0))"
     fourth = third.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(f"if(size(ordered) = 0, cast(array() as array<int>), {same})").alias("at"),
-        F.expr("if(size(cells) = 0, 0D, aggregate(cells, 0D, (sum, c) -> sum + get(weights, c)) / size(cells))").alias("score"),
+        F.least(*(F.expr(f"if(size({x}) = 0, 0D, aggregate({x}, 0D, (sum, c) -> sum + get(weights, c)) / size({x}))") for x in ("cells", "pairs"))).alias("score"),
     )
     covered = f"aggregate(zip_with(at, slice(at, 2, size(at)), (a, b) -> least(coalesce(b - a, {WINDOW}), {WINDOW})), 0, (sum, n) -> sum + n)"
     counted = fourth.select(

@@ -214,6 +214,35 @@ def test_pii_disguises():
     assert parts("nothing at all. dot here") == set()
 
 
+def test_pii_more_disguises():
+    def parts(text):
+        return {(k, text[a:b]) for k, a, b in pii.spans(text)[1]}
+
+    for number in ("plus one.five.five.five.two.one.nine.four.four.seven.one", "+five,five,five,two,one,nine,four,four,seven,one"):
+        assert ("phone", number) in parts(f"call {number} please")
+    assert ("phone", "+1 double five five two one nine triple four one") in parts("call +1 double five five two one nine triple four one now")
+    assert ("phone", "+1 five fİve ſix two one nine four four one") in parts("call +1 five fİve ſix two one nine four four one now")
+    for letter in "αɑаᎪ":
+        assert ("email", f"m{letter}ry@example.org") in parts(f"see m{letter}ry@example.org now")
+    assert ("email", "saսl@exampӏe.org") in parts("see saսl@exampӏe.org now")
+    assert ("email", "jane (dot) roe@example.org") in parts("write jane (dot) roe@example.org now")
+    assert parts("the end . roe@example.org") == {("email", "roe@example.org")}
+    assert parts("at +1 555 123 4567 one of us") == {("phone", "+1 555 123 4567")}
+
+
+def test_pii_gate():
+    """The gate lets through every text in which a run with a digit spelled apart is found."""
+    import random
+
+    pick = random.Random(3)
+    some = ["five", "Zéro", "fünf", "ſix", "double", "7", "un", " ", " ", ",", ".", "-", "(", "dot", "—", "“", "x", "_"]
+    for _ in range(20_000):
+        text = "".join(pick.choices(some, k=12))
+        hit = any(pii.SPELLED_ONE.search(text, *m.span()) for m in pii.SPELLED_RUN.finditer(text))
+        assert not hit or pii.maybe_spelled(text), text
+        pii.spans(text)
+
+
 def test_pii_base(sample):
     docs = texts(sample)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -27,6 +27,12 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 # Letters of other scripts that look like ASCII ones, without width, and spelled digits.
 LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁɡһԛԝ", "ABESIJKMHOPCTYXaesijopcyxdghqw", strict=True))
 LOOKALIKES |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧορν", "ABEZHIKMNOPTYXopv", strict=True))
+LOOKALIKES |= dict(zip("αγικντυσορϲϳϱϒϹͿ", "ayikvtuoopcjpYCJ", strict=True))
+LOOKALIKES |= dict(zip("ӀӏѴѵҮүԌԚԜԀЗӠбЬ", "llVvYyGQWd336b", strict=True))
+LOOKALIKES |= dict(zip("ՕՍՏԼօսոհզգցյաք", "OUSLounhqqgjwf", strict=True))
+LOOKALIKES |= dict(zip("ɑɡɩɪʋɣʏɯᴄᴏᴠᴡᴢᴜꜱ", "agiiuyywcovwzus", strict=True))
+LOOKALIKES |= dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHiJKLMPRSTVWZ", strict=True))
+LOOKALIKES |= dict(zip("ⲞⲟⲢⲣⲤⲥⲦⲘⲚⲎⲔⲒⲬⲨⲂ", "OoPpCcTMNHKIXYB", strict=True))
 LOOKALIKES |= {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "．": ".", "＠": "@", "﹫": "@", "ı": "i", " ": " ", " ": " ", " ": " "}
 WIDTHLESS = frozenset("­​‌‍⁠﻿᠎‎‏")
 SPELLED = {
@@ -36,16 +42,19 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-_DIGIT = r"(?:[0-9]+|" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-SPELLED_ONE = re.compile(r"\b(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")\b", re.IGNORECASE)
-#: Three or more digits in a row, spelled ones among them, with light separators between; doubles and pluses count.
+TIMES = {"double": 2, "doble": 2, "triple": 3}
+_WORD, _TIMES = "|".join(sorted(SPELLED, key=len, reverse=True)), "|".join(TIMES)
+_DIGIT = rf"(?:(?:{_TIMES})[ -]+(?:[0-9]|{_WORD})|[0-9]+|{_WORD})"
+SPELLED_ONE = re.compile(rf"\b(?:(?P<times>{_TIMES})[ -]+(?P<of>[0-9]|{_WORD})|(?P<one>{_WORD}))\b", re.IGNORECASE)
+#: Three or more digits in a row, spelled ones among them, with light separators between; doubles, triples and pluses count.
 SPELLED_RUN = re.compile(
     rf"(?<![^\W_])(?:plus[ ]+)?\(?{_DIGIT}(?:\)?[ ,]*(?:[-.(]|\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b)?[ ]*\(?{_DIGIT}){{2,}}(?![^\W_])",
     re.IGNORECASE,
 )
-#: Words that can begin or end such a run, as they stand between blanks; runs joined by hyphens are looked for apart.
-SPELLED_FORMS = frozenset(a + word + z for word in SPELLED for a in ("", "(", "+") for z in ("", ",", ".", ")", ";", ":", "!", "?"))
-SPELLED_JOINED = re.compile(rf"(?:{'|'.join(SPELLED)})[-.](?:{'|'.join(SPELLED)})", re.IGNORECASE)
+#: What a text with such a run has between characters that are no ASCII letters.
+SPELLED_FORMS = frozenset(word.encode() for word in (*SPELLED, *TIMES) if word.isascii())
+SPELLED_OTHER = tuple(word for word in SPELLED if not word.isascii())
+LETTERS = bytes(c if 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 AT = r"(?:[ ]*[\[({<][ ]*(?:at|@|arroba|chez|ät)[ ]*[\])}>][ ]*|[ ]+(?:at|arroba)[ ]+|[ ]+@[ ]*|[ ]*@[ ]+|[ ]*[_-]at[_-][ ]*)"
 DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|\.|punkt|point|punto)[ ]*[\])}>][ ]*|[ ]+(?:dot|punkt|point|punto)[ ]+|[ ]+\.[ ]+|[ ]*[_-]dot[_-][ ]*)"
 #: A disguised address: local part, at, host, and dots; either sign may be plain, but not both.
@@ -176,16 +185,33 @@ def undisguise(tape: Tape) -> None:
         tape.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in DOT_IN_IP.finditer(tape.text) for d in DOT_ONE.finditer(m[0])])
 
 
+def _lower(text: str) -> str:
+    """In lower case; also the two letters that a pattern without case takes for s and i."""
+    return text.lower() if text.isascii() else text.replace("ſ", "s").replace("İ", "I").replace("ı", "i").lower()
+
+
+def maybe_spelled(text: str) -> bool:
+    """Whether any digit may be spelled out: true wherever SPELLED_RUN finds a spelled one that stands apart."""
+    low = _lower(text)
+    words = low.encode("utf-8", "surrogatepass").translate(LETTERS).split()
+    return not SPELLED_FORMS.isdisjoint(words) or not low.isascii() and any(w in low for w in SPELLED_OTHER)
+
+
+def _digits(m: re.Match) -> str:
+    one = _lower(m["one"] or m["of"])
+    return SPELLED.get(one, one) * TIMES.get(_lower(m["times"] or ""), 1)
+
+
 def spell_out(tape: Tape) -> None:
     """Runs of three or more digits, spelled ones among them, become digits; a dot spelled between them a dot."""
-    if SPELLED_FORMS.isdisjoint(tape.text.lower().split()) and not ("-" in tape.text and SPELLED_JOINED.search(tape.text)):
+    if not maybe_spelled(tape.text):
         return
     edits = []
     for m in SPELLED_RUN.finditer(tape.text):
         words = list(SPELLED_ONE.finditer(tape.text, *m.span()))
         if not words:
             continue
-        inner = [(w.start(), w.end(), SPELLED[w[0].lower()]) for w in words]
+        inner = [(w.start(), w.end(), _digits(w)) for w in words]
         inner += [(w.start(), w.end(), ".") for w in re.compile(r"[ ]*\b(?:dot|point|punkt|punto)\b[ ]*", re.IGNORECASE).finditer(tape.text, *m.span())]
         inner += [(w.start(), w.end(), "+") for w in re.compile(r"\bplus[ ]+", re.IGNORECASE).finditer(tape.text, *m.span())]
         # Blanks and commas between two spelled digits are part of the spelling; other commas and wide gaps are one blank.
@@ -196,6 +222,13 @@ def spell_out(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def disguised(tape: Tape, start: int, end: int, source: str) -> bool:
+    """Whether a match holds a sign that joins its parts on purpose: not a lone spaced dot, or one spelled digit beside a number."""
+    said = source[tape.starts[start] : tape.ends[end - 1]]
+    return bool(SIGN.search(said)) or len(SPELLED_ONE.findall(said)) > 1
+
+
+SIGN = re.compile(r"[\[({<][ ]*(?:at|@|arroba|chez|ät|dot|\.|punkt|point|punto)[ ]*[\])}>]|[_-](?:at|dot)[_-]|[ ]dot[ ]", re.IGNORECASE)
 TRANSDUCERS: tuple[Callable[[Tape], None], ...] = (fold, undisguise, spell_out, undisguise)
 
 
@@ -211,8 +244,9 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     for kind, start, end in base_spans(tape.text):
         s, e = tape.starts[start], tape.ends[end - 1]
         touched = [(a, b) for k, a, b in base if k == kind and s < b and a < e]
-        # One that reaches beyond a plain match is told from a chance join by having no blank in it.
-        if not touched or not any(a <= s and e <= b for a, b in touched) and not re.search(r"\s", text[s:e]):
+        # One that reaches beyond a plain match is told from a chance join by having no blank in it, or a sign of disguise.
+        longer = not any(a <= s and e <= b for a, b in touched)
+        if not touched or longer and (not re.search(r"\s", text[s:e]) or any(s <= a and b <= e for a, b in touched) and disguised(tape, start, end, text)):
             every.append((kind, s, e))
     return base, sorted(every, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

@@ -180,16 +180,17 @@ def test_packing(spark, sample):
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    docs, pieces, used = texts(sample), defaultdict(list), defaultdict(list)
-    for r in packing.pack(sample.where("doc_id is not null").dropDuplicates(["doc_id"]), path).collect():
-        pieces[r.doc_id].append(r)
+    wanted, got, used = Counter(), Counter(), defaultdict(list)
+    rows = sample.withColumns({"length": F.lit("x"), "salt": F.lit(1), "rank": F.lit(2), "n": F.lit(3)})
+    for r in rows.select("doc_id", "text").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for n, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            wanted[r.doc_id, n, start, len(part), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part))] += 1
+    for r in packing.pack(rows, path).collect():
+        got[r.doc_id, r.piece, r.start, r.length, r.ids_crc32] += 1
         used[r.sequence_id].append((r.offset, r.length))
-    for d, found in pieces.items():
-        ids = [*library.encode(docs[d], add_special_tokens=False).ids, 1]
-        found.sort(key=lambda r: r.piece)
-        assert [(r.start, r.length) for r in found] == [(s, min(4096, len(ids) - s)) for s in range(0, len(ids), 4096)]
-        for r in found:
-            assert r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length]))
+    assert got == wanted  # repeated rows and null ids too
     total = 0
     for parts in used.values():
         end = 0
@@ -202,6 +203,62 @@ def test_packing(spark, sample):
     assert packing.pack(spark.createDataFrame([], EMPTY), path).isEmpty()
 
 
+def test_knapsack():
+    import itertools
+    import random
+
+    pick = random.Random(2)
+    for _ in range(60):
+        sizes, copies = [pick.randint(1, 9) for _ in range(4)], [pick.randint(0, 3) for _ in range(4)]
+        prices = [pick.random() for _ in range(4)]
+        every = itertools.product(*(range(n + 1) for n in copies))
+        best = max(sum(p * n for p, n in zip(prices, some, strict=True)) for some in every if sum(s * n for s, n in zip(sizes, some, strict=True)) <= 17)
+        worth, chosen = packing.knapsack(sizes, prices, copies, 17)
+        assert math.isclose(worth, best, rel_tol=1e-5) and math.isclose(sum(prices[k] * n for k, n in chosen.items()), best, rel_tol=1e-5)
+        assert sum(sizes[k] * n for k, n in chosen.items()) <= 17 and all(n <= copies[k] for k, n in chosen.items())
+        dense = packing.np.zeros(17)
+        for s, p in zip(sizes, prices, strict=True):
+            dense[s - 1] = max(dense[s - 1], p)
+        assert packing.dearest(dense) >= best - 1e-9
+
+
+#: Lengths of the kinds that occur: all different, one alone, halves that do not pair, and many of each.
+HISTOGRAMS = {
+    "different": {k * 37 % 4001 + 40: 1 for k in range(700)},
+    "one": {1: 100_000},
+    "halves": {2458: 100, 1229: 40, 10: 3},
+    "large": {**{2100 + k: 5 for k in range(300)}, **{300 + k: 3 for k in range(200)}},
+    "many": {200 + 7 * k: 50 + k % 13 for k in range(500)},
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_packing_program(name):
+    """The program covers every length, near the dual's bound; on all but evenly spread lengths it places most pieces."""
+    histogram = HISTOGRAMS[name]
+    solution = packing.program(histogram)
+    covered = Counter()
+    for config, amount in [*solution.amounts.items(), *solution.closing.items()]:
+        assert sum(s * n for s, n in config) <= 4096
+        for s, n in config:
+            covered[s] += n * amount
+    assert all(math.isclose(covered[s], n, rel_tol=1e-6) for s, n in histogram.items())
+    value, tokens = sum(solution.amounts.values()) + sum(solution.closing.values()), sum(s * n for s, n in histogram.items())
+    assert max(tokens / 4096, solution.bound - 1e-6) <= value * (1 + 1e-9)
+    assert value <= (1.06 if name in ("different", "many") else 1.02) * solution.bound + 1
+    made = packing.plan(histogram)
+    held = Counter()
+    for lengths, times in made.sequences:
+        assert sum(lengths) <= 4096
+        for s in lengths:
+            held[s] += times
+    assert held == histogram and made.pieces == sum(histogram.values())
+    assert made.by_program >= (0.25 if name in ("different", "many") else 0.9) * made.pieces
+    used = sum(n for _, n in made.sequences)
+    plain = sum(n for _, n in packing.best_fit(Counter(), histogram, 4096))
+    assert made.bound <= used <= 1.01 * plain + 1
+
+
 def test_pii_disguises():
     def parts(text):
         return {(k, text[a:b]) for k, a, b in pii.spans(text)[1]}

@@ -2,10 +2,11 @@
 
 A configuration is a multiset of piece lengths that fit one sequence. The program asks for the fewest configurations that
 cover the histogram of lengths; its size is bounded by the capacity, whatever the input's. Multiplicative weights solve
-it: lengths carry prices, a knapsack dynamic program finds the dearest configuration through every length, configurations
-near the dearest are taken for a fraction, and prices fall where lengths are covered. Whole multiples are kept, and what
-rounding leaves over goes by best fit, largest first, into the gaps of kept sequences and then into new ones. The
-documents themselves never reach the driver: a piece learns its place from its rank among the pieces of its length.
+it: lengths carry prices, knapsack dynamic programs find the dearest configurations, which are used until a length has
+its share of the round, and what stays behind gets dearer. The prices also give the dual's bound. Whole multiples and the
+largest residues are kept, and the program is solved again for the pieces that rounding leaves over; the last few, and the
+shortest pieces, fill the gaps by best fit. The documents themselves never reach the driver: a piece learns its place from
+its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +28,24 @@ from textveil.llm.bpe import WHITE
 from textveil.llm.common import durable
 
 CAPACITY, END_ID = 4096, 1
-#: Rounds of the price updates, their strength, and how near the dearest a configuration must come.
-ROUNDS, STRENGTH, NEAR = 40, 1.0, 0.02
+#: Fewest and most rounds of the price updates, the knapsacks that set them between these, the strength of the updates, how
+#: near the dearest a configuration must come, and how often all rounds run at most.
+ROUNDS, KNAPSACKS, STRENGTH, NEAR, PASSES = (4, 24), 12_000, 0.002, 0.003, 5
+#: Share of its size that a nearly free length costs.
+FREE = 1e-3
+#: Fewest and most lengths priced by one knapsack, the lengths priced in all rounds that set it between these, and how few
+#: lengths may repeat without a bound.
+BLOCK, WORK, FEW = (32, 256), 400_000, 6
+#: Share of the tokens that the shortest lengths may hold to be in no configuration: they fill what these leave open.
+CRUMBS = 0.002
+#: Times that the program is solved at most, and the share of the pieces that makes another time worth it.
+PHASES, LEAST_PLACED = 3, 0.1
+#: Emptiness that a kept configuration may have; of these the one with the fewest sequences in all holds.
+GAPS = (1.0, 0.05, 0.02, 0.01, 0.005, 0.002)
 #: Pieces of text remembered in each of two generations of a worker, and the longest that stay.
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Pieces of one length that one task ranks, about.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 #: Python's str.split takes these four for white space, the tokenizer's pattern doesn't (fixed values).
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD = re.compile(f"[^{WHITE}]+")
@@ -130,61 +144,198 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best total price within each room, and the length to take first there (-1: none). sizes: ascending."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        if k := fits[room]:
-            worth = best[room - sizes[:k]] + prices[:k]
-            if worth[top := int(worth.argmax())] > 0:
-                best[room], pick[room] = worth[top], top
-    return best, pick
-
-
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights: how often to use which configuration (indexes of lengths, ascending)."""
-    prices, plan = sizes / capacity, defaultdict(float)
-    for _ in range(rounds):
-        best, pick = knapsack(sizes, prices, capacity)
-        covered = np.zeros(len(sizes))
-        for first in np.argsort(-sizes * (prices > 0)):
-            room = capacity - sizes[first]
-            if covered[first] or prices[first] + best[room] < (1 - NEAR) * best[capacity]:
-                continue
-            chosen = [int(first)]
-            while pick[room] >= 0:
-                chosen.append(int(pick[room]))
-                room -= sizes[pick[room]]
-            use = Counter(chosen)
-            step = min(counts[i] / n for i, n in use.items()) / rounds
-            plan[tuple(sorted(chosen))] += step
-            for i, n in use.items():
-                covered[i] += n * step
-        prices = prices * np.exp(-STRENGTH * covered * rounds / counts)
-        prices *= (counts.sum() / (prices @ counts)) if prices @ counts > 0 else 1
-    return plan
-
-
-def sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths, descending) and how many sequences hold each; together exactly the histogram."""
-    out = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    sizes = np.array(sorted(s for s, n in histogram.items() if 0 < s < capacity and n), dtype=np.int64)
-    if not len(sizes):
-        return out
-    left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    open_: dict[int, list[list]] = defaultdict(list)  # by room: [configuration, how many]
-    for config, amount in sorted(fractional(sizes, left.astype(float), capacity, rounds).items(), key=lambda x: -x[1]):
-        use = Counter(config)
-        times = min(int(amount), *(int(left[i]) // n for i, n in use.items()))
-        if times:
-            for i, n in use.items():
-                left[i] -= n * times
-            lengths = tuple(sorted((int(sizes[i]) for i in config), reverse=True))
-            open_[capacity - sum(lengths)].append([lengths, times])
+def dearest(prices: np.ndarray) -> float:
+    """Best total price of any configuration; prices: by length, the first of length 1. Lengths may repeat."""
+    best = np.zeros(len(prices) + 1)
+    for room in range(1, len(best)):
+        best[room] = max(best[room - 1], (best[room - 1 :: -1] + prices[:room]).max())
+    return float(best[-1])
+
+
+def knapsack(sizes: list[int], prices: list[float], copies: list[int], capacity: int) -> tuple[float, Counter]:
+    """The dearest configuration of these lengths, each so often at most: its price, and copies by index."""
+    best, taken = np.zeros(capacity + 1, np.float32), []
+    for k, (size, price, most) in enumerate(zip(sizes, prices, copies, strict=True)):
+        times = 1
+        while most > 0 and size * (times := min(times, most)) <= capacity:  # 1, 2, 4 ... copies make every number
+            grown = best[: capacity + 1 - size * times] + np.float32(price * times)
+            tail = best[size * times :]
+            taken.append((k, times, grown > tail))
+            np.maximum(tail, grown, out=tail)
+            most, times = most - times, 2 * times
+    chosen, room = Counter(), capacity
+    for k, times, better in reversed(taken):
+        if (rest := room - sizes[k] * times) >= 0 and better[rest]:
+            chosen[k] += times
+            room = rest
+    return float(best[capacity]), chosen
+
+
+Configuration = tuple[tuple[int, int], ...]  # (length, copies) pairs, longest first
+
+
+@dataclass
+class Solution:
+    """A fractional covering of the histogram: how often each configuration is used."""
+
+    amounts: dict[Configuration, float]
+    closing: dict[Configuration, float]  # far from the dearest: what covers the lengths that are left at the end
+    bound: float  # of the dual: no covering, whole or fractional, has fewer sequences
+
+
+def program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 0) -> Solution:
+    """The configuration linear program by multiplicative weights: every length covered exactly, and the dual's bound.
+
+    Lengths carry prices. In each round every length may be covered up to the round's share of its
+    count. In random blocks of lengths a knapsack finds the dearest configuration through the longest open length; it is
+    used until one of its lengths has its share, if its price is near the block's dearest. Lengths behind their share get dearer,
+    so emptier configurations come near where fuller ones cannot hold them. While prices are met that give a better bound
+    than the first ones, all rounds run again from these, with stronger updates. rounds: 0 for as many as KNAPSACKS allows.
+    """
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[int(s)] for s in sizes], dtype=float)
+    rounds = rounds or int(np.clip(KNAPSACKS // len(sizes), *ROUNDS))
+    known, prices, strength = 0.0, first_prices(sizes, counts, capacity), STRENGTH
+    for _ in range(PASSES):
+        solution, better = _rounds(sizes, counts, prices, capacity, rounds, strength)
+        solution.bound = max(known, solution.bound)
+        if better is None:
+            break
+        known, prices, strength = solution.bound, better, 3 * strength
+    return solution
+
+
+def first_prices(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Of the prices that no configuration exceeds for some length e up to half the capacity, those with the best bound.
+
+    Lengths below e are nearly free, those that leave less than e cost a whole sequence, all others their share of it.
+    """
+    best, found = -1.0, sizes / capacity
+    for e in [1, *(int(s) for s in sizes if s <= capacity // 2), capacity // 2 + 1]:
+        prices = np.where(sizes > capacity - e, 1.0, np.where(sizes < e, FREE, 1.0) * sizes / capacity)
+        if counts @ prices > (1 + NEAR) * best:
+            best, found = float(counts @ prices), prices
+    return found
+
+
+def _rounds(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int, rounds: int, strength: float) -> tuple[Solution, np.ndarray | None]:
+    """A solution from these first prices, and the best prices met if they are better than the first by NEAR or more."""
+    pick, covered = np.random.default_rng(0), np.zeros(len(sizes))
+    amounts, closing, near, turn, first, best, better = defaultdict(float), defaultdict(float), NEAR, 0, 0.0, 0.0, None
+    while True:
+        turn += 1
+        every = np.zeros(capacity)
+        every[sizes - 1] = prices
+        top = dearest(every)
+        bound = float(counts @ prices) / top
+        first = first or bound
+        if bound > max(best, (1 + NEAR) * first):
+            better = prices
+        best = max(best, bound)
+        share = counts * min(1.0, turn / rounds) - covered
+        behind = share > 1e-9 * counts
+        if turn > rounds:
+            near *= 2
+            if not behind.any():
+                return Solution(dict(amounts), dict(closing), best), better
+        used_by = amounts if turn <= rounds else closing
+        some = pick.permutation(np.flatnonzero(behind))
+        block = int(np.clip(WORK // (rounds * max(1, len(some))), *BLOCK))
+        for part in np.array_split(some, max(1, -(-len(some) // block))):
+            open_, most = part[np.argsort(-sizes[part])].tolist(), 0.0
+            while open_:
+                wide = capacity if len(open_) <= FEW else max(1, BLOCK[0] // len(open_))
+                copies = [int(min(counts[i], capacity // sizes[i], wide)) for i in open_]
+                copies[0] -= 1
+                worth, chosen = knapsack([int(sizes[i]) for i in open_], [prices[i] for i in open_], copies, capacity - int(sizes[open_[0]]))
+                chosen[0] += 1
+                worth += prices[open_[0]]
+                most = max(most, worth)
+                if worth < (1 - near) * most:
+                    open_ = open_[1:]  # no good room for this length in this block
+                    continue
+                used = {open_[k]: n for k, n in chosen.items()}
+                step = min(share[i] / n for i, n in used.items())
+                used_by[tuple((int(sizes[i]), used[i]) for i in sorted(used, reverse=True))] += step
+                for i, n in used.items():
+                    share[i] -= n * step
+                    covered[i] += n * step
+                open_ = [i for i in open_ if share[i] > 1e-9 * counts[i]]
+        # A block that has no room for a length is chance, so what is behind by one round's share costs the same.
+        prices = prices * np.exp(strength * np.maximum(share * rounds / counts - 1, 0)) / top
+
+
+def whole(solution: Solution, left: dict[int, int]) -> tuple[Counter, dict[int, int]]:
+    """Configurations taken a whole number of times, and the counts that remain: floors first, then the largest residues."""
+    left, taken = dict(left), Counter()
+    listed = sorted(solution.amounts.items(), key=lambda x: (-x[1], x[0]))
+    for config, amount in listed:
+        if times := min(int(amount), *(left[s] // n for s, n in config)):
+            taken[config] += times
+            for s, n in config:
+                left[s] -= n * times
+    for config, _ in sorted(listed, key=lambda x: (-(x[1] % 1), x[0])):
+        if all(left[s] >= n for s, n in config):
+            taken[config] += 1
+            for s, n in config:
+                left[s] -= n
+    return taken, {s: n for s, n in left.items() if n}
+
+
+@dataclass
+class Plan:
+    """Configurations (lengths, descending) with the sequences of each, which hold exactly the histogram."""
+
+    sequences: list[tuple[tuple[int, ...], int]]
+    bound: float  # of the linear program's dual and the tokens; full pieces are in it
+    by_program: int  # pieces that stand where a configuration of the program put them, full pieces included
+    pieces: int
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 0) -> Plan:
+    """Solve and round the program, again for what rounding leaves while that places much of it; best fit for the rest."""
+    full = histogram.get(capacity, 0)
+    left = {s: n for s, n in histogram.items() if 0 < s < capacity and n}
+    pieces, bound, taken = full + sum(left.values()), float(full), Counter()
+    room, crumbs = CRUMBS * sum(s * n for s, n in left.items()), {}
+    for size in sorted(left):
+        if (room := room - size * left[size]) < 0:
+            break
+        crumbs[size] = left.pop(size)
+    for phase in range(PHASES):
+        waiting = sum(left.values())
+        if not waiting:
+            break
+        solution = program(left, capacity, rounds)
+        bound += 0 if phase else solution.bound
+        more, left = whole(solution, left)
+        taken += more
+        if sum(left.values()) > (1 - LEAST_PLACED) * waiting:
+            break
+    made = []
+    for gap in GAPS:
+        kept = Counter({c: times for c, times in taken.items() if capacity - sum(s * n for s, n in c) <= gap * capacity})
+        loose = Counter(left | crumbs)
+        for config, times in (taken - kept).items():
+            for s, n in config:
+                loose[s] += n * times
+        by_program = full + sum(n * times for config, times in kept.items() for _, n in config)
+        filled = best_fit(kept, loose, capacity)
+        made.append((sum(times for _, times in filled), -by_program, filled))
+    _, by_program, filled = min(made, key=lambda x: x[:2])
+    bound = max(bound, sum(s * n for s, n in histogram.items()) / capacity)
+    return Plan(([((capacity,), full)] if full else []) + filled, bound, -by_program, pieces)
+
+
+def best_fit(taken: Counter, left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Put what is left into the fullest sequences that have the room, largest pieces first, then into new ones."""
+    open_: dict[int, list[list]] = defaultdict(list)  # by room: [lengths, how many]
+    for config, times in sorted(taken.items()):
+        lengths = tuple(s for s, n in config for _ in range(n))
+        open_[capacity - sum(lengths)].append([lengths, times])
     rooms = sum(1 << room for room, groups in open_.items() if groups)
-    for i in range(len(sizes) - 1, -1, -1):
-        size, many = int(sizes[i]), int(left[i])
+    for size in sorted(left, reverse=True):
+        many = left[size]
         while many:
             fit = rooms >> size
             if fit:
@@ -208,13 +359,13 @@ def sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int =
     for groups in open_.values():
         for lengths, times in groups:
             merged[tuple(sorted(lengths, reverse=True))] += times
-    return out + sorted(merged.items())
+    return sorted(merged.items())
 
 
-def places(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+def places(sequences: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     """Rows of length, first rank, copies in a sequence, first sequence, first offset; sorted."""
     rows, ranks, sequence = [], Counter(), 0
-    for lengths, times in plan:
+    for lengths, times in sequences:
         offset = 0
         for size, copies in sorted(Counter(lengths).items(), reverse=True):
             rows.append((size, ranks[size], copies, sequence, offset))
@@ -224,18 +375,19 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents longer than the capacity are cut; every other document is one piece. Null and empty texts are a piece of
-    the end id. Repeated rows are packed once each; equal lengths are ranked by doc_id and piece, ties in any order.
-    No rows give no rows. Extra columns are ignored.
+    the end id. Repeated rows are packed once each, null ids too; equal lengths are ranked by doc_id and piece, ties in any
+    order. No rows give no rows. Extra columns are ignored. rounds: of the program's solution, 0 for as many as its size allows.
     """
     pieces = durable(pieces_of(docs, tokenizer_path, capacity, end_id), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    table = docs.sparkSession.sparkContext.broadcast(places(sequences(histogram, capacity, rounds)))
-    salts = max(1, -(-max(histogram.values(), default=1) // RANKED_TOGETHER))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    table = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity, rounds).sequences))
+    # A length has as many salts as its pieces need; the table of salts has at most capacity rows.
+    salts = docs.sparkSession.createDataFrame([(s, -(-n // RANKED_TOGETHER)) for s, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts")).drop("salts")
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))

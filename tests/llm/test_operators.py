@@ -135,6 +135,61 @@ def test_lm_base_and_score(spark, sample):
     assert none.where("n_known > 0").isEmpty()
 
 
+def exact_pairs(rows):
+    """Counts by n-gram hash, as the filter answers them but exact; all tokens, and distinct ones."""
+    import numpy as np
+
+    held, words, total = Counter(), set(), 0
+    for body in rows:
+        known = lm.tokens([body])
+        hashes, ids, sizes = known
+        before, pair = lm.pairs(*known)
+        follow = lm.successors(before >> lm.OWNER_SHIFT)
+        held.update(f for g, f in dict(zip(pair.tolist(), follow.tolist(), strict=True)).items() if not held[g])
+        held.update([*pair.tolist(), *lm._mix(hashes)[ids].tolist(), *lm._mix(np.full(1, lm._START)).tolist()])
+        words.update(hashes[ids].tolist())
+        total += len(ids)
+    return lambda grams: np.array([held[g] for g in grams.tolist()], float), total, len(words)
+
+
+def test_lm_is_a_distribution():
+    """With exact counts: the formula by hand, and a mass of 1 after every word, at a text's start too."""
+    bodies = [b"a b a c", b"a b", b"", b"c a b b the end", b"The the the"]
+    counts, total, distinct = exact_pairs(bodies)
+    words, pairs_ = Counter(), Counter()
+    follow = lambda v: sum(a == v for a, _ in pairs_)
+    for body in bodies:
+        cut = ["^", *body.decode().lower().split(), ""]
+        words.update(cut)
+        pairs_.update(zip(cut, cut[1:], strict=False))
+    own = {w: (words[w] + 0.1) / (total + 0.1 * (distinct + 1)) for w in [*words, "unknown"] if w != "^"}
+    chance = lambda v, w: (max(pairs_[v, w] - lm.DISCOUNT, 0) + (lm.DISCOUNT * follow(v) + lm.PRIOR) * own[w]) / (words[v] + lm.PRIOR)
+    for v in ["a", "b", "c", "the", "end", "unknown"]:
+        after = {w: 10 ** lm.token_logs(counts, total, distinct, *lm.tokens([f"{v} {w}".encode()]))[1] for w in own}
+        first = {w: 10 ** lm.token_logs(counts, total, distinct, *lm.tokens([w.encode()]))[0] for w in own}
+        assert all(math.isclose(after[w], chance(v, w), rel_tol=1e-9) for w in own)
+        assert all(math.isclose(first[w], chance("^", w), rel_tol=1e-9) for w in own)
+        assert math.isclose(sum(after.values()), 1, abs_tol=1e-6) and math.isclose(sum(first.values()), 1, abs_tol=1e-6)
+
+
+def test_lm_score_against_exact_counts(sample):
+    """The filter's counts are quantised in steps of a half doubling; so near are its scores to those of exact counts."""
+    docs, train = texts(sample), lm.split(sample)[0]
+    counts, total, distinct = exact_pairs([(r.text or "").encode() for r in train.collect()])
+    far, tokens_ = 0.0, 0
+    for r in lm.score(sample, train).collect():
+        want = float(lm.log10(counts, total, distinct, *lm.tokens([docs[r.doc_id].encode()]))[0])
+        assert abs(r.score - want) <= 0.16 * r.n_tokens
+        far, tokens_ = far + abs(r.score - want), tokens_ + r.n_tokens
+    assert far <= 0.03 * tokens_
+
+
+def test_lm_commonest(spark):
+    counts = spark.createDataFrame([(k, n) for k, n in enumerate([1] * 50 + [2] * 20 + [9] * 5 + [100])], "token long, n long")
+    assert {r.n for r in lm.commonest(counts, 30).collect()} == {2, 9, 100}
+    assert lm.commonest(counts, 100).count() == 76 and lm.commonest(counts, 0).isEmpty() and lm.commonest(counts.where("false"), 9).isEmpty()
+
+
 def test_lm_filter_beyond_broadcast(spark, sample, monkeypatch):
     """However small the broadcast may be, no n-gram is dropped and the scores are the same."""
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.score)

@@ -1,14 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Words and word pairs of the training texts are counted, counts are quantised on a logarithmic scale, and a filter holds an
+Words, word pairs and the distinct successors of words in the training texts are counted, counts are quantised on a logarithmic scale, and a filter holds an
 n-gram once for every step of its count (Talbot and Osborne, 2007): a probe for step 1, 2, 3 ... answers until one fails.
 The filter is cut into segments; an n-gram's bits lie in one of them, so tasks build segments apart. Its size follows the
 training tokens, and every n-gram is held whatever its count. Up to MAX_BITS the driver strings the segments together and
 broadcasts them; a larger filter stays in Spark as rows of segments, and the n-grams of blocks of texts are sent to them.
 Both ways probe the same bits, so they give the same scores.
 
-A pair's probability mixes its count with the word's own: (c(v w) - D + K p(w)) / (c(v) + K), all counts by probes. The
-exact unigram base score is apart: commonest words from a table of bounded size, all others by a join on the word.
+A pair's probability is discounted, and what the discount takes from the pairs of a word goes back to all words by their
+own probability: (max(c(v w) - D, 0) + (D s(v) + K) p(w)) / (c(v) + K), s(v) being the distinct successors of v, all counts
+by probes. With exact counts it sums to 1 over the known words and an unknown one. The exact unigram base score is apart:
+commonest words from a table of bounded size, all others by a join on the word.
 """
 
 from __future__ import annotations
@@ -32,12 +34,15 @@ MIN_BITS, MAX_BITS, SEGMENTS, BITS_A_TOKEN, FIRST, LATER = 1 << 20, 1 << 29, 1 <
 SEGMENT_LOG, LOW = 24, 5
 #: Steps of the scale that double a count.
 STEPS = 2
-#: Words whose exact counts are broadcast.
-COMMON = 1 << 20
-#: Prior weight of a word's own probability, discount of a seen pair, and the base's added count.
-PRIOR, DISCOUNT, ADDED = 100.0, 0.5, 0.1
+#: Most words whose exact counts are broadcast, and steps of the scale of counts, a doubling, that is cut to reach that.
+COMMON, FINE = 1 << 20, 4
+#: Discount of a seen pair, further weight of a word's own probability, and the base's added count.
+DISCOUNT, PRIOR, ADDED = 0.75, 2.0, 0.1
 TEXT_BYTES = 8 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Bits of a word that stand for it in its count of successors, and the owner of n-grams that are no pairs.
+OWNER_SHIFT, NO_OWNER = np.uint64(64 - 8 * LOW), np.uint64((1 << 8 * LOW) - 1)
+_NEXT = np.uint64(0x2545F4914F6CDD1D)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -70,6 +75,11 @@ def pairs(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return before, _mix(before * _A + word)
 
 
+def successors(owners: np.ndarray) -> np.ndarray:
+    """N-grams that hold the numbers of distinct successors; owners: the leading bits of words."""
+    return _mix(owners * _A ^ _NEXT)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     """Steps of counts of at least 1."""
     return np.floor(STEPS * np.log2(counts)).astype(np.int64) + 1
@@ -121,9 +131,9 @@ def _low(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(6)) & np.uint64((1 << 8 * LOW) - 1)
 
 
-def _pack(grams: np.ndarray) -> np.ndarray:
-    """Low parts of n-grams, a row of LOW bytes each."""
-    return np.ascontiguousarray(_low(grams).view(np.uint8).reshape(-1, 8)[:, :LOW])
+def _pack(numbers: np.ndarray) -> np.ndarray:
+    """Numbers of LOW bytes, a row each."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :LOW])
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -147,22 +157,42 @@ class LogFilter:
 
 def asked(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All n-grams whose counts log10 needs, in order."""
-    return np.unique(np.concatenate((pairs(hashes, ids, sizes)[1], _mix(hashes), _mix(np.full(1, _START)))))
+    words = np.append(hashes, _START)
+    return np.unique(np.concatenate((pairs(hashes, ids, sizes)[1], _mix(words), successors(words >> OWNER_SHIFT))))
+
+
+def token_logs(counts: Callable[[np.ndarray], np.ndarray], total: int, distinct: int, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of every token after the one before it, from counts of n-grams."""
+    words = np.append(hashes, _START)
+    single = counts(_mix(words))
+    follow = np.minimum(counts(successors(words >> OWNER_SHIFT)), single)
+    own = (single[:-1] + ADDED) / (total + ADDED * (distinct + 1))
+    before = np.empty(len(ids), np.int64)  # index of the word before each token
+    before[1:] = ids[:-1]
+    before[np.cumsum(sizes) - sizes] = len(hashes)
+    context = single[before]
+    grams, back = np.unique(pairs(hashes, ids, sizes)[1], return_inverse=True)
+    seen = np.minimum(counts(grams)[back], context)
+    return np.log10((np.maximum(seen - DISCOUNT, 0) + (DISCOUNT * follow[before] + PRIOR) * own[ids]) / (context + PRIOR))
 
 
 def log10(counts: Callable[[np.ndarray], np.ndarray], total: int, distinct: int, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of every text, from quantised counts of n-grams."""
-    single = counts(_mix(hashes))
-    own = (single + ADDED) / (total + ADDED * (distinct + 1))
-    _, pair = pairs(hashes, ids, sizes)
-    context = np.empty(len(ids))
-    context[1:] = single[ids[:-1]]
-    firsts = np.cumsum(sizes) - sizes
-    context[firsts] = counts(_mix(np.full(1, _START)))[0] if len(firsts) else 0
-    grams, back = np.unique(pair, return_inverse=True)
-    seen = np.minimum(counts(grams)[back], context)
-    p = (np.maximum(seen - DISCOUNT, 0) + PRIOR * own[ids]) / (context + PRIOR)
-    return np.add.reduceat(np.log10(p), firsts) if len(firsts) else np.zeros(0)
+    """log10 probability of every text."""
+    logs = token_logs(counts, total, distinct, hashes, ids, sizes)
+    return np.add.reduceat(logs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+
+
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """token and n of the commonest words: those from the lowest step of a scale of counts above which there are at most most."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * FINE)
+    amounts = sorted(((r["step"], r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)  # at most 64 * FINE rows
+    least, held = None, 0
+    for at, amount in amounts:
+        held += amount
+        if held > most:
+            break
+        least = at
+    return counts.where(step >= least) if least is not None else counts.where("false")
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
@@ -183,48 +213,64 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, bits: int, lead: int) -> DataFrame:
-    """segment and bits: the filter of all words and pairs of docs, whatever their counts.
+    """segment and bits: the filter of all words, pairs and numbers of successors of docs, whatever their counts.
 
-    Tasks send their counts packed, a row for each part of the n-gram space; parts grow in number with the shuffle.
+    Tasks send their counts packed, a row for each part of the n-gram space; parts grow in number with the shuffle. Pairs
+    bring along the leading bits of their first word: where a pair's counts meet it is one successor of that word, and
+    these ones are summed in the same way in a second shuffle.
     """
     fine = max(0, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) >> lead).bit_length())
 
+    def parts(grams: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
+        """Numbers of parts, and for each the packed n-grams (ascending) and slices of the other columns."""
+        edges = np.searchsorted(grams >> np.uint64(64 - lead - fine), np.arange((1 << lead + fine) + 1, dtype=np.uint64))
+        used = np.flatnonzero(np.diff(edges))
+        packed = [[x[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()] for x in (_pack(_low(grams)), *more)]
+        return [pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, size=TEXT_BYTES):
                 hashes, ids, sizes = tokens(part.column("body").to_pylist())
                 if not len(ids):
                     continue
+                before, pair = pairs(hashes, ids, sizes)
                 starts = np.full(len(sizes), _mix(np.full(1, _START))[0])
-                grams, n = np.unique(np.concatenate((pairs(hashes, ids, sizes)[1], _mix(hashes)[ids], starts)), return_counts=True)
-                edges = np.searchsorted(grams >> np.uint64(64 - lead - fine), np.arange((1 << lead + fine) + 1, dtype=np.uint64))
-                low = _pack(grams)
-                n = n.astype("<u4")
-                used = np.flatnonzero(np.diff(edges))
-                packed = [[x[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()] for x in (low, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "grams", "counts"])
+                grams, first, n = np.unique(np.concatenate((pair, _mix(hashes)[ids], starts)), return_index=True, return_counts=True)
+                owners = np.where(first < len(pair), before[np.minimum(first, len(pair) - 1)] >> OWNER_SHIFT, NO_OWNER)
+                yield pa.RecordBatch.from_arrays(parts(grams, n.astype("<u4"), _pack(owners)), ["part", "grams", "counts", "owners"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(part: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        """bits of each part, and of the pairs' owners the packed counts by part (bits null)."""
+
+        def settle(part: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             grams = _unpack(b"".join(x[0] for x in held))
             order = np.argsort(grams, kind="stable")
             grams = grams[order]
             n = np.frombuffer(b"".join(x[1] for x in held), "<u4").astype(np.int64)[order]
             first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-            grams, n = grams[first], np.add.reduceat(n, first)
-            made = segment(grams, level(n), bits >> lead)
-            return pa.RecordBatch.from_arrays([pa.array([part >> fine], pa.int32()), pa.array([made], pa.binary())], ["segment", "bits"])
+            made = segment(grams[first], level(np.add.reduceat(n, first)), bits >> lead)
+            none = pa.nulls(1, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([part >> fine], pa.int32()), pa.array([made], pa.binary()), none, none], MERGED)
+            owners = _unpack(b"".join(x[2] for x in held))
+            if len(owners):
+                owners, times = np.unique(owners[order][first], return_counts=True)
+                real = owners != NO_OWNER
+                grams, times = successors(owners[real]), times[real].astype("<u4")
+                order = np.argsort(grams)
+                number, low, n = parts(grams[order], times[order])
+                yield pa.RecordBatch.from_arrays([number, pa.nulls(len(number), pa.binary()), low, n], MERGED)
 
         last, held = -1, []
         for batch in batches:
-            for part, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != last and held:
-                    yield settle(last, held)
+                    yield from settle(last, held)
                     held = []
                 last = part
-                held.append((grams, counts))
+                held.append(row)
         if held:
-            yield settle(last, held)
+            yield from settle(last, held)
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, made = -1, None
@@ -238,9 +284,13 @@ def segments(docs: DataFrame, bits: int, lead: int) -> DataFrame:
         if made is not None:
             yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([made.tobytes()], pa.binary())], ["segment", "bits"])
 
-    packed = _bodies(docs).mapInArrow(count, "part int, grams binary, counts binary").repartition("part").sortWithinPartitions("part")
-    made = packed.mapInArrow(merge, "segment int, bits binary")
-    return made.repartition("segment").sortWithinPartitions("segment").mapInArrow(unite, "segment int, bits binary") if fine else made
+    def merged(packed: DataFrame) -> DataFrame:
+        return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "number int, bits binary, grams binary, counts binary")
+
+    once = durable(merged(_bodies(docs).mapInArrow(count, "part int, grams binary, counts binary, owners binary")), "lm-counts")
+    follow = merged(once.where("bits is null").select(F.col("number").alias("part"), "grams", "counts", F.lit(b"").alias("owners")))
+    every = once.where("bits is not null").unionByName(follow).select(F.col("number").alias("segment"), "bits")
+    return every.repartition("segment").sortWithinPartitions("segment").mapInArrow(unite, "segment int, bits binary")
 
 
 def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
@@ -260,7 +310,7 @@ def answers(whole: DataFrame, held: DataFrame, bits: int, lead: int) -> DataFram
         for block, part in _blocks(batches):
             grams = asked(*tokens(part.column("body").to_pylist()))
             edges = np.searchsorted(grams >> np.uint64(64 - lead), np.arange((1 << lead) + 1, dtype=np.uint64))
-            low, used = _pack(grams), np.flatnonzero(np.diff(edges))
+            low, used = _pack(_low(grams)), np.flatnonzero(np.diff(edges))
             packed = [low[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), block)), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["block", "segment", "data"])
 
@@ -360,7 +410,7 @@ def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFra
         model = spark.sparkContext.broadcast(build(training, total, distinct))
     else:
         source = answered(whole, durable(segments(training, bits, lead), "lm-segments"), bits, lead)
-    top = counts.orderBy(F.desc("n"), "token").limit(common).toArrow()  # bounded by common
+    top = commonest(counts, common).select("token", "n").toArrow()  # bounded by common
     known, n = (top.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(known)
     table = spark.sparkContext.broadcast((known[order], n[order]))
@@ -412,6 +462,7 @@ def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFra
     return summed.select("doc_id", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+MERGED = ["number", "bits", "grams", "counts"]
 FIELDS = ["row", "token", "rare", "tokens", "doc_id", "known", "base", "score"]
 
 

@@ -45,7 +45,7 @@ GAPS = (1.0, 0.05, 0.02, 0.01, 0.005, 0.002)
 #: Pieces of text remembered in each of two generations of a worker, and the longest that stay.
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Pieces of one length that one task ranks, about.
-RANKED_TOGETHER = 1_000
+RANKED_TOGETHER = 500
 #: Python's str.split takes these four for white space, the tokenizer's pattern doesn't (fixed values).
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD = re.compile(f"[^{WHITE}]+")

@@ -11,9 +11,9 @@ CASES = {
     "id 123-45-6789 ok": [(3, 14, "SSN")],
     "123-45-6789-123": [(0, 11, "SSN")],
     "plan 12-3456-789": [(5, 16, "HEALTHPLAN")],
-    "ED-24-0211-556": [(3, 14, "HEALTHPLAN")],
+    "OR-31-5508-274": [(3, 14, "HEALTHPLAN")],
     "ACCT-1234567": [(0, 12, "ACCOUNT")],
-    "EMS-2024-0331": [(0, 8, "VEHICLE")],
+    "EMS-2019-7712": [(0, 8, "VEHICLE")],
     "ems-2024-0331": [(0, 13, "ID_OTHER")],
     "CLAIM-2024-123": [(0, 14, "ID_OTHER")],
     "MRN-1234": [(0, 8, "VEHICLE")],
@@ -28,12 +28,12 @@ CASES = {
     "age 89": [],
     "Age  90": [(5, 7, "AGE")],
     "95-year-old": [],
-    "call (555) 219-4471": [(5, 19, "PHONE")],
-    "fax: 555-219-4472": [(5, 17, "FAX")],
-    "555-219-4472 fax": [(0, 12, "PHONE")],
-    "telefax" + " " * 22 + "555-219-4472": [(29, 41, "FAX")],
-    "fax" + " " * 23 + "555-219-4472": [(26, 38, "PHONE")],
-    "fax 555-219-4472 555-219-4473": [(4, 16, "FAX"), (17, 29, "FAX")],
+    "call (555) 846-0931": [(5, 19, "PHONE")],
+    "fax: 555-846-0932": [(5, 17, "FAX")],
+    "555-846-0932 fax": [(0, 12, "PHONE")],
+    "telefax" + " " * 22 + "555-846-0932": [(29, 41, "FAX")],
+    "fax" + " " * 23 + "555-846-0932": [(26, 38, "PHONE")],
+    "fax 555-846-0932 555-219-4473": [(4, 16, "FAX"), (17, 29, "FAX")],
     "3/4/24": [(0, 6, "DATE")],
     "March 3, 2024": [(0, 13, "DATE")],
     "MARCH 3, 2024": [],
@@ -97,6 +97,6 @@ def greedy(text):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.lists(st.sampled_from(["123-45-6789", "12-3456-789", "a@b.co", "http://", "10.0.0.1", "fax ", "555-219-4472", "age 99", "3/4/24", " ", "-", "é", "1", "EMS-2024-0331"]), max_size=12).map("".join), min_size=40, max_size=40, unique=True))
+@given(st.lists(st.lists(st.sampled_from(["123-45-6789", "12-3456-789", "a@b.co", "http://", "10.0.0.1", "fax ", "555-846-0932", "age 99", "3/4/24", " ", "-", "é", "1", "EMS-2019-7712"]), max_size=12).map("".join), min_size=40, max_size=40, unique=True))
 def test_claim_equals_python(spark, texts):
     assert found(spark, texts) == {t: greedy(t) for t in texts}

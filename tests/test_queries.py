@@ -1,11 +1,15 @@
 """Each query against its SQL, and the invariants of those without."""
 
 import os
+import re
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from textveil.functions import spans
+from textveil.operators import detectors, roundtrip
 from textveil.plans.registry import ORACLE_SQL, QUERIES
 from textveil.sources import synthetic
 from textveil.sources import text as texts
@@ -33,16 +37,69 @@ def test_against_sql(spark, duck, name):
 
 
 def test_synthetic(spark):
-    assert not set(synthetic.TEMPLATES["train"]) & set(synthetic.TEMPLATES["eval"])
+    train, held = synthetic.TEMPLATES["train"], synthetic.TEMPLATES["eval"]
+    assert (len(train), len(held)) == (30, 20) and not set(train) & set(held)
+    assert not any("{NAME_REV}" in t or "{SPECIALTY}" in t for t in held)
     docs = synthetic.generate(spark, 300, 777, "eval")
     assert docs.selectExpr("inline(entities)").where("e <= s or label is null").isEmpty()
     assert docs.collect() == synthetic.generate(spark, 300, 777, "eval").collect()
     upper = docs.where("text = upper(text)").count()
     assert 20 <= upper <= 75
+    rows = synthetic.generate(spark, 2000).selectExpr("text", "inline(entities)").selectExpr("label", "substring(text, s + 1, e - s) as part").collect()
+    doctors = {r.part.split()[-1] for r in rows if r.label == "NAME" and r.part.startswith("Dr. ")}
+    assert doctors & set(synthetic.EPONYMS) and doctors - set(synthetic.EPONYMS)  # an eponym's surname is a name on a doctor only
+    assert not any("disease" in r.part.lower() for r in rows)
+    plates = [r.part for r in rows if r.label == "VEHICLE"]
+    assert not any(set("IO") & set(p.upper()[:3]) for p in plates) and len({p.upper()[:3] for p in plates}) > 0.9 * len(plates)
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     assert texts.read(spark, str(tmp_path)).first().text == "one\ntwo"
     named = texts.named(spark.createDataFrame([(5, None), (7, "x"), (9, None)], "doc_id long, source string"))
-    assert [r.source for r in named.orderBy("doc_id").collect()] == ["example_0", "x", "example_1"]
+    assert [r.source for r in named.orderBy("doc_id").collect()] == ["example_0", "x", "example_2"]
+    many = texts.placed(spark.range(5000).selectExpr("id * 3 as doc_id", "'x' as place_of").repartition(7), ranges=16)
+    assert [r.place for r in many.orderBy("doc_id").collect()] == list(range(5000))
+    assert texts.named(spark.createDataFrame([], "doc_id long, source string")).isEmpty()
+    assert texts.sample(spark).count() == 1
+
+
+def test_locate(spark):
+    """Parts are sought after the one before, then from the start; a part that is not there is an error."""
+    row = lambda *parts: spark.createDataFrame([("a b a c", [{"part": p, "label": "X"} for p in parts])], "text string, wanted array<struct<part: string, label: string>>")
+    found = lambda *parts: [(x.s, x.e) for x in row(*parts).select(spans.locate("text", "wanted").alias("x")).first().x]
+    assert found("a", "a") == [(0, 1), (4, 5)] and found("c", "b") == [(2, 3), (6, 7)]
+    with pytest.raises(Exception, match="no such part"):
+        found("z")
+
+
+def test_detectors(spark):
+    def shouted():
+        """A model: words in capitals are names."""
+        return lambda some: [[(m.start(), m.end(), "PERSON") for m in re.finditer(r"\b[A-Z]{3,}\b", t)] + [(0, 1, "ELSE")] * bool(t) for t in some]
+
+    docs = spark.createDataFrame([(1, "ANNA has 123-45-6789"), (2, None), (3, ""), (4, "BOB wrote to bob@x.org")], "doc_id long, text string")
+    found = lambda d: {r.doc_id: [(x.s, x.e, x.label) for x in r.spans] for r in d(docs, "text", "spans").collect()}
+    assert found(detectors.foreign(shouted))[1] == [(0, 4, "NAME")]
+    both = found(detectors.select(load=None, detector=detectors.ensemble(detectors.foreign(shouted))))
+    assert both == {1: [(0, 4, "NAME"), (9, 20, "SSN")], 2: [], 3: [], 4: [(0, 3, "NAME"), (13, 22, "EMAIL")]}
+    assert found(detectors.select()) == {1: [(9, 20, "SSN")], 2: [], 3: [], 4: [(13, 22, "EMAIL")]}
+    assert found(detectors.select(load=shouted))[1][0] == (0, 1, "ELSE")
+
+
+def test_roundtrip_and_report(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "age 95, SSN 123-45-6789", "a"), (2, None, None), (3, "no one", "c")], "doc_id long, text string, source string")
+    unknown = lambda p: F.concat(p, F.lit(" [SSN_9]"))
+    done = roundtrip.run(texts.named(docs), "What now?", "key", unknown)
+    rows = {r.doc_id: r for r in done.collect()}
+    assert rows[1].leaks == 1 and "123-45-6789" in rows[1].restored and "123-45-6789" not in rows[1].response
+    assert rows[2].source == "example_1" and all(r.warnings == ["[SSN_9]"] for r in rows.values())
+    assert roundtrip.warned(done).first() == (3, 3, 1)
+    timings = roundtrip.timed(texts.named(docs), "What now?", "key", unknown)
+    assert {r.stage for r in timings.collect()} == {"deidentify", "response", "rehydrate", "total"}
+    roundtrip.write_report(done, timings, str(tmp_path / "report"))
+    told = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/report/*").collect())
+    assert "With warnings: 3" in told and "### example_1" in told and "| total | 1 |" in told and "self-check found 1" in told
+    roundtrip.write_config(spark, str(tmp_path / "config"), epochs=8, lora=False, best_metric=0.87, lora_config=None)
+    assert '"lora_config":null' in spark.read.text(str(tmp_path / "config")).first().value
+    assert roundtrip.warned(roundtrip.run(docs.where("false"), "?", "key")).first() == (0, 0, 0)

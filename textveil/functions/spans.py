@@ -21,12 +21,13 @@ def quoted(pattern: str) -> str:
 def matches(text: str, pattern: str) -> str:
     """SQL for an array of struct (s, m) of the pattern's matches in the column called text.
 
-    Spark has no function for the places of all matches; they are the summed lengths of what lies before.
+    Spark has no function for the places of all matches; they are the summed lengths of what lies before. The text is only
+    split where something was found.
     """
     found, gaps = f"regexp_extract_all({text}, {quoted(pattern)}, 0)", f"split({text}, {quoted(pattern)}, -1)"
     total = "aggregate(slice({}, 1, {}), 0, (n, part) -> n + length(part))"
-    return f"""transform(array(named_struct('f', {found}, 'g', {gaps})), z -> transform(z.f, (m, i) ->
-        named_struct('s', {total.format('z.g', 'i + 1')} + {total.format('z.f', 'i')}, 'm', m)))[0]"""
+    return f"""transform(array({found}), f -> if(size(f) = 0, cast(array() as array<struct<s: int, m: string>>), transform(array({gaps}), g ->
+        transform(f, (m, i) -> named_struct('s', {total.format('g', 'i + 1')} + {total.format('f', 'i')}, 'm', m)))[0]))[0]"""
 
 
 def candidates(text: str, labels: set[str] | None = None) -> Column:

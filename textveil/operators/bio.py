@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.labels import DEFAULT_WEIGHT, LABELS, TAG_IDS, TAGS, WEIGHTS
-from textveil.functions.spans import matches
+from textveil.functions.spans import SPANS, matches
 
 TOKEN, LONGEST = r"(?U)\w+|[^\w\s]", 256
+#: Gold tag id of tokens that a loss leaves out.
+IGNORED = -100
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
-    """key, pos, ts, te of words and signs, at most longest a document (a model's input length)."""
-    rows = docs.select(key, F.expr(f"slice({matches('text', TOKEN)}, 1, {longest})").alias("t"))
-    return rows.select(key, F.posexplode_outer("t").alias("pos", "t")).where("t is not null").select(key, "pos", F.col("t.s").alias("ts"), F.expr("t.s + length(t.m)").alias("te"))
+def tokens(text: str = "text", longest: int = LONGEST) -> Column:
+    """Array of struct (s, m) of words and signs, at most longest a document (a model's input length)."""
+    return F.expr(f"slice({matches(text, TOKEN)}, 1, {longest})")
 
 
-def align(found: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, pos, ts, te, tag, tag_id. A span's first token is B, the rest I; of two spans on a token the later wins.
+def align(docs: DataFrame, spans: str, key: str = "doc_id") -> DataFrame:
+    """key, pos, ts, te, tag, tag_id of each token of docs (columns key, text and the array of spans s, e, label).
 
-    spans: key, ordinal, s, e, label. The range join is on the document first; tokens without width stay O.
+    A span's first token is B, the rest I; of two spans on a token the later in the array wins. All of it is inside a
+    document, so it is one projection: tokens are cut once, and no rows meet in a shuffle. Null texts have no tokens.
     """
-    touch = found.where("ts < te").join(spans, key).where("ts < e and s < te")
-    first = F.row_number().over(Window.partitionBy(key, "ordinal").orderBy("pos")) == 1
-    tagged = touch.withColumn("tag", F.concat(F.when(first, "B-").otherwise("I-"), "label"))
-    best = tagged.groupBy(key, "pos").agg(F.max_by("tag", "ordinal").alias("tag"))
-    ids = F.create_map(*(F.lit(x) for pair in TAG_IDS.items() for x in pair))
-    out = found.join(best, [key, "pos"], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
-    return out.select(key, "pos", "ts", "te", "tag", F.element_at(ids, F.col("tag")).alias("tag_id"))
+    ready = docs.select(key, F.expr(f"coalesce({spans}, cast(array() as {SPANS}))").alias("_spans"), tokens().alias("_tokens"))
+    listed = "array(" + ", ".join(f"'{label}'" for label in LABELS) + ")"
+    touching = "element_at(filter(_spans, g -> t.s < g.e and g.s < t.s + length(t.m)), -1)"
+    first = "(i = 0 or _tokens[i - 1].s + length(_tokens[i - 1].m) <= g.s)"
+    tagged = f"""transform(_tokens, (t, i) -> transform(array(if(exists(_spans, g -> t.s < g.e and g.s < t.s + length(t.m)), {touching}, null)), g -> named_struct(
+        'pos', i, 'ts', t.s, 'te', t.s + length(t.m), 'tag', if(g is null, 'O', concat(if({first}, 'B-', 'I-'), g.label)),
+        'tag_id', if(g is null, 0, cast(2 * array_position({listed}, g.label) - if({first}, 1, 0) as int))))[0])"""
+    return ready.select(key, F.inline_outer(F.expr(tagged))).where("pos is not null")
 
 
 def decode(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -48,8 +51,24 @@ def argmax_tags(logits: str) -> str:
 
 def class_weights(spark) -> DataFrame:
     """tag_id, tag, weight: 1 for O, else the label's."""
-    rows = [(TAG_IDS[t], t, 1.0 if t == "O" else WEIGHTS.get(t[2:], DEFAULT_WEIGHT)) for t in TAGS]
+    rows = [(TAG_IDS[t], t, _weight(t)) for t in TAGS]
     return spark.createDataFrame(rows, "tag_id int, tag string, weight double")
 
 
-__all__ = ["LABELS", "align", "argmax_tags", "class_weights", "decode", "tokens"]
+def _weight(tag: str) -> float:
+    return 1.0 if tag == "O" else WEIGHTS.get(tag[2:], DEFAULT_WEIGHT)
+
+
+def weighted_loss(rows: DataFrame, gold: str = "tag_id", logits: str = "logits") -> DataFrame:
+    """loss, tokens: the weighted cross-entropy of arrays of logits against gold tag ids; IGNORED ones don't count.
+
+    The sum of each token's weight times its negative log-likelihood, divided by the sum of weights; null without tokens.
+    """
+    weights = F.array(*(F.lit(_weight(t)) for t in TAGS))
+    used = rows.where(F.col(gold) != IGNORED).select(F.get(weights, F.col(gold)).alias("w"), F.expr(f"{logits}[{gold}]").alias("own"), F.col(logits).alias("l"))
+    top = used.withColumn("top", F.array_max("l"))
+    loss = F.col("top") - F.col("own") + F.log(F.aggregate("l", F.lit(0.0), lambda sum_, x: sum_ + F.exp(x - F.col("top"))))
+    return top.select("w", (F.col("w") * loss).alias("wl")).agg((F.sum("wl") / F.sum("w")).alias("loss"), F.count("*").alias("tokens"))
+
+
+__all__ = ["IGNORED", "LABELS", "align", "argmax_tags", "class_weights", "decode", "tokens", "weighted_loss"]

@@ -6,7 +6,7 @@ apart from the masked texts and must be stored apart from them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textveil.functions import dates, spans
@@ -56,12 +56,16 @@ def selfcheck(df: DataFrame) -> DataFrame:
     return staged.withColumn("masked", F.expr(_spliced("masked", "leaks"))).withColumn("items", F.expr("concat(items, reverse(leaks))")).drop("_raw", "_hits")
 
 
-def mapping(df: DataFrame, key: str) -> DataFrame:
-    """key, ordinal, masked, original: a row for each masked string; the last original wins, the first place counts."""
+def entries() -> Column:
+    """The mapping of a row's items as an array of ordinal, masked, original: the last original wins, the first place counts."""
     kept = "filter(items, x -> x.mapped)"
-    rows = df.select(key, F.expr(f"""transform(array_distinct(transform({kept}, x -> x.m)), (m, i) ->
-        named_struct('ordinal', i, 'masked', m, 'original', element_at(filter({kept}, x -> x.m = m), -1).o))""").alias("rows"))
-    return rows.select(key, F.inline_outer("rows")).where("masked is not null")
+    return F.expr(f"""transform(array_distinct(transform({kept}, x -> x.m)), (m, i) ->
+        named_struct('ordinal', i, 'masked', m, 'original', element_at(filter({kept}, x -> x.m = m), -1).o))""")
+
+
+def mapping(df: DataFrame, key: str) -> DataFrame:
+    """key, ordinal, masked, original: a row for each masked string."""
+    return df.select(key, F.inline_outer(entries())).where("masked is not null")
 
 
 def deidentify(docs: DataFrame, key: str, secret: str, text: str = "text", check: bool = True, shift_days: int | None = None) -> tuple[DataFrame, DataFrame]:

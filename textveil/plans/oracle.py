@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textveil.functions.labels import DEFAULT_WEIGHT, FOREIGN, TAG_IDS, TAGS, WEIGHTS
+from textveil.functions.labels import FOREIGN, TAG_IDS, TAGS
 from textveil.functions.patterns import FAX_WINDOW, FAX_WORD, PATTERNS
 from textveil.operators.restore import BETWEEN, DRY_RUN
 from textveil.plans.queries import DAYS, SECRET
+from textveil.sources import synthetic
 from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, gold_sql, text_sql
 
@@ -156,7 +157,39 @@ def _gold_parts() -> str:
 
 
 _BACK = {ours: theirs for theirs, ours in FOREIGN.items()} | {"MRN": "MEDICAL_RECORD", "AGE": "AGE"}
-_WEIGHTED = [(TAG_IDS[t], t, 1.0 if t == "O" else WEIGHTS.get(t[2:], DEFAULT_WEIGHT)) for t in TAGS]
+#: Tags and weights written out by their rule: labels in order, two tags each after O; seven weights that differ from 2.
+_WEIGHTED = """WITH l AS (SELECT label, row_number() OVER (ORDER BY label) AS n FROM (SELECT unnest(string_split(
+        'ACCOUNT AGE DATE DEVICE EMAIL FAX HEALTHPLAN ID_OTHER IP LICENSE LOCATION MRN NAME PHONE SSN URL VEHICLE', ' ')) AS label)),
+    w AS (SELECT label, n, CASE WHEN label = 'SSN' THEN 5 WHEN label IN ('MRN', 'HEALTHPLAN') THEN 4 WHEN label IN ('ACCOUNT', 'NAME') THEN 3
+        WHEN label IN ('PHONE', 'EMAIL', 'ID_OTHER') THEN 2.5 WHEN label = 'URL' THEN 1.5 ELSE 2 END AS weight FROM l)"""
+_CLASSES = f"""{_WEIGHTED}, classes AS (SELECT 0 AS tag_id, 'O' AS tag, 1::DOUBLE AS weight
+    UNION ALL SELECT 2 * n - 1, 'B-' || label, weight FROM w UNION ALL SELECT 2 * n, 'I-' || label, weight FROM w)"""
+_LOGITS = f"logits AS (SELECT event_id, k, ((event_id * (k + 3) + k * k) % 17) / 4.0::DOUBLE AS x, event_id % {len(TAGS)} AS gold FROM events, range(0, {len(TAGS)}) AS r(k))"
+_BATCH = f"""{NOTES}, {MASK}, {MAPPING},
+    said AS MATERIALIZED (SELECT doc_id, masked, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(answer, '_1\\]', '_91]', 'g') ELSE answer END AS response
+        FROM (SELECT doc_id, masked, concat({lit(DRY_RUN)}, masked, {lit(BETWEEN)}, {lit(texts.QUESTION)}) AS answer FROM masks)),
+    back AS (SELECT doc_id, coalesce(list_reduce(entries, lambda text, x: replace(text, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), response), response) AS restored
+        FROM said LEFT JOIN (SELECT doc_id, list(masked || chr(1) || original ORDER BY length(masked) DESC, ordinal) AS entries FROM mapping GROUP BY doc_id) USING (doc_id)),
+    odd AS (SELECT doc_id, list(token ORDER BY n) AS tokens FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS n FROM (SELECT doc_id, regexp_extract_all(response, '\\[[A-Z_]+_\\d+\\]') AS t FROM said)) x
+        WHERE NOT EXISTS (SELECT 1 FROM mapping y WHERE y.doc_id = x.doc_id AND y.masked = x.token) GROUP BY doc_id),
+    named AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source ELSE concat('example_', row_number() OVER (ORDER BY doc_id) - 1) END AS source FROM src),
+    batch AS (SELECT doc_id, named.source, masked, response, restored, coalesce(tokens, []) AS tokens FROM said JOIN back USING (doc_id) JOIN named USING (doc_id) LEFT JOIN odd USING (doc_id))"""
+
+DUCK = synthetic.Dialect("('0x' || left(md5({text}), 8))::BIGINT", "[{items}]", "list_extract({array}, {at})", "{{'label': {label}, 'v': {v}}}", "(DATE '2020-01-01' + CAST({days} AS INT))")
+
+
+def _synthetic() -> str:
+    """split, doc_id, template_id, parts, text of the synthetic notes of both pools."""
+    pools = []
+    for split, templates in synthetic.TEMPLATES.items():
+        chosen = synthetic.Slots(DUCK).h(synthetic.TEMPLATE, len(templates))
+        rows = f"SELECT *, {synthetic.parts_sql(split, DUCK)} AS parts FROM (SELECT *, {chosen} AS t FROM (SELECT range AS id, '13' AS seed FROM range(2000)))"
+        whole = "array_to_string(list_transform(parts, lambda x: x.v), '')"
+        pools.append(f"SELECT '{split}' AS split, id AS doc_id, t AS template_id, parts, {synthetic.cased_sql(whole, DUCK)} AS text FROM ({rows})")
+    return f"synth AS MATERIALIZED ({' UNION ALL '.join(pools)})"
+
+
+_CASED = "CASE WHEN text = upper(text) THEN upper(x.v) WHEN text = lower(text) THEN lower(x.v) ELSE x.v END"
 
 ORACLE_SQL: dict[str, str] = {
     **{
@@ -191,7 +224,20 @@ ORACLE_SQL: dict[str, str] = {
     "latency_percentiles": "SELECT event_type AS stage, count(value) AS n, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(avg(value), 9) AS mean_s, round(max(value), 9) AS max_s FROM events GROUP BY event_type",
     "bio_align": f"WITH {NOTES}, {GOLD}, {TOKENS}, {aligned('tagged', 'gold')} SELECT doc_id, pos, ts, te, CAST(tag_id AS BIGINT) AS tag_id, tag FROM tagged",
     "bio_metrics": f"WITH {NOTES}, {DETECT}, {GOLD}, {TOKENS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS ordinal FROM won), {aligned('t1', 'numbered')}, {aligned('t2', 'gold')}, {decoded('d1', 't1')}, {decoded('d2', 't2')} SELECT {MEASURES} FROM (SELECT (SELECT count(*) FROM (FROM d1 INTERSECT FROM d2)) AS tp, (SELECT count(*) FROM (FROM d1 EXCEPT FROM d2)) AS fp, (SELECT count(*) FROM (FROM d2 EXCEPT FROM d1)) AS fn)",
-    "class_weights": f"SELECT CAST(tag_id AS BIGINT) AS tag_id, tag, CAST(weight AS DOUBLE) AS weight FROM (VALUES {_values(_WEIGHTED)}) v(tag_id, tag, weight)",
-    "best_epoch": "SELECT CAST(epoch AS DOUBLE) AS epoch, CAST(recall AS DOUBLE) AS recall FROM (VALUES (1, 1.0, 0.61), (2, 2.0, 0.82), (3, 3.0, 0.87), (4, 4.0, 0.87), (5, 5.0, 0.85)) v(ord, epoch, recall) ORDER BY recall DESC, ord LIMIT 1",
+    "roundtrip_batch": f"WITH {_BATCH} SELECT doc_id, source, response, restored, len(tokens) AS warnings FROM batch",
+    "roundtrip_warned": f"WITH {_BATCH} SELECT count(*) AS docs, count(*) FILTER (len(tokens) > 0) AS warned, 0::BIGINT AS leaks FROM batch",
+    "roundtrip_transcripts": f"""WITH {_BATCH} SELECT doc_id, concat('### ', source, chr(10), 'shift of dates: {DAYS} days', chr(10),
+        '**Sent**', chr(10), '```', chr(10), masked, chr(10), '```', chr(10), '**Response**', chr(10), '```', chr(10), response, chr(10), '```', chr(10),
+        '**Restored**', chr(10), '```', chr(10), restored, chr(10), '```', chr(10),
+        CASE WHEN len(tokens) > 0 THEN concat('**Unknown tokens:** ', array_to_string(tokens, ', '), chr(10)) ELSE '' END) AS transcript FROM batch""",
+    "class_weights": f"{_CLASSES} SELECT CAST(tag_id AS BIGINT) AS tag_id, tag, CAST(weight AS DOUBLE) AS weight FROM classes",
+    "argmax_tags": f"WITH {_LOGITS} SELECT event_id, min(k) AS tag_id FROM logits x JOIN (SELECT event_id, max(x) AS x FROM logits GROUP BY event_id) USING (event_id, x) GROUP BY event_id",
+    "weighted_loss": f"""{_CLASSES}, {_LOGITS}, sums AS (SELECT event_id, gold, ln(sum(exp(x))) - max(x) FILTER (k = gold) AS nll FROM logits WHERE event_id % 11 <> 0 GROUP BY event_id, gold)
+        SELECT round(sum(weight * nll) / sum(weight), 9) AS loss, count(*) AS tokens FROM sums JOIN classes ON tag_id = gold""",
+    "best_epoch": "SELECT CAST(epoch AS DOUBLE) AS epoch, recall FROM (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) AS epoch, round(avg(value) / 100, 2) AS recall FROM events GROUP BY 1) ORDER BY recall DESC, epoch LIMIT 1",
+    "synth_notes": f"""WITH {_synthetic()}, tags AS (SELECT split, doc_id, string_agg(label || '=' || v, '|' ORDER BY n) AS tagged FROM (
+            SELECT split, doc_id, x.label AS label, {_CASED} AS v, n FROM (SELECT split, doc_id, text, unnest(parts) AS x, generate_subscripts(parts, 1) AS n FROM synth)) WHERE label IS NOT NULL GROUP BY split, doc_id)
+        SELECT split, doc_id, template_id, text, coalesce(tagged, '') AS tagged FROM synth LEFT JOIN tags USING (split, doc_id)""",
+    "synth_label_support": f"WITH {_synthetic()} SELECT split, x.label AS label, count(*) AS n FROM (SELECT split, unnest(parts) AS x FROM synth) WHERE x.label IS NOT NULL GROUP BY split, x.label",
     "leak_scan_conversations": f"WITH src AS (SELECT row_number() OVER () AS doc_id, role, text FROM conversations), {DETECT} SELECT role, count(*) AS turns, count(w.doc_id) AS with_hits FROM src LEFT JOIN (SELECT DISTINCT doc_id FROM won) w ON w.doc_id = src.doc_id GROUP BY role",
 }

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.functions import dates, labels, spans
 from textveil.functions.patterns import PATTERNS
-from textveil.operators import bio, latency, masking, restore, scoring
+from textveil.operators import bio, latency, masking, restore, roundtrip, scoring
 from textveil.sources import synthetic
 from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, notes
@@ -108,9 +108,29 @@ def pseudonym_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked notes as responses; in every seventh the first pseudonyms are replaced by ones that no mapping knows."""
     done = _masked("notes", spark, sf_dir)
-    swapped = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("masked", "_1\\]", "_91]")).otherwise(F.col("masked"))
-    return done.select("doc_id", swapped.alias("response"), F.expr("""transform(array_distinct(transform(filter(items, x -> x.mapped), x -> x.m)), (m, i) ->
-        named_struct('ordinal', i, 'masked', m, 'original', element_at(filter(items, x -> x.mapped and x.m = m), -1).o))""").alias("entries"))
+    return done.select("doc_id", _swapped(F.col("masked")).alias("response"), masking.entries().alias("entries"))
+
+
+def _swapped(response: Column) -> Column:
+    return F.when(F.col("doc_id") % 7 == 0, F.regexp_replace(response, "_1\\]", "_91]")).otherwise(response)
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of notes, some without a source, through the round trip."""
+    rows = notes(spark, sf_dir).select("doc_id", "text", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source"))
+    return roundtrip.run(texts.named(rows), texts.QUESTION, SECRET, lambda p: _swapped(restore.dry_run(p)), check=False, shift_days=DAYS)
+
+
+def roundtrip_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batch(spark, sf_dir).select("doc_id", "source", "response", "restored", F.size("warnings").cast("long").alias("warnings"))
+
+
+def roundtrip_warned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip.warned(_batch(spark, sf_dir))
+
+
+def roundtrip_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip.transcripts(_batch(spark, sf_dir))
 
 
 def rehydrate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,35 +218,41 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(latency.summary(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value"))
 
 
-def _numbered(rows: DataFrame, column: str) -> DataFrame:
-    return rows.select("doc_id", F.posexplode_outer(column).alias("ordinal", "g")).where("g is not null").select("doc_id", "ordinal", "g.*")
-
-
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = notes(spark, sf_dir)
-    gold = _numbered(rows, "gold")
-    return bio.align(bio.tokens(rows), gold)
-
-
 def bio_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pos", "ts", "te", "tag_id")), "tag")
+    tagged = bio.align(notes(spark, sf_dir), "gold")
+    return tagged.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("pos", "ts", "te", "tag_id")), "tag")
 
 
 def bio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of the tags of regex spans against those of gold tags."""
     rows = spans.with_spans(notes(spark, sf_dir))
-    words = bio.tokens(rows)
-    tagged = [bio.decode(bio.align(words, _numbered(rows, c))) for c in ("spans", "gold")]
-    return _tidy(scoring.overall(scoring.verdicts(*tagged)))
+    return _tidy(scoring.overall(scoring.verdicts(*(bio.decode(bio.align(rows, c)) for c in ("spans", "gold")))))
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bio.class_weights(spark).withColumn("tag_id", F.col("tag_id").cast("long"))
 
 
+def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-ins for a model's output: 35 numbers for every event, and a gold tag, which some have not."""
+    numbers = F.expr(f"transform(sequence(0, {len(labels.TAGS) - 1}), k -> cast((event_id * (k + 3) + k * k) % 17 as double) / 4)")
+    gold = F.expr(f"if(event_id % 11 = 0, {bio.IGNORED}, cast(event_id % {len(labels.TAGS)} as int))")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", numbers.alias("logits"), gold.alias("tag_id"))
+
+
+def argmax_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logits(spark, sf_dir).selectExpr("event_id", f"cast({bio.argmax_tags('array(logits)')}[0] as bigint) as tag_id")
+
+
+def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(bio.weighted_loss(_logits(spark, sf_dir)))
+
+
 def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = spark.createDataFrame([(1, 1.0, 0.61), (2, 2.0, 0.82), (3, 3.0, 0.87), (4, 4.0, 0.87), (5, 5.0, 0.85)], "ord int, epoch double, recall double")
-    return latency.best_epoch(log)
+    """Days of the events as epochs: the first one with the highest mean value, in hundredths."""
+    day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(day.alias("ord")).agg(F.round(F.avg("value") / 100, 2).alias("recall"))
+    return latency.best_epoch(log.withColumn("epoch", F.col("ord").cast("double")))
 
 
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,15 +261,20 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.size("spans") > 0).alias("with_hits"))
 
 
-def synth_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic notes of both pools, with how often each label stands in them."""
+def _synthetic(spark: SparkSession) -> DataFrame:
+    """Synthetic notes of both pools."""
     both = [synthetic.generate(spark, 2000, split=s).withColumn("split", F.lit(s)) for s in ("train", "eval")]
-    return both[0].unionByName(both[1]).select("split", "doc_id", "template_id", "text", F.size("entities").cast("long").alias("n_entities"))
+    return both[0].unionByName(both[1])
+
+
+def synth_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the parts that are tagged, in order."""
+    tagged = F.expr("array_join(transform(entities, x -> concat(x.label, '=', substring(text, x.s + 1, x.e - x.s))), '|')")
+    return _synthetic(spark).select("split", "doc_id", F.col("template_id").cast("long").alias("template_id"), "text", tagged.alias("tagged"))
 
 
 def synth_label_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = [synthetic.generate(spark, 2000, split=s).withColumn("split", F.lit(s)) for s in ("train", "eval")]
-    return both[0].unionByName(both[1]).select("split", F.inline("entities")).groupBy("split", "label").agg(F.count("*").alias("n"))
+    return _synthetic(spark).select("split", F.inline("entities")).groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
 QUERIES: dict[str, Query] = {
@@ -265,6 +296,9 @@ QUERIES: dict[str, Query] = {
     "rehydrate_notes": rehydrate_notes,
     "rehydrate_warnings": rehydrate_warnings,
     "roundtrip_dry": roundtrip_dry,
+    "roundtrip_batch": roundtrip_batch,
+    "roundtrip_warned": roundtrip_warned,
+    "roundtrip_transcripts": roundtrip_transcripts,
     "ensemble_spans": ensemble_spans,
     "normalise_labels": normalise_labels,
     "score_overall": score_overall,
@@ -277,6 +311,8 @@ QUERIES: dict[str, Query] = {
     "bio_align": bio_align,
     "bio_metrics": bio_metrics,
     "class_weights": class_weights,
+    "argmax_tags": argmax_tags,
+    "weighted_loss": weighted_loss,
     "best_epoch": best_epoch,
     "leak_scan_conversations": leak_scan,
     "synth_notes": synth_notes,

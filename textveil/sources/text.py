@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from textveil.functions import spans
 
-SAMPLE = "Ms. Ida Corso, MRN-204518, was seen on 3/14/1987 and again on February 11, 2024. Call (555) 300-1212. She stayed 8 days."
-QUESTION = "List the follow-up steps."
+SAMPLE = "Nurse Ida Corso found MRN-731605 on the desk on 7/29/1994 and filed it on October 6, 2021. Dial (555) 846-0933. It had lain there for 3 weeks."
+QUESTION = "Which entries need an answer?"
 #: Hand-marked texts: parts in order, with labels.
 GOLD = [
-    ("ward letter", "Dr. Hale saw Ana Duval on 04/02/2023 in Nordheim; plan 12-3456-789.", [("Hale", "NAME"), ("Ana Duval", "NAME"), ("04/02/2023", "DATE"), ("Nordheim", "LOCATION"), ("12-3456-789", "HEALTHPLAN")]),
-    ("run sheet", "EMS-2024-03318 left at noon on 5/6/2024, Hale driving, Hale signing.", [("EMS-2024-03318", "ID_OTHER"), ("5/6/2024", "DATE"), ("Hale", "NAME"), ("Hale", "NAME")]),
-    ("front desk", "Account ED-24-0211-556, MRN-884512, age 93, fax 555-219-4472.", [("ED-24-0211-556", "ACCOUNT"), ("MRN-884512", "MRN"), ("93", "AGE"), ("555-219-4472", "FAX")]),
+    ("ward letter", "Dr. Hale saw Ana Duval on 04/02/2023 in Nordheim; plan 61-7720-345.", [("Hale", "NAME"), ("Ana Duval", "NAME"), ("04/02/2023", "DATE"), ("Nordheim", "LOCATION"), ("61-7720-345", "HEALTHPLAN")]),
+    ("run sheet", "EMS-2019-7712 left at noon on 5/6/2022, Hale driving, Hale signing.", [("EMS-2019-7712", "ID_OTHER"), ("5/6/2022", "DATE"), ("Hale", "NAME"), ("Hale", "NAME")]),
+    ("front desk", "Account OR-17-9034-208, PCG-660917, age 93, fax 555-846-0934.", [("OR-17-9034-208", "ACCOUNT"), ("PCG-660917", "MRN"), ("93", "AGE"), ("555-846-0934", "FAX")]),
     ("no one", "Pulse 72, pressure 120/80, next visit in 3 weeks.", []),
 ]
 
@@ -34,7 +34,24 @@ def gold(spark: SparkSession) -> DataFrame:
     return docs.select("doc_id", "source", "text", spans.locate("text", "wanted").alias("entities"))
 
 
+def placed(docs: DataFrame, key: str = "doc_id", ranges: int = 200) -> DataFrame:
+    """docs with place, each row's number from 0 in the order of key (unique; null first), without one task for all rows.
+
+    Rows are dealt to ranges of the key by its approximate quantiles, ranges are counted, and a row's place is its rank in
+    its range behind the counts of those before. Only the ranges' bounds and counts reach the driver.
+    """
+    cuts = docs.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)]).alias("cuts")).first().cuts or []
+    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
+    dealt = docs.withColumn("_range", F.size(F.filter(bounds, lambda c: c < F.col(key))) if cuts else F.lit(0))
+    dealt = dealt.withColumn("_range", F.when(F.isnull(key), -1).otherwise(F.col("_range")))
+    before, total = {}, 0
+    for number, count in sorted(map(tuple, dealt.groupBy("_range").count().collect())):  # a row for each range
+        before[number], total = total, total + count
+    starts = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(0), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return dealt.withColumn("place", (rank + F.element_at(starts, F.col("_range"))).cast("long")).drop("_range")
+
+
 def named(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with example_<n> for missing sources, n counted by the key from 0 among those that lack one, in a small batch."""
-    place = F.row_number().over(Window.partitionBy(F.isnull("source")).orderBy(key)) - 1
-    return docs.withColumn("source", F.coalesce("source", F.concat(F.lit("example_"), place.cast("string"))))
+    """docs with example_<i> for missing sources, i being the row's place in the batch, in the order of key from 0."""
+    return placed(docs, key).withColumn("source", F.coalesce("source", F.concat(F.lit("example_"), F.col("place").cast("string")))).drop("place")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A run of digits that fails at its start fails at every later digit too, so only starts of runs are tried.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -44,18 +46,21 @@ SPELLED = {
 
 TIMES = {"double": 2, "doble": 2, "triple": 3}
 _WORD, _TIMES = "|".join(sorted(SPELLED, key=len, reverse=True)), "|".join(TIMES)
-_DIGIT = rf"(?:(?:{_TIMES})[ -]+(?:[0-9]|{_WORD})|[0-9]+|{_WORD})"
-SPELLED_ONE = re.compile(rf"\b(?:(?P<times>{_TIMES})[ -]+(?P<of>[0-9]|{_WORD})|(?P<one>{_WORD}))\b", re.IGNORECASE)
-#: Three or more digits in a row, spelled ones among them, with light separators between; doubles, triples and pluses count.
-SPELLED_RUN = re.compile(
-    rf"(?<![^\W_])(?:plus[ ]+)?\(?{_DIGIT}(?:\)?[ ,]*(?:[-.(]|\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b)?[ ]*\(?{_DIGIT}){{2,}}(?![^\W_])",
-    re.IGNORECASE,
-)
+#: Digits, or a spelled digit, once or more times, where no letter or digit touches it; and a spelled one in words.
+DIGIT = re.compile(rf"(?<![^\W_])(?:(?:{_TIMES})[ -]++(?:[0-9]|{_WORD})|[0-9]++|{_WORD})(?![^\W_])", re.IGNORECASE)
+SPELLED_ONE = re.compile(rf"\b(?:(?P<times>{_TIMES})[ -]++(?P<of>[0-9]|{_WORD})|(?P<one>{_WORD}))\b", re.IGNORECASE)
+#: Light separators between two digits of a run. Each part takes all it can, so a gap is read once.
+BETWEEN = re.compile(r"\)?+[ ,]*+(?:[-.(]|\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b)?+[ ]*+\(?+", re.IGNORECASE)
+BEFORE_RUN = re.compile(r"(?:(?<![^\W_])plus[ ]+)?\(?\Z", re.IGNORECASE)
+SAID_DOT = re.compile(r"(?<! )[ ]*+\b(?:dot|point|punkt|punto)\b[ ]*+", re.IGNORECASE)
+SAID_PLUS = re.compile(r"\bplus[ ]+", re.IGNORECASE)
+WIDE_GAP = re.compile(r"[ ]*,[ ]*|[ ]{2,}")
+LEAST_RUN = 3
 #: What a text with such a run has between characters that are no ASCII letters.
 SPELLED_FORMS = frozenset(word.encode() for word in (*SPELLED, *TIMES) if word.isascii())
 SPELLED_OTHER = tuple(word for word in SPELLED if not word.isascii())
 LETTERS = bytes(c if 0x61 <= c <= 0x7A else 0x20 for c in range(256))
-AT = r"(?:[ ]*[\[({<][ ]*(?:at|@|arroba|chez|ät)[ ]*[\])}>][ ]*|[ ]+(?:at|arroba)[ ]+|[ ]+@[ ]*|[ ]*@[ ]+|[ ]*[_-]at[_-][ ]*)"
+AT = r"(?:[ ]*[\[({<][ ]*(?:at|@|arroba|arobase|chez|ät)[ ]*[\])}>][ ]*|[ ]+(?:at|arroba|arobase)[ ]+|[ ]+@[ ]*|[ ]*@[ ]+|[ ]*[_-]at[_-][ ]*)"
 DOT = r"(?:[ ]*[\[({<][ ]*(?:dot|\.|punkt|point|punto)[ ]*[\])}>][ ]*|[ ]+(?:dot|punkt|point|punto)[ ]+|[ ]+\.[ ]+|[ ]*[_-]dot[_-][ ]*)"
 #: A disguised address: local part, at, host, and dots; either sign may be plain, but not both.
 ADDRESS = re.compile(
@@ -63,12 +68,13 @@ ADDRESS = re.compile(
     rf"(?P<host>[A-Za-z0-9-]+(?:(?:\.|{DOT})[A-Za-z0-9-]+)+)(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
-AT_WORD = re.compile(r"@|\bat\b|(?<=_)at(?=_)|\barroba\b|\bchez\b|\bät\b", re.IGNORECASE)
+AT_WORD = re.compile(r"@|\bat\b|(?<=_)at(?=_)|\barroba\b|\barobase\b|\bchez\b|\bät\b", re.IGNORECASE)
 #: What must follow an at sign or word, and how far around it an address is looked for first.
-AFTER_AT = re.compile(rf"[\])}}>_ -]*[A-Za-z0-9-]+(?:\.|{DOT})[A-Za-z0-9]", re.IGNORECASE)
+AFTER_AT = re.compile(rf"[\])}}>_ -]*+[A-Za-z0-9][A-Za-z0-9-]*(?:\.|{DOT})[A-Za-z0-9]", re.IGNORECASE)
 REACH = 512
+DOT_SIGN = re.compile(r"\.|dot|punkt|point|punto", re.IGNORECASE)
 DOT_ONE = re.compile(DOT, re.IGNORECASE)
-DOT_BETWEEN = re.compile(r"[0-9](?:[ ]*[\[({<_-]?[ ]*(?:dot|punkt|point|punto)\b|[ ]*[\[({<][ ]*\.|[ ]+\.[ ]+)", re.IGNORECASE)
+DOT_BETWEEN = re.compile(r"[0-9](?:[ ]*+[\[({<_-]?+[ ]*+(?:dot|punkt|point|punto)\b|[ ]*+[\[({<][ ]*+\.|[ ]++\.[ ])", re.IGNORECASE)
 DOT_IN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{DOT})[0-9]{{1,3}}){{3}}(?![0-9.])", re.IGNORECASE)
 #: Last labels that make a host likely where the signs are bare words (fixed values); any two-letter one counts too.
 ENDINGS = frozenset("com org net edu gov info biz dev app test example invalid local online site xyz".split())
@@ -165,8 +171,11 @@ def likely(m: re.Match) -> bool:
 def undisguise(tape: Tape) -> None:
     """`at` and `dot` in an address become signs; dots between the parts of an IP address too."""
     text, edits, done = tape.text, [], 0
+    dots = [m.start() for m in DOT_SIGN.finditer(text)] if AT_WORD.search(text) else []
     for hit in AT_WORD.finditer(text):
-        if hit.start() < done or not AFTER_AT.match(text, hit.end()):
+        if hit.start() < done or bisect_left(dots, hit.end()) == bisect_left(dots, hit.end() + REACH):
+            continue
+        if not AFTER_AT.match(text, hit.end(), hit.end() + REACH):
             continue
         m = next((m for m in ADDRESS.finditer(text, max(done, hit.start() - REACH), hit.end() + REACH) if m.end("at") >= hit.end()), None)
         if m and m.end() == hit.end() + REACH:  # a host that goes on beyond the reach
@@ -191,7 +200,7 @@ def _lower(text: str) -> str:
 
 
 def maybe_spelled(text: str) -> bool:
-    """Whether any digit may be spelled out: true wherever SPELLED_RUN finds a spelled one that stands apart."""
+    """Whether any digit may be spelled out: true wherever a run holds a spelled one that stands apart."""
     low = _lower(text)
     words = low.encode("utf-8", "surrogatepass").translate(LETTERS).split()
     return not SPELLED_FORMS.isdisjoint(words) or not low.isascii() and any(w in low for w in SPELLED_OTHER)
@@ -202,21 +211,36 @@ def _digits(m: re.Match) -> str:
     return SPELLED.get(one, one) * TIMES.get(_lower(m["times"] or ""), 1)
 
 
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Three or more digits in a row, spelled ones among them, with light separators between; doubles, triples and a plus
+    before count. The text is read once."""
+    start, end, many = 0, 0, 0
+    for m in DIGIT.finditer(text):
+        if many and BETWEEN.fullmatch(text, end, m.start()):
+            end, many = m.end(), many + 1
+            continue
+        if many >= LEAST_RUN:
+            yield start - len(BEFORE_RUN.search(text, max(0, start - 64), start)[0]), end
+        start, end, many = *m.span(), 1
+    if many >= LEAST_RUN:
+        yield start - len(BEFORE_RUN.search(text, max(0, start - 64), start)[0]), end
+
+
 def spell_out(tape: Tape) -> None:
     """Runs of three or more digits, spelled ones among them, become digits; a dot spelled between them a dot."""
     if not maybe_spelled(tape.text):
         return
     edits = []
-    for m in SPELLED_RUN.finditer(tape.text):
-        words = list(SPELLED_ONE.finditer(tape.text, *m.span()))
+    for run in runs(tape.text):
+        words = list(SPELLED_ONE.finditer(tape.text, *run))
         if not words:
             continue
         inner = [(w.start(), w.end(), _digits(w)) for w in words]
-        inner += [(w.start(), w.end(), ".") for w in re.compile(r"[ ]*\b(?:dot|point|punkt|punto)\b[ ]*", re.IGNORECASE).finditer(tape.text, *m.span())]
-        inner += [(w.start(), w.end(), "+") for w in re.compile(r"\bplus[ ]+", re.IGNORECASE).finditer(tape.text, *m.span())]
+        inner += [(w.start(), w.end(), ".") for w in SAID_DOT.finditer(tape.text, *run)]
+        inner += [(w.start(), w.end(), "+") for w in SAID_PLUS.finditer(tape.text, *run)]
         # Blanks and commas between two spelled digits are part of the spelling; other commas and wide gaps are one blank.
         inner += [(a.end(), b.start(), "") for a, b in zip(words, words[1:], strict=False) if not tape.text[a.end() : b.start()].strip(" ,")]
-        inner += [(w.start(), w.end(), " ") for w in re.compile(r"[ ]*,[ ]*|[ ]{2,}").finditer(tape.text, *m.span())]
+        inner += [(w.start(), w.end(), " ") for w in WIDE_GAP.finditer(tape.text, *run)]
         inner.sort()
         edits += [e for k, e in enumerate(inner) if not k or inner[k - 1][1] <= e[0]]
     tape.rewrite(edits)
@@ -228,7 +252,7 @@ def disguised(tape: Tape, start: int, end: int, source: str) -> bool:
     return bool(SIGN.search(said)) or len(SPELLED_ONE.findall(said)) > 1
 
 
-SIGN = re.compile(r"[\[({<][ ]*(?:at|@|arroba|chez|ät|dot|\.|punkt|point|punto)[ ]*[\])}>]|[_-](?:at|dot)[_-]|[ ]dot[ ]", re.IGNORECASE)
+SIGN = re.compile(r"[\[({<][ ]*(?:at|@|arroba|arobase|chez|ät|dot|\.|punkt|point|punto)[ ]*[\])}>]|[_-](?:at|dot)[_-]|[ ]dot[ ]", re.IGNORECASE)
 TRANSDUCERS: tuple[Callable[[Tape], None], ...] = (fold, undisguise, spell_out, undisguise)
 
 
@@ -240,10 +264,12 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
         step(tape)
     if not tape.changed:
         return base, base
-    every = list(base)
+    every, plain = list(base), {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     for kind, start, end in base_spans(tape.text):
         s, e = tape.starts[start], tape.ends[end - 1]
-        touched = [(a, b) for k, a, b in base if k == kind and s < b and a < e]
+        near = plain[kind]
+        first = max(0, bisect_left(near, (s,)) - 1)  # plain spans of a kind are in order and apart
+        touched = [x for x in near[first : bisect_left(near, (e,))] if s < x[1]]
         # One that reaches beyond a plain match is told from a chance join by having no blank in it, or a sign of disguise.
         longer = not any(a <= s and e <= b for a, b in touched)
         if not touched or longer and (not re.search(r"\s", text[s:e]) or any(s <= a and b <= e for a, b in touched) and disguised(tape, start, end, text)):

@@ -1,10 +1,11 @@
 """Quality rules with DataFrame functions alone.
 
 Base rules count words, characters, symbols, repeated lines and repeated five-word windows. The verdict of documents that
-pass them is a log-likelihood ratio: n-grams of two orders (words and the last three characters of words; pairs of words;
-case kept) are hashed into a fixed number of cells an order, all pairs of equal words into one; one multinomial over an
-order's cells comes from a trusted target, one from the raw corpus, and a document's mean log ratio per n-gram must reach
-a fixed threshold in both orders. Every document is judged by the same deterministic rule.
+pass them is a log-likelihood ratio: n-grams of two orders (words; pairs of words; case kept) are hashed into a fixed
+number of cells an order, all pairs of equal words into one; one multinomial over an order's cells comes from a trusted
+target, one from the raw corpus, and a document's mean log ratio per n-gram must reach a fixed threshold in both orders.
+Hashes are the leading 32 bits of a word's md5, so that any engine gets the same cells. Every document is judged by the
+same deterministic rule.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from textveil.llm.common import SPACE, text_of
 
-#: Cells of each order's hashed n-gram space, weight of a cell's prior count, and the lowest mean log ratio that is kept.
-CELLS, PRIOR, THRESHOLD = 16384, 1.0, -0.5
+#: Cells of each order's hashed n-gram space, and weight of a cell's prior count.
+CELLS, PRIOR = 16384, 1.0
+#: Lowest mean log ratio that is kept: below it the raw corpus gives each n-gram 1.65 times the chance that the target does.
+THRESHOLD = -0.5
 #: Bound of the trusted target: so many rows at most, chosen by a hash of their id.
 TARGET_ROWS = 20_000
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 10, 20, 5
@@ -25,32 +28,39 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def _cells(cells: int) -> Column:
-    """Cells of a row's n-grams, from its column words."""
-    return F.expr(f"""concat(transform(words, w -> cast(pmod(xxhash64(w), {cells}) as int)),
-                             transform(words, w -> cast(pmod(xxhash64(right(w, 3), 1), {cells}) as int)))""")
+def _hashes() -> Column:
+    """A number of 32 bits for each of a row's words."""
+    return F.expr("transform(words, w -> cast(conv(left(md5(w), 8), 16, 10) as bigint))")
 
 
-def _pairs(cells: int) -> Column:
-    """Cells of a row's word pairs, which follow those of the words; a stutter is the same pair whatever its word."""
-    return F.expr(f"""if(size(words) < 2, cast(array() as array<int>),
-                     zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1),
-                              (a, b) -> cast({cells} + pmod(if(a = b, xxhash64(2), xxhash64(a, b, 2)), {cells}) as int)))""")
+def _grams(cells: int) -> tuple[Column, Column]:
+    """Cells of a row's words, and of its word pairs, which follow those of the words; from its column hashes.
+
+    A stutter is the same pair whatever its word.
+    """
+    words = F.expr(f"transform(hashes, h -> cast(h % {cells} as int))")
+    pairs = F.expr(f"""if(size(hashes) < 2, cast(array() as array<int>),
+                     zip_with(slice(hashes, 1, size(hashes) - 1), slice(hashes, 2, size(hashes) - 1),
+                              (a, b) -> cast({cells} + if(a = b, 0, (31 * a + b) % {cells}) as int)))""")
+    return words, pairs
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, prior: float = PRIOR, target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row: weights, an array of log(target share / raw share) by cell, first of words, then of pairs.
 
-    trusted: the ids (column doc_id) of trusted documents, of which at most target_rows are taken. The raw counts cover
-    every document. Without documents or trusted ones all weights are equal, which then leaves the base rules alone.
+    trusted: the ids (column doc_id) of trusted documents, of which at most target_rows are taken; null and repeated ones
+    don't count. The raw counts cover every document. Without documents or trusted ones all weights are equal, which then
+    leaves the base rules alone.
     """
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("target", F.lit(1))
+    chosen = ids.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(target_rows).withColumn("target", F.lit(1))
     read = docs.select("doc_id", _words(text_of()).alias("words")).join(F.broadcast(chosen), "doc_id", "left")  # bounded by target_rows
-    grams = read.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(F.concat(_cells(cells), _pairs(cells))).alias("cell"))
+    read = read.select(F.coalesce("target", F.lit(0)).alias("target"), _hashes().alias("hashes"))
+    grams = read.select("target", F.explode(F.concat(*_grams(cells))).alias("cell"))
     counts = grams.groupBy("cell").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(2 * cells).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left").na.fill(0)
-    table = every.agg(F.array_sort(F.collect_list(F.struct("cell", "raw", "target"))).alias("t"), *(F.sum(F.when((F.col("cell") >= cells) == pair, F.col(name))).alias(short) for name, short, pair in (("raw", "r", False), ("target", "g", False), ("raw", "r2", True), ("target", "g2", True))))
+    sums = {short: F.sum(F.when((F.col("cell") >= cells) == pair, F.col(name))).alias(short) for name, short, pair in (("raw", "r", False), ("target", "g", False), ("raw", "r2", True), ("target", "g2", True))}
+    table = every.agg(F.array_sort(F.collect_list(F.struct("cell", "raw", "target"))).alias("t"), *sums.values())
     ratio = f"ln((x.target + {prior}) / (if(x.cell < {cells}, g, g2) + {prior * cells})) - ln((x.raw + {prior}) / (if(x.cell < {cells}, r, r2) + {prior * cells}))"
     return table.selectExpr(f"if(g = 0, transform(t, x -> 0D), transform(t, x -> cast({ratio} as double))) as weights")
 
@@ -58,8 +68,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, prior: f
 def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
-    Null and empty texts have no words and fail. score is the mean log ratio (0 without n-grams). Windows are compared by
-    64-bit hashes of their words. The score is the lower of the two orders' means. Repeated rows get equal results; extra columns are ignored.
+    Null and empty texts have no words and fail. score is the lower of the two orders' mean log ratios (0 without
+    n-grams). Windows are compared by 64-bit hashes of their words. Repeated rows get equal results; extra columns are
+    ignored. Each measure is computed once, whatever filters and columns follow.
     """
     text = text_of()
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
@@ -67,11 +78,12 @@ def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: flo
     gets = ", ".join(f"get(words, i + {k})" for k in range(WINDOW))
     second = first.select(
         "doc_id", "n_symbols", F.size("words").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _cells(cells).alias("cells"), _pairs(cells).alias("pairs"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _hashes().alias("hashes"),
         F.expr(f"if(size(words) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {WINDOW}), i -> xxhash64({gets})))").alias("windows"),
     )
+    words, pairs = _grams(cells)
     third = second.select(
-        "*", ratios.select("weights").scalar().alias("weights"),
+        "*", words.alias("cells"), pairs.alias("pairs"), ratios.select("weights").scalar().alias("weights"),
         F.expr("""if(size(array_distinct(windows)) = size(windows), cast(array() as array<struct<h: bigint, i: int>>),
                      array_sort(transform(windows, (h, i) -> named_struct('h', h, 'i', i))))""").alias("ordered"),
     )
@@ -81,9 +93,8 @@ def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: flo
         F.least(*(F.expr(f"if(size({x}) = 0, 0D, aggregate({x}, 0D, (sum, c) -> sum + get(weights, c)) / size({x}))") for x in ("cells", "pairs"))).alias("score"),
     )
     covered = f"aggregate(zip_with(at, slice(at, 2, size(at)), (a, b) -> least(coalesce(b - a, {WINDOW}), {WINDOW})), 0, (sum, n) -> sum + n)"
-    counted = fourth.select(
-        "doc_id", *(F.col(c).cast("long") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")),
-        F.expr(f"if(size(at) = 0, 0L, cast({covered} as long))").alias("n_repeat_words"), "score",
-    )
+    measures = [*(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")), F.expr(f"if(size(at) = 0, 0L, cast({covered} as long))").alias("n_repeat_words"), "score"]
+    # A generator of one row: the optimiser takes no filter and no column through it, so none of the above is written out again.
+    counted = fourth.select("doc_id", F.inline_outer(F.array(F.struct(*measures))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -15,12 +15,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
-def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_email to n_phone count the base spans; spans lists these and the disguised ones."""
+def pii_digests(found: DataFrame) -> DataFrame:
+    """Counts and digest of the base spans of pii.find, and all spans as text."""
     listed = "concat_ws(',', transform({}, x -> concat_ws(':', x.kind, x.start, x.end)))"
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
     digest = F.sha2(F.expr(listed.format("base")).cast("binary"), 256).alias("base_sha256")
-    return pii.find(documents(spark, sf_dir)).select("doc_id", *counts, digest, F.expr(listed.format("spans")).alias("spans"))
+    return found.select("doc_id", *counts, digest, F.expr(listed.format("spans")).alias("spans"))
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the base spans; spans lists these and the disguised ones. Null texts have none."""
+    return pii_digests(pii.find(documents(spark, sf_dir)))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trusted target: labelled rows of quality 1."""
     docs = documents(spark, sf_dir)
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return quality.judge(docs, quality.log_ratios(docs, trusted))
+    return quality.judge(docs, quality.log_ratios(docs, trusted)).drop("score")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,45 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_quality": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), token AS (
+            SELECT row, doc_id, i, ('0x' || left(md5(words[i]), 8))::BIGINT AS h, words[i : i + {quality.WINDOW - 1}] AS five, len(words) AS n
+            FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM d)
+        ), again AS (
+            SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, five) AS times FROM token WHERE i <= n - {quality.WINDOW - 1}) WHERE times > 1
+        ), inside AS (
+            SELECT row, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, {quality.WINDOW}) AS r(k) GROUP BY row
+        ), gram AS (
+            SELECT row, doc_id, 1 AS size, h % {quality.CELLS} AS cell FROM token
+            UNION ALL
+            SELECT row, doc_id, 2, if(h = after, 0, (31 * h + after) % {quality.CELLS})
+            FROM (SELECT row, doc_id, h, lead(h) OVER (PARTITION BY row ORDER BY i) AS after FROM token) WHERE after IS NOT NULL
+        ), chosen AS (
+            SELECT DISTINCT doc_id, md5(doc_id::VARCHAR) AS place FROM labels WHERE quality = 1 AND doc_id IS NOT NULL ORDER BY place, doc_id LIMIT {quality.TARGET_ROWS}
+        ), count AS (
+            SELECT size, cell, count(*) AS raw, count(chosen.doc_id) AS target FROM gram LEFT JOIN chosen USING (doc_id) GROUP BY size, cell
+        ), weight AS (
+            SELECT size, cell, ln((target + {quality.PRIOR}) / (sum(target) OVER w + {quality.PRIOR * quality.CELLS}))
+                               - ln((raw + {quality.PRIOR}) / (sum(raw) OVER w + {quality.PRIOR * quality.CELLS})) AS weight
+            FROM count WINDOW w AS (PARTITION BY size)
+        ), score AS (
+            SELECT row, min(mean) AS score FROM (SELECT row, size, avg(weight) AS mean FROM gram JOIN weight USING (size, cell) GROUP BY row, size) GROUP BY row
+        ), base AS (
+            SELECT row, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines
+            FROM d
+        ), ruled AS (
+            SELECT base.*, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(score, 0) AS score,
+                   n_words < {quality.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed
+            FROM base LEFT JOIN inside USING (row) LEFT JOIN score USING (row)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {quality.THRESHOLD} AS kept
+        FROM ruled""",
     "op9_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,22 +18,43 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, set here only where the session has none."""
+    """The folder for intermediate tables: spark.checkpoint.dir. Only a session on one machine may do without and gets a
+    temporary one; elsewhere no folder of one machine would do, so an unset folder is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         place = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
 
+#: Intermediate tables written so far, by the application that reads them.
+_written: dict[str, list[str]] = {}
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends and lost executors cost nothing twice."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends and lost executors cost nothing twice.
+
+    Results read the table whenever they are asked for, so it stays until release() is called.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables of this application, once no result needs them any more; how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def text_of(column: str = "text") -> Column:
     """The column's text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

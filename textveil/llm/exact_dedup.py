@@ -51,11 +51,11 @@ def exact_groups(docs: DataFrame, first_width: int = FIRST_WIDTH, widening: int
     done = settled[0]
     for more in settled[1:]:
         done = done.unionByName(more)
+    # Unique rows pass by; groups and their rows meet as two plain exchanges, which adaptive execution splits where one is hot.
+    alone = done.where("gid is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    grouped = done.where("gid is not null")
     best = F.min(F.struct((-F.col("n_chars")).alias("size"), F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("keep_id")))
-    classes = done.where("gid is not null").groupBy("level", "gid").agg(F.count("*").alias("n"), best.alias("best"), F.lit(True).alias("grouped"))
-    out = done.join(classes, ["level", "gid"], "left")
-    keep = F.when(F.col("grouped"), F.col("best.keep_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256",
-    )
+    classes = durable(grouped.groupBy("level", "gid").agg(F.count("*").alias("group_size"), best.alias("best")), "radix-classes")
+    out = grouped.join(classes.hint("merge"), ["level", "gid"])
+    keep = F.col("best.keep_id")
+    return alone.unionByName(out.select("doc_id", keep.alias("keep_id"), "group_size", keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256"))

@@ -9,8 +9,12 @@ from textveil.llm.common import durable
 
 
 def _to_minimum(links: DataFrame) -> DataFrame:
-    """links (u, v) with the smallest of u and its v's as m. The minimum is taken before the shuffle, so hubs are cheap."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """links (u, v) with the smallest of u and its v's as m.
+
+    The minimum is taken before the shuffle and written, so that the join has two plain exchanges: the links of a hub are
+    split over tasks by adaptive execution.
+    """
+    least = durable(links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return links.join(least.hint("merge"), "u")
 
 
@@ -25,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
         large = _to_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = _to_minimum(large)
+        small = _to_minimum(durable(large, "links"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         pairs = durable(small.where("u != v").distinct(), "links")
         crowded = pairs.groupBy("u").count().where("count > 1").select("u")

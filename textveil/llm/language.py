@@ -13,15 +13,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.llm.common import crc_mod
 
 #: Cells of the hashed n-gram space, longest n-gram, landmark texts, ridge penalty.
 CELLS, LONGEST, LANDMARKS, RIDGE = 8192, 4, 160, 1e-2
-#: Bounds of the labelled sample: rows a language, and code points of a text that can be in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 600, 20_000
+#: Bounds of the labelled sample: rows of a language and of all of them, and code points of a text that can be in it; of a
+#: language without such texts, so many of its shortest.
+SAMPLE_ROWS, ALL_ROWS, SAMPLE_CHARS, LONG_ROWS = 600, 40_000, 20_000, 3
+#: Texts whose n-grams are in memory at once while fitting.
+FITTED_TOGETHER = 512
 UNKNOWN = "und"
 #: Factor by which the regression's outputs are sharpened into a score from 0 to 1.
 SHARPNESS = 6.0
@@ -58,24 +61,33 @@ class Model:
 
 
 def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """labelled: pairs of language and text, in a fixed order. The first texts of each language are its landmarks."""
+    """labelled: pairs of language and text, in a fixed order. The first texts of each language are its landmarks.
+
+    Every language has two landmarks at least, if it has two texts. Memory holds the landmarks' n-grams, those of a few
+    texts at a time, and a row of features for each text.
+    """
     languages = sorted({lang for lang, _ in labelled})
     if not labelled:
         return Model([], np.zeros((CELLS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
-    each = max(1, landmarks // len(languages))
+    each = max(2, landmarks // len(languages))
     chosen, taken = [], dict.fromkeys(languages, 0)
-    for k, (lang, _) in enumerate(labelled):
+    for lang, text in labelled:
         if taken[lang] < each:
             taken[lang] += 1
-            chosen.append(k)
-    grams = presence([text for _, text in labelled])
-    grams /= np.sqrt(np.maximum(grams.sum(1, keepdims=True), 1))
-    marks = grams[chosen].T.copy()
+            chosen.append(text)
+
+    def scaled(texts: list[str]) -> np.ndarray:
+        grams = presence(texts)
+        grams /= np.sqrt(np.maximum(grams.sum(1, keepdims=True), 1))
+        return grams
+
+    marks = scaled(chosen).T.copy()
     kernel = (marks.T @ marks).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     held = values > 1e-6 * values.max()
     root = vectors[:, held] / np.sqrt(values[held])  # the Nyström map: kernel with the landmarks times its inverse root
-    features = (grams @ marks) @ root
+    parts = [scaled([text for _, text in labelled[at : at + FITTED_TOGETHER]]) @ marks for at in range(0, len(labelled), FITTED_TOGETHER)]
+    features = np.concatenate(parts) @ root
     wanted = np.array([[1.0 if lang == other else -1.0 for other in languages] for lang, _ in labelled])
     mean_x, mean_y = features.mean(0), wanted.mean(0)
     x = features - mean_x
@@ -83,22 +95,28 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: floa
     return Model(languages, marks, (root @ inner).astype(np.float32), (mean_y - mean_x @ inner).astype(np.float32))
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most sample_rows rows of each of the 64 commonest languages, chosen by a hash of the id.
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, all_rows: int = ALL_ROWS) -> Model:
+    """Fit on a sample of the rows of every language, chosen by a hash of the id.
 
-    Learns from rows with a text and a language whose crc32(doc_id) mod 5 is not 0. Longer texts than SAMPLE_CHARS are
-    not in the sample (they are scored all the same). What comes to the driver is bounded by these parameters.
+    Learns from rows with a text and a language whose crc32(doc_id) mod 5 is not 0; null and repeated ids are rows like
+    others. A language has at most sample_rows rows, or its part of all_rows where languages are many (but 2). Longer texts
+    than SAMPLE_CHARS are not in the sample unless a language has no others (they are scored all the same). What comes to
+    the driver is bounded by these parameters.
     """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 5) != 0))
-    usable = usable.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    rows: list[tuple[str, str]] = []
-    for lang, count in counts:
-        share = min(1.0, 1.5 * sample_rows / count + 100 / count)  # hash threshold before the sort: little is sorted
-        drawn = F.xxhash64("doc_id", F.lit("language sample"))
-        some = usable.where((F.col("lang") == lang) & (F.pmod(drawn, F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-        rows += [(lang, r["text"]) for r in some.orderBy(drawn, "doc_id", "text").limit(sample_rows).select("text").collect()]
-    return fit(rows)
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 5) != 0) & (F.length("text") > 0))
+    usable = usable.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
+    short = F.length("text") <= SAMPLE_CHARS
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(short.cast("int")).alias("short")).collect()  # a row for each language
+    each = max(2, min(sample_rows, all_rows // max(1, len(counts))))
+    # A threshold on the hash, by language, keeps what is sorted small; the limit then takes the first of each.
+    shares = [(r["lang"], min(1.0, (1.5 * each + 100) / r["short"]) if r["short"] else 1.0, not r["short"]) for r in counts]
+    known = docs.sparkSession.createDataFrame(shares, "lang string, share double, long boolean")
+    drawn = F.xxhash64("doc_id", F.lit("language sample"))
+    some = usable.join(F.broadcast(known), "lang").where((short | F.col("long")) & (F.pmod(drawn, F.lit(1_000_000)) <= (F.col("share") * 1_000_000)))
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("long"), F.length("text")), drawn, "doc_id", "text")
+    first = some.withColumn("place", F.row_number().over(order)).where(f"place <= {each}").where(f"not long or place <= {LONG_ROWS}")
+    rows = first.select("lang", "place", "text").collect()
+    return fit([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["place"], r["lang"]))])
 
 
 def _predicted(known: Model, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -136,7 +154,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs, all columns as they are, whose text has a predicted language; `und` ones go. No shuffle."""
+    """Rows of docs, all columns as they are, whose text has a predicted language; `und` ones go. No shuffle.
+
+    `und`: null and empty texts, texts without a letter, and all if there was nothing to learn from. Repeated rows and
+    null ids fare like others.
+    """
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

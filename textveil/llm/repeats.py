@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from textveil.llm import deep_shallow
-from textveil.llm.common import text_of
+from textveil.llm.common import durable, text_of
 
 WINDOW, KEY = 100, 32
 #: Occurrences of an anchor in one batch, and over all tasks, from which it is resolved in two steps.
 LOCAL_MANY, MANY = 16, 2000
 #: Bytes of text that are hashed at once and resolved together, and rows that are resolved together.
 BLOCK, TOGETHER, ROWS = 1 << 18, 8 << 20, 50_000
-NO_ID = (1 << 63) - 1
+#: From here on numbers stand for texts without an id.
+NO_ID = 1 << 62
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -327,23 +328,25 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, local_many: int = LOCAL_MANY, many: int = MANY) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, spans (maximal removed runs, in bytes, end exclusive), kept (bytes).
 
-    Null texts are empty; texts shorter than the window lose nothing. Null ids stand after all others. Rows equal in id
-    and text are one document that is listed again, with equal results; texts of one id are apart, in a fixed order.
-    Extra columns are ignored; no rows give no rows. The largest long is not usable as an id: it comes back as null.
+    Null texts are empty; texts shorter than the window lose nothing. Null ids stand after all others, in the order of a
+    hash of their texts of more than 90 bits. Rows equal in id and text are one document that is listed again, with equal
+    results; different texts of one id are apart, in the order of a hash of 31 bits. Extra columns are ignored; no rows
+    give no rows. Ids of 2 ** 62 and more are not usable: they would stand among the null ones.
     """
-    body = F.encode(text_of(), "UTF-8")
+    body, bits = F.encode(text_of(), "UTF-8"), F.lit(NO_ID - 1)
     texts = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text_of(), F.lit("no id")).bitwiseAND(bits).bitwiseOR(F.lit(NO_ID))).alias("doc"),
         F.shiftrightunsigned(F.xxhash64(text_of()), 33).alias("version"), body.alias("body"),
     )
     place = ["doc", "version"]
     equal = texts.select(*place, F.sha2("body", 256).alias("sha"))
     firsts = equal.groupBy("sha").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    copies = equal.join(firsts.hint("merge"), "sha").where(F.struct(*place) != F.col("first")).select(*place)
+    # Written, so that two plain exchanges meet and adaptive execution can split a text with many copies.
+    copies = equal.join(durable(firsts, "first-copies").hint("merge"), "sha").where(F.struct(*place) != F.col("first")).select(*place)
     # The three joins share one exchange of the texts.
     fresh = texts.join(copies.hint("merge"), place, "left_anti")
     repeated = _repeated(_candidates(fresh, window, key, local_many), many).groupBy(*place).agg(F.collect_list("place").alias("places"))
     around = _surroundings(texts.join(repeated.hint("merge"), place).select(*place, "body", "places"), window, key)
     spans = _covered(around, window).unionByName(copies.withColumn("span", F.lit(-1).cast("long")))
     found = texts.join(spans.groupBy(*place).agg(F.collect_list("span").alias("covered")).hint("merge"), place, "left")
-    return _cut(found, window).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "spans", "kept")
+    return _cut(found, window).select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "spans", "kept")

@@ -63,6 +63,29 @@ def brute_repeats(docs, window=100):
     return out
 
 
+def test_repeats_digests(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = brute_repeats(docs)
+    for r in queries.QUERIES["op10_suffix_dedup"](spark, SF).collect():
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(docs[r.doc_id].encode()), len(docs[r.doc_id].encode()) - len(want[r.doc_id]), hashlib.sha256(want[r.doc_id]).hexdigest())
+
+
+def test_bpe_digests(spark):
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.QUERIES["op5_byte_bpe"](spark, SF).collect():
+        ids = library.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+    odd = spark.createDataFrame([(None, None, "x"), (1, "", "y"), (1, "é a\u3000b", "z")], "doc_id long, text string, ids string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert sorted(len(r.ids) for r in bpe.encode(odd, path, public_tokenizers.PATTERN).collect())[:2] == [0, 0]
+    assert bpe.encode(spark.createDataFrame([], EMPTY), path, public_tokenizers.PATTERN).isEmpty()
+
+
 @pytest.mark.parametrize("many", [(16, 2000), (1, 2)])
 def test_repeats(sample, many):
     want = brute_repeats(texts(sample))
@@ -70,6 +93,17 @@ def test_repeats(sample, many):
     assert got == want
 
 
+def test_repeats_without_ids(spark):
+    """Null ids stand last, each text on its own; what is left of them depends on an order among them, which is fixed."""
+    shared = "a passage that is well over one hundred bytes long and occurs in many documents, with ids and without them. "
+    rows = [(None, shared + f"tail {k}", "x", 1) for k in range(4)] + [(5, "head " + shared, "y", 2), (None, shared + "tail 0", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string, at int")
+    got = Counter((r.doc_id, bytes(r.kept)) for r in repeats.remove_repeats(docs).collect())
+    assert got[5, rows[4][1].encode()] == 1  # the only known id is first
+    assert sum(n for (d, _), n in got.items() if d is None) == 5 and all(len(kept) <= 60 for d, kept in got if d is None)
+    assert max(n for (d, _), n in got.items() if d is None) == 2  # the repeated row
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], EMPTY)).isEmpty()
 
@@ -135,6 +169,53 @@ def test_lm_base_and_score(spark, sample):
     assert none.where("n_known > 0").isEmpty()
 
 
+def test_simhash_links_by_distance(spark):
+    """Pairs planted at 0 to 5 bits, chains of such steps and a hub: classes are those of all links of up to 3 bits."""
+    import random
+
+    pick = random.Random(4)
+    prints, chain = set(), pick.getrandbits(64)
+    for distance in range(6):
+        for _ in range(40):
+            one = pick.getrandbits(64)
+            prints |= {one, one ^ sum(1 << b for b in pick.sample(range(64), distance))}
+    hub = pick.getrandbits(64)
+    prints |= {hub} | {hub ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20, 40, 3)}
+    for _ in range(30):
+        prints.add(chain := chain ^ sum(1 << b for b in pick.sample(range(64), 3)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    listed, root = sorted(prints), {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(listed):
+        for b in listed[:k]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    frame = spark.createDataFrame([(signed(p),) for p in listed], "fp long")
+    got = {r.node % (1 << 64): r.root for r in simhash.components(simhash.links(frame, 4)).collect()}
+    groups, wanted = defaultdict(set), defaultdict(set)
+    for p in listed:
+        groups[got.get(p, signed(p))].add(p)
+        wanted[find(p)].add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_simhash_null_ids(spark):
+    near = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    rows = [(None, near, 1), (None, near + " now", 2), (7, near, 3), (None, "quite another text that stands alone", 4), (None, None, 5), (3, "", 6), (7, near, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long").withColumns({"key": F.lit("x"), "root": F.lit("y"), "variant": F.lit(1)})
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_groups(docs).collect())
+    a, b, zero = (f"{plain_fingerprint(t):016x}" for t in (near, rows[3][1], ""))
+    assert got[None, a, 7] == 1 and got[7, a, 7] == 2 and got[None, b, None] == 1 and got[None, zero, 3] == 1 and got[3, zero, 3] == 1
+    apart = (plain_fingerprint(near) ^ plain_fingerprint(near + " now")).bit_count() > 3
+    kept = Counter(r.doc_id for r in simhash.representatives(docs).collect())
+    assert kept == {7: 1, 3: 1, None: 1 + apart}
+
+
 def exact_pairs(rows):
     """Counts by n-gram hash, as the filter answers them but exact; all tokens, and distinct ones."""
     import numpy as np
@@ -350,11 +431,83 @@ def test_pii_gate():
     some = ["five", "Zéro", "fünf", "ſix", "double", "7", "un", " ", " ", ",", ".", "-", "(", "dot", "—", "“", "x", "_"]
     for _ in range(20_000):
         text = "".join(pick.choices(some, k=12))
-        hit = any(pii.SPELLED_ONE.search(text, *m.span()) for m in pii.SPELLED_RUN.finditer(text))
+        hit = any(pii.SPELLED_ONE.search(text, *run) for run in pii.runs(text))
         assert not hit or pii.maybe_spelled(text), text
         pii.spans(text)
 
 
+LONG = ["{} ", "1", "one ", "1-", "1.", "1 . ", "one,", "one     ", "double ", "dot ", " . ", "at ", "a at ", "at-", "@", "a@", "a@-", "a@b", "a@b.", "a.", "a_at_b", "(at)", "a (at) ", "a (dot) ", "a at b dot ", "+1 ", "+1-", "+", "-", "plus ", "plus one ", "é", "а", "а@b.cc ", "jane@x.org ", "1.1.1.1 ", "one.one.one.one ", "4111 1111 1111 1111 а", "\u200b", "(((", "_-_-", "a at", "1 dot ", "1(dot)", "five)( "]
+
+
+@pytest.mark.parametrize("unit", LONG)
+def test_pii_time(unit):
+    """Texts of 100,000 characters that try every pattern's repetitions."""
+    import time
+
+    text = ("one" + " " * 100_000 + "two 1" + " " * 50_000 + "." + " " * 50_000 + "two") if "{}" in unit else (unit * 100_000)[:100_000]
+    began = time.process_time()
+    pii.spans(text)
+    pii.spans("x " + text + " one two three а@b.cc")
+    assert time.process_time() - began < 3, unit  # two texts; about a second each on a slow machine
+
+
+def plain_base(text):
+    """The contract's patterns as they are written."""
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    return [(k, *m.span()) for k, (p, good) in rules.items() for m in re.finditer(p, text) if good(m[0])]
+
+
+def test_pii_base_by_the_patterns():
+    import random
+
+    pick = random.Random(11)
+    some = ["1", "25", "255", "256", ".", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "x@y.zz", "4111", "1111 1111", "٣", "é", "\n", "+1 555", "0001.", "%", "_"]
+    for _ in range(30_000):
+        text = "".join(pick.choices(some, k=pick.randint(1, 16)))
+        assert pii.base_spans(text) == plain_base(text), text
+
+
+#: Disguised identifiers by language, as their kind and the text around: {} is where they stand.
+FRAMES = {"en": "You can reach me under {} until Friday.", "de": "Sie erreichen mich unter {} bis Freitag.", "fr": "Vous pouvez me joindre au {} avant vendredi.", "es": "Me puede encontrar en {} hasta el viernes."}
+DISGUISES = {
+    "en": [("email", "jane.roe at example dot com"), ("email", "jane (at) example (dot) org"), ("email", "jane [at] mail.example.net"), ("email", "jаne@exаmple.org"), ("email", "jane_at_example_dot_com"), ("phone", "plus one five five five two one nine four four seven one"), ("phone", "+1 five five five 219 four four seven one"), ("ip", "10 dot 0 dot 0 dot 7"), ("ip", "one nine two.168.0.one"), ("card", "four one one one 1111 1111 one one one one"), ("email", "jane\u200b@example.com"), ("phone", "+１ ５５５ ２１９ ４４７１")],
+    "de": [("email", "max punkt muster (at) beispiel (punkt) de"), ("email", "max.muster at beispiel punkt de"), ("email", "max [ät] beispiel [punkt] de"), ("phone", "+49 drei null eins zwei drei vier fünf sechs sieben"), ("phone", "plus vier neun drei null eins zwei drei vier fünf"), ("ip", "zehn 10 punkt 1 punkt 2 punkt 3"), ("card", "vier eins eins eins 1111 1111 eins eins eins eins")],
+    "fr": [("email", "marie (arobase) exemple (point) fr"), ("email", "marie [chez] exemple [point] fr"), ("email", "marie at exemple point fr"), ("phone", "+33 un deux trois quatre cinq six sept huit neuf"), ("phone", "plus trois trois un deux trois quatre cinq six sept"), ("ip", "10 point 1 point 2 point 3"), ("card", "quatre un un un 1111 1111 un un un un")],
+    "es": [("email", "ana arroba ejemplo punto es"), ("email", "ana (arroba) ejemplo (punto) es"), ("email", "ana[arroba]ejemplo.es"), ("phone", "+34 nueve uno dos tres cuatro cinco seis siete ocho"), ("phone", "+34 nueve uno dos, tres cuatro cinco, seis siete ocho"), ("ip", "10 punto 1 punto 2 punto 3"), ("card", "cuatro uno uno uno 1111 1111 uno uno uno uno")],
+}
+
+
+def test_pii_recall_of_disguises():
+    for lang, planted in DISGUISES.items():
+        found = 0
+        for kind, said in planted:
+            text = FRAMES[lang].format(said)
+            start = text.index(said)
+            found += any(k == kind and a < start + len(said) and start < b and b - a >= 0.6 * len(said) for k, a, b in pii.spans(text)[1])
+        assert found >= 0.9 * len(planted) - 0.5, (lang, [s for k, s in planted if not any(x[0] == k for x in pii.spans(FRAMES[lang].format(s))[1])])
+    assert all(pii.spans(f.format("diesem Ort at home, point one, und dot"))[1] == [] for f in FRAMES.values())
+
+
+def test_pii_find_of_rows(spark, sample):
+    """All four kinds and the digests, over odd rows; an empty table."""
+    docs = texts(sample)
+    for r in queries.pii_digests(pii.find(sample.withColumns({"base": F.lit(1), "spans": F.lit("x")}))).collect():
+        want = plain_base(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in want) for kind in pii.KINDS]
+        listed = [tuple(x.split(":")) for x in r.spans.split(",") if x]
+        assert listed == [(k, str(a), str(b)) for k, a, b in pii.spans(docs[r.doc_id])[1]]
+    assert pii.find(spark.createDataFrame([], EMPTY)).isEmpty() and pii.mask(spark.createDataFrame([], EMPTY)).isEmpty()
+
+
 def test_pii_base(sample):
     docs = texts(sample)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -365,11 +518,59 @@ def test_pii_base(sample):
 
 def test_language(spark, sample):
     docs = sample.where("doc_id < 1000")
-    found = {r.doc_id: r for r in language.predict(sample, language.train(docs)).collect()}
+    odd = sample.withColumns({"lang_pred": F.lit("x"), "score": F.lit("y")})
+    found = {r.doc_id: r for r in language.predict(odd, language.train(docs)).collect()}
     assert all(found[d].lang_pred == "und" for d in (1001, 1002, 1003, 1006))
     held = docs.where("crc32(cast(doc_id as string)) % 5 = 0").collect()
     assert sum(found[r.doc_id].lang_pred == r.lang for r in held) >= 0.9 * len(held)
-    assert language.predict(sample, language.train(spark.createDataFrame([], EMPTY))).where("lang_pred <> 'und'").isEmpty()
+    none = spark.createDataFrame([], EMPTY)
+    assert language.predict(sample, language.train(none)).where("lang_pred <> 'und'").isEmpty()
+    assert language.predict(none, language.train(docs)).isEmpty() and language.keep(none, language.train(docs)).isEmpty()
+
+
+def test_language_kernel():
+    """Presence by its definition, and scores against kernel ridge regression written out (all texts are landmarks)."""
+    import numpy as np
+
+    def cells(text):
+        out = set()
+        code = [0x20 if c < 0x61 or 0x7A < c < 0xC0 else c for c in map(ord, text.lower())]
+        for n in range(1, language.LONGEST + 1):
+            for k in range(len(code) - n + 1):
+                h = 0
+                for c in code[k : k + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                h ^= h >> 15
+                out.add(((h * 0x9E3779B1 & 0xFFFFFFFF) >> 11) % language.CELLS)
+        return out
+
+    known = [("de", "Der schnelle Fuchs springt über den Hund"), ("en", "The quick fox jumps over the dog"), ("fr", "Le renard rapide saute par-dessus le chien"), ("en", "A calm and sunny day at the sea"), ("de", "Ein ruhiger und sonniger Tag am Meer"), ("fr", "Une journée calme et ensoleillée à la mer")]
+    new = ["The dog and the fox", "Der Hund und der Fuchs", "Le chien et le renard", "12 3", "d"]
+    for text in [*new, *(t for _, t in known)]:
+        assert set(np.flatnonzero(language.presence([text])[0]).tolist()) == cells(text)
+    model = language.fit(known, landmarks=len(known))
+    kernel = lambda a, b: len(cells(a) & cells(b)) / math.sqrt(len(cells(a)) * len(cells(b)))
+    every = [t for _, t in known]
+    square = np.array([[kernel(a, b) for b in every] for a in every])
+    middle = np.eye(len(every)) - 1 / len(every)
+    y = np.array([[1.0 if lang == other else -1.0 for other in model.languages] for lang, _ in known])
+    dual = np.linalg.solve(middle @ square @ middle + language.RIDGE * len(every) / 100 * np.eye(len(every)), y - y.mean(0))
+    for text, got in zip(new, model.scores(new), strict=True):
+        row = np.array([kernel(text, b) for b in every])
+        want = (row - square.mean(0)) @ middle @ dual + y.mean(0)
+        assert np.allclose(got, want, atol=2e-3), (text, got, want)
+
+
+def test_language_many(spark):
+    """No bound on the number of languages; one that has only long texts is learnt too."""
+    words = {k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ino", "ara", "est", "um", "ok")] for k in range(70)}
+    rows = [(100 * k + j, " ".join((words[k] * 6)[j : j + 20]) * (1500 if k == 69 else 1), f"l{k}") for k in range(70) for j in range(8)]
+    docs = spark.createDataFrame(rows, EMPTY.replace("lang", "lang"))
+    model = language.train(docs)
+    assert len(model.languages) == 70
+    found = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
+    assert sum(found[d] == lang for d, _, lang in rows) >= 0.9 * len(rows)
+    assert sum(found[6900 + j] == "l69" for j in range(8)) >= 6
 
 
 def test_toxicity(spark):
@@ -381,6 +582,82 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in untrained)
 
 
+def test_toxicity_models(spark):
+    """Counts, backoff and ratios against Kneser-Ney written out over a few texts; the score against its formula."""
+    import numpy as np
+
+    kinds = {1: ["you vile scum", "vile scum you are", "Ты мерзкий"], 0: ["a calm day", "you are a calm one", "Ты добрый"]}
+
+    def symbols(text):
+        out = [0]
+        for c in text:
+            n = int(toxicity.fold()[ord(c)])
+            if n or out[-1]:
+                out.append(n)
+        return [0] * 3 + out + ([0] if out[-1] else [])
+
+    def grams(text):
+        line = symbols(text)
+        return [tuple(line[k - 4 : k + 1]) for k in range(4, len(line))]
+
+    counts = {k: Counter(g for t in some for g in grams(t)) for k, some in kinds.items()}
+    tables = np.zeros((2, toxicity.SYMBOLS**toxicity.ORDER), np.int32)
+    for k, some in kinds.items():
+        for t in some:
+            np.add.at(tables[k], toxicity.sequences(t), 1)
+    code = lambda g: sum(c * 27**p for p, c in enumerate(reversed(g)))
+    assert all({code(g): n for g, n in counts[k].items()} == {int(c): int(tables[k][c]) for c in np.flatnonzero(tables[k])} for k in kinds)
+
+    def lower(gram):
+        """The shared chain: distinct longer sequences that end so, over both classes."""
+        if not gram:
+            return 1 / 27
+        longer = {0: {g for k in kinds for g in counts[k]}}
+        for n in range(1, 5):
+            longer[n] = {g[1:] for g in longer[n - 1]}
+        kinds_of = Counter(g[1:] for g in longer[4 - len(gram)])
+        total = sum(n for g, n in kinds_of.items() if g[:-1] == gram[:-1])
+        if not total:
+            return lower(gram[1:])
+        after = sum(g[:-1] == gram[:-1] for g in kinds_of)
+        return (max(kinds_of[gram] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * after * lower(gram[1:])) / total
+
+    def chance(kind, gram):
+        same = {g: n for g, n in counts[kind].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return lower(gram[1:])
+        return (max(same.get(gram, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * lower(gram[1:])) / sum(same.values())
+
+    ratios = toxicity.log_ratios(tables[1], tables[0])
+    for text in ["vile calm", "you are scum", "Ты", "zz"]:
+        for g in grams(text):
+            assert math.isclose(ratios[code(g)], math.log(chance(1, g) / chance(0, g)), abs_tol=0.01), g
+    assert math.isclose(sum(chance(1, (*grams("you")[2][:4], c)) for c in range(27)), 1, abs_tol=1e-9)
+
+
+def test_toxicity_labels_and_scripts(spark):
+    """Other scripts have evidence, repeated labels count once and the toxic one holds, other columns don't matter."""
+    foul, mild = ("ты мерзкая дрянь", "σκουπίδι είσαι", "你 是 垃圾 废物"), ("тихий ясный день", "ήσυχη μέρα", "今天 天气 很 好")
+    rows = [(k, (foul if k % 2 else mild)[k // 2 % 3] + " " + "один два три"[: k % 7]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"toxic": F.lit(1), "link": F.lit("x"), "score": F.lit(2)})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)] + [(1, 0), (3, None), (None, 1), (5, 1)], "doc_id long, toxic int")
+    found = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(found) == 300
+    held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r.score >= 0.5) == bool(r.doc_id % 2) for r in held) >= 0.95 * len(held)
+    assert toxicity.score(spark.createDataFrame([], EMPTY), toxicity.train(docs, labels)).isEmpty()
+
+
+def test_toxicity_held_out(spark):
+    """Some four in ten toxic labels stand on texts without any foul word, so half of them is much."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.train(docs, labels)).where("crc32(cast(doc_id as string)) % 5 = 0")
+    found = found.join(labels, "doc_id").join(docs.select("doc_id", F.coalesce(F.expr(r"text rlike '(?i)\\b(idiot|moron|scum|trash|loser)\\b'"), F.lit(False)).alias("foul")), "doc_id").collect()
+    caught = lambda rows: sum(r.score >= 0.5 for r in rows) / len(rows)
+    assert caught([r for r in found if r.foul]) >= 0.95
+    assert caught([r for r in found if r.toxic == 1]) >= 0.5 and caught([r for r in found if r.toxic == 0]) <= 0.02
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -400,6 +677,45 @@ def test_quality(spark, sample):
         assert not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*sorted(got.columns)).collect()), key=str) == sorted(want.select(*sorted(want.columns)).fetchall(), key=str)
+
+
+def test_quality_verdict_and_filter(spark):
+    """Held-out labels agree with the verdict, and a filter on it costs no second computation."""
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fit = F.expr("crc32(cast(doc_id as string)) % 2 = 0")
+    ratios = quality.log_ratios(docs, labels.where("quality = 1").where(fit))
+    judged = quality.judge(docs, ratios)
+    seconds = []
+    for frame in (judged, judged, judged.where("kept").select("doc_id"), judged.where("kept")):
+        began = time.time()
+        frame.write.format("noop").mode("overwrite").save()
+        seconds.append(time.time() - began)
+    assert max(seconds[2:]) <= 1.5 * seconds[1] + 1
+    held = judged.join(labels, "doc_id").where(~fit).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    share = {r.quality: r.kept for r in held.collect()}
+    assert share[1] >= 0.95 and share[0] <= 0.1
+
+
+def test_quality_of_nothing(spark):
+    none, labels = spark.createDataFrame([], EMPTY), spark.createDataFrame([(1,)], "doc_id long")
+    assert quality.judge(none, quality.log_ratios(none, labels)).isEmpty()
+    odd = spark.createDataFrame([(1, "a b c " * 9, 1, 2, "x"), (None, None, 3, 4, "y")], "doc_id long, text string, cells int, weights int, words string")
+    assert {r.n_words for r in quality.judge(odd, quality.log_ratios(odd, labels.where("false"))).collect()} == {27, 0}
+
+
 def test_quality_sees_word_order(spark):
     """A stutter of trusted words that the base rules pass."""
     plain = "This is the first of many calm and sunny days that we have seen here this year".split()
@@ -428,3 +744,66 @@ def test_pipeline(spark):
     assert max(bodies.values()) == 1
     prints = [plain_fingerprint(docs[d]) for d in kept]
     assert all((a ^ b).bit_count() > 3 for k, a in enumerate(prints) for b in prints[:k])
+
+
+def test_pipeline_by_brute_force(spark, sample):
+    """Every stage over odd rows: null and repeated ids, nulls, empty and long texts, repeated rows, clashing columns."""
+    import corpus_pipeline
+
+    near = "the calm quiet morning by the sea was followed by one loud and windy evening in the harbour of the old town"
+    more = [(None, near, "en"), (None, near + " again", "en"), (2000, near, "en"), (2001, near + " again", "en"), (2002, "write to max.muster@beispiel.de or call +49 301 234 567 8", "de"), (2003, "something else entirely, which nobody wrote before", "en"), (2003, "and another text that has the same id as the one before it", "en")]
+    docs = sample.unionByName(spark.createDataFrame(more, EMPTY), allowMissingColumns=True).withColumns({"key": F.lit("k"), "fp": F.lit(1), "root": F.lit(2), "place": F.lit(3)})
+    stages = dict(corpus_pipeline.STAGES)
+    lettered = stages["language_id"](spark, docs, SF)
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    want = Counter({k: n for k, n in pairs(docs).items() if k[1] and any(map(str.isalpha, k[1]))})
+    assert pairs(lettered) == want and lettered.columns == docs.columns
+
+    unique = stages["exact_dedup"](spark, lettered, SF)
+    groups = defaultdict(list)
+    for d, t in want:
+        groups[re.sub(r"[\x20\x09-\x0D]+", "", t)].append((-len(t), d is None, d or 0, d, t))
+    got = pairs(unique)
+    assert max(got.values()) == 1 and unique.columns == docs.columns
+    assert all(min(g)[3:] in got for g in groups.values()) and len(got) == len(groups)
+
+    apart = stages["near_dedup"](spark, unique, SF)
+    left, rows = pairs(apart), list(got)
+    prints = [plain_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(prints):
+        for j in range(k):
+            if (a ^ prints[j]).bit_count() <= 3:
+                root[find(k)] = find(j)
+    classes = defaultdict(list)
+    for k, row in enumerate(rows):
+        classes[find(k)].append(row)
+    assert max(left.values()) == 1 and len(left) == len(classes) and apart.columns == docs.columns
+    for members in classes.values():
+        stays = [row for row in members if row in left]
+        known = [d for d, _ in members if d is not None]
+        assert len(stays) == 1 and (stays[0][0] == min(known) if known else stays[0][0] is None)
+
+    masked = stages["mask_pii"](spark, apart, SF)
+    assert pairs(masked) == Counter((d, pii.mask_text(t)) for d, t in left)
+    assert (2002, "write to [EMAIL] or call [PHONE]") in pairs(masked)
+    packed = stages["pack"](spark, masked, SF)
+    assert Counter(r.doc_id for r in packed.where("piece = 0").collect()) == Counter(d for d, _ in left)
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).isEmpty()
+
+
+def test_release(spark):
+    import os
+
+    from textveil.llm import common
+
+    path = common.durable(spark.range(3), "some").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and common.release(spark) >= 1 and not os.path.exists(path)

@@ -1,10 +1,12 @@
 """Toxicity from two class-conditional Kneser-Ney models over letters.
 
-Texts are read as letters a to z (accents dropped) and blanks. Each class has its own counts of five-symbol sequences;
-below the full order both share one backoff chain of continuation counts pooled over the classes, so an expression rare in
-either class gets the same smoothed estimate there. A document's evidence is the difference of its length-normalised
-log-likelihoods under the toxic and the ordinary model, over the whole text and at its strongest passage; a logistic link
-fitted on labelled documents kept out of the counts turns both into a score.
+Texts are read as 26 letters and blanks: accents are dropped, and letters of other scripts than Latin are dealt to the 26 by
+their code, so that every script has sequences of its own. Each class has its own counts of five-symbol sequences, which
+run across words; below the full order both share one backoff chain of continuation counts pooled over the classes, so an
+expression rare in either class gets the same smoothed estimate there. A document's evidence is the difference of its
+length-normalised log-likelihoods under the toxic and the ordinary model, over the whole text and, so that a long text does
+not hide one, at its strongest passage; a logistic link fitted on labelled documents kept out of the counts turns both into
+a score.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,38 +30,37 @@ TOXIC_ROWS, ORDINARY_ROWS, LINK_SHARE = 5_000, 10_000, 5
 PASSAGE = 16
 
 
-def _fold() -> np.ndarray:
-    """Symbol of each code point below U+0250: 1 to 26 for letters, accents dropped; 0 for all else."""
-    table = np.zeros(0x250 + 1, dtype=np.int32)
+@lru_cache(maxsize=1)
+def fold() -> np.ndarray:
+    """Symbol of each code point: 1 to 26 for letters, 0 for all else. Marks of scripts that write vowels so are letters."""
+    table = np.zeros(0x110000, dtype=np.int32)
     for code in range(0x250):
         base = unicodedata.normalize("NFD", chr(code).lower())[0]
         if "a" <= base <= "z":
             table[code] = ord(base) - ord("a") + 1
     table[ord("ß")] = ord("s") - ord("a") + 1
+    for code in range(0x250, len(table)):
+        char = chr(code)
+        if char.isalpha() or 0x900 <= code < 0x3000 and unicodedata.category(char)[0] == "M":
+            table[code] = 1 + ord(char.lower()[0]) % 26
     return table
 
 
-FOLD = _fold()
-
-
 def sequences(text: str) -> np.ndarray:
     """Codes of the five-symbol sequences that end at each letter and at the blank after each word.
 
-    A symbol's context goes back to the start of its word, with blanks before it; runs of blanks are one.
+    The four symbols before go back over word ends to the start of the text, with blanks before it; runs of blanks are one.
     """
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    symbols = np.concatenate((np.zeros(1, np.int32), FOLD[np.minimum(code, 0x250)], np.zeros(1, np.int32)))
+    symbols = np.concatenate((np.zeros(1, np.int32), fold()[code], np.zeros(1, np.int32)))
     keep = symbols != 0
     keep[1:] |= keep[:-1]
     keep[0] = True
     symbols = symbols[keep]
-    out, context, power = symbols[1:].copy(), symbols[:-1], SYMBOLS
-    for back in range(2, ORDER + 1):
-        out += context * power
-        if back == ORDER or len(context) < 2:
-            break
-        earlier = np.concatenate((np.zeros(back - 1, np.int32), symbols[:-back]))[: len(out)]
-        context, power = np.where(context != 0, earlier, 0), power * SYMBOLS
+    count = len(symbols) - 1
+    padded, out = np.concatenate((np.zeros(ORDER - 2, np.int32), symbols)), np.zeros(max(0, count), np.int32)
+    for back in range(ORDER):  # the symbol itself is the lowest digit
+        out += padded[ORDER - 1 - back : ORDER - 1 - back + count] * SYMBOLS**back
     return out
 
 
@@ -132,13 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
     """Fit on labelled rows (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0, at most so many of each class.
 
     The chosen ids are broadcast (bounded by the parameters); counting runs in tasks over whole texts and what comes back
-    is one number for each sequence seen. Null labels and ids are left out. Without both classes every score is the prior.
+    is the two tables of counts, whatever the input. Null labels and ids are left out; of several labels of one id the
+    toxic one holds, and each row of a repeated id is counted. Without both classes every score is the prior.
     """
-    usable = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    usable = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0)
+    usable = usable.groupBy("doc_id").agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
     drawn = F.xxhash64("doc_id", F.lit("toxicity sample"))
     chosen = [usable.where(F.col("toxic") == k).orderBy(drawn, "doc_id").limit(n) for k, n in ((1, toxic_rows), (0, ordinary_rows))]
     chosen_ids = chosen[0].unionByName(chosen[1]).withColumn("link", F.pmod(F.xxhash64("doc_id", F.lit("link")), F.lit(LINK_SHARE)) == 0)
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen_ids), "doc_id")  # bounded by the two row limits
+    slab = SYMBOLS ** (ORDER - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,12 +153,34 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
                 for at in range(0, len(texts), 1000):
                     codes = [sequences(texts[k]) for k in range(at, min(at + 1000, len(texts))) if kinds[k] == kind]
                     code, n = np.unique(np.concatenate([np.zeros(0, np.int32), *codes]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(code), pa.array(n)], ["toxic", "code", "n"])
+                    edges = np.searchsorted(code, slab * np.arange(SYMBOLS + 1))
+                    used = np.flatnonzero(np.diff(edges))
+                    packed = [[x[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()] for x in (code.astype("<i4"), n.astype("<i4"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(kind * SYMBOLS + used, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "codes", "counts"])
 
-    seen = sample.where("not link").select("toxic", "text").mapInArrow(count, "toxic int, code int, n long").groupBy("toxic", "code").agg(F.sum("n").alias("n")).toArrow()
-    kind, code, n = (seen.column(c).to_numpy() for c in ("toxic", "code", "n"))
-    counts = np.zeros((2, SYMBOLS**ORDER), dtype=np.int32)
-    counts[kind, code] = np.minimum(n, np.iinfo(np.int32).max)
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = -1, np.zeros(0, np.int64)
+
+        def row() -> pa.RecordBatch:
+            data = np.minimum(held, np.iinfo(np.int32).max).astype("<i4").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([data], pa.binary())], ["part", "counts"])
+
+        for batch in batches:
+            for part, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last:
+                    if last >= 0:
+                        yield row()
+                    last, held = part, np.zeros(slab, np.int64)
+                held[np.frombuffer(codes, "<i4") % slab] += np.frombuffer(counts, "<i4")
+        if last >= 0:
+            yield row()
+
+    packed = sample.where("not link").select("toxic", "text").mapInArrow(count, "part int, codes binary, counts binary")
+    seen = packed.repartition("part").sortWithinPartitions("part").mapInArrow(unite, "part int, counts binary").toArrow()
+    counts = np.zeros((2 * SYMBOLS, slab), dtype=np.int32)
+    for part, data in zip(seen.column("part").to_pylist(), seen.column("counts"), strict=True):
+        counts[part] = np.frombuffer(data.as_buffer(), "<i4")
+    counts = counts.reshape(2, -1)
     ratios = log_ratios(counts[1], counts[0])
     del counts
     shared = docs.sparkSession.sparkContext.broadcast(ratios)

@@ -28,31 +28,36 @@ def _one_row_each(docs: DataFrame, kept: DataFrame, keys: dict) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows know; those without a letter go."""
+    """Documents whose text has a letter, and so a language among those of the labelled rows; the others go.
+
+    Null and empty texts go too, and all documents if no row has a language to learn from. Repeated rows stay.
+    """
     return language.keep(docs, language.train(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for white space the one that op9's contract keeps; null ids stand together."""
+    """Of documents equal but for white space the one that op9's contract keeps; of rows equal in id and text one stays."""
     body = F.sha2(F.encode(F.regexp_replace(text_of(), SPACE + "+", ""), "UTF-8"), 256)
     kept = exact_groups(docs).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.isnull("doc_id").alias("none"), F.col("text_sha256").alias("body"))
     return _one_row_each(docs, kept, {"id": F.coalesce("doc_id", F.lit(-1)), "none": F.isnull("doc_id"), "body": body})
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the document with the smallest id; documents of groups in which no id is known stay."""
-    groups = simhash.near_groups(docs).where("component_id is null or doc_id = component_id").select("doc_id")
-    return _one_row_each(docs.where("doc_id is not null"), groups, {"doc_id": F.col("doc_id")}).unionByName(
-        docs.where("doc_id is null").join(groups.where("doc_id is null").limit(1).select(F.lit(1)), how="left_semi")
-    )
+    """One document of each group of near copies: the one with the smallest id, a known one before null; ties by text.
+
+    Groups are op2's. Documents without near copies stay, whatever their ids; of repeated rows one stays; no rows give none.
+    """
+    kept = simhash.representatives(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.isnull("doc_id").alias("none"), F.col("key").alias("body"))
+    return _one_row_each(docs, kept, {"id": F.coalesce("doc_id", F.lit(-1)), "none": F.isnull("doc_id"), "body": simhash.text_key()})
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes its kind in brackets."""
+    """Personal data, disguised or not, becomes its kind in brackets; every row stays, null and empty texts as they are."""
     return pii.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row with their sequences and offsets, as op8 gives them; null texts are one end token each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -45,7 +45,7 @@ GAPS = (1.0, 0.05, 0.02, 0.01, 0.005, 0.002)
 #: Pieces of text remembered in each of two generations of a worker, and the longest that stay.
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Pieces of one length that one task ranks, about.
-RANKED_TOGETHER = 500
+RANKED_TOGETHER = 100
 #: Python's str.split takes these four for white space, the tokenizer's pattern doesn't (fixed values).
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD = re.compile(f"[^{WHITE}]+")
@@ -186,11 +186,11 @@ class Solution:
 def program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 0) -> Solution:
     """The configuration linear program by multiplicative weights: every length covered exactly, and the dual's bound.
 
-    Lengths carry prices. In each round every length may be covered up to the round's share of its
-    count. In random blocks of lengths a knapsack finds the dearest configuration through the longest open length; it is
-    used until one of its lengths has its share, if its price is near the block's dearest. Lengths behind their share get dearer,
-    so emptier configurations come near where fuller ones cannot hold them. While prices are met that give a better bound
-    than the first ones, all rounds run again from these, with stronger updates. rounds: 0 for as many as KNAPSACKS allows.
+    Lengths carry prices. In each round every length may be covered up to the round's share of its count. In random blocks
+    of lengths a knapsack finds the dearest configuration through the longest open length; it is used until one of its
+    lengths has its share, if its price is near the block's dearest. Lengths behind their share get dearer, so emptier
+    configurations come near where fuller ones cannot hold them. While prices are met that give a better bound than the
+    first ones, all rounds run again from these, with stronger updates. rounds: 0 for as many as KNAPSACKS allows.
     """
     sizes = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], dtype=float)

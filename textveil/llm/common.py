@@ -9,12 +9,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textveil.sources import tables
+
 #: Code point ranges that count as white space in the contracts of the operators.
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.read(spark, sf_dir, "documents")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textveil.functions import dates, labels, spans
 from textveil.functions.patterns import PATTERNS
 from textveil.operators import bio, latency, masking, restore, roundtrip, scoring
-from textveil.sources import synthetic
+from textveil.sources import synthetic, tables
 from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, notes
 
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return tables.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 def flat(df: DataFrame, column: str = "spans", *keys: str) -> DataFrame:
@@ -45,7 +45,7 @@ def detect_all(table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    pages = tables.read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return flat(spans.with_spans(pages))
 
 
@@ -257,7 +257,7 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with identifiers by role: a check that finds nothing if all is well."""
-    turns = spans.with_spans(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    turns = spans.with_spans(tables.read(spark, sf_dir, "conversations"))
     return turns.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.size("spans") > 0).alias("with_hits"))
 
 

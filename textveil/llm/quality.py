@@ -45,6 +45,14 @@ def _grams(cells: int) -> tuple[Column, Column]:
     return words, pairs
 
 
+def _score(cells: int) -> Column:
+    """The lower of the mean weights of a row's words and word pairs, in one pass over its column hashes; 0 without n-grams."""
+    word, pair = f"get(weights, cast(h % {cells} as int))", f"get(weights, cast({cells} + if(a.last = h, 0, (31 * a.last + h) % {cells}) as int))"
+    return F.expr(f"""aggregate(hashes, named_struct('words', 0D, 'pairs', 0D, 'last', -1L),
+        (a, h) -> named_struct('words', a.words + {word}, 'pairs', if(a.last < 0, 0D, a.pairs + {pair}), 'last', h),
+        a -> least(if(size(hashes) < 1, 0D, a.words / size(hashes)), if(size(hashes) < 2, 0D, a.pairs / (size(hashes) - 1))))""")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, cells: int = CELLS, prior: float = PRIOR, target_rows: int = TARGET_ROWS) -> DataFrame:
     """One row: weights, an array of log(target share / raw share) by cell, first of words, then of pairs.
 
@@ -81,16 +89,15 @@ def judge(docs: DataFrame, ratios: DataFrame, cells: int = CELLS, threshold: flo
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _hashes().alias("hashes"),
         F.expr(f"if(size(words) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {WINDOW}), i -> xxhash64({gets})))").alias("windows"),
     )
-    words, pairs = _grams(cells)
     third = second.select(
-        "*", words.alias("cells"), pairs.alias("pairs"), ratios.select("weights").scalar().alias("weights"),
+        "*", ratios.select("weights").scalar().alias("weights"),
         F.expr("""if(size(array_distinct(windows)) = size(windows), cast(array() as array<struct<h: bigint, i: int>>),
                      array_sort(transform(windows, (h, i) -> named_struct('h', h, 'i', i))))""").alias("ordered"),
     )
     same = "array_sort(filter(transform(ordered, (e, k) -> if(e.h = get(ordered, k - 1).h or e.h = get(ordered, k + 1).h, e.i, -1)), i -> i >= 0))"
     fourth = third.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(f"if(size(ordered) = 0, cast(array() as array<int>), {same})").alias("at"),
-        F.least(*(F.expr(f"if(size({x}) = 0, 0D, aggregate({x}, 0D, (sum, c) -> sum + get(weights, c)) / size({x}))") for x in ("cells", "pairs"))).alias("score"),
+        _score(cells).alias("score"),
     )
     covered = f"aggregate(zip_with(at, slice(at, 2, size(at)), (a, b) -> least(coalesce(b - a, {WINDOW}), {WINDOW})), 0, (sum, n) -> sum + n)"
     measures = [*(F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")), F.expr(f"if(size(at) = 0, 0L, cast({covered} as long))").alias("n_repeat_words"), "score"]

@@ -134,4 +134,25 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                first_value(doc_id) OVER w = doc_id AS kept, sha256(body) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id)""",
+    "op10_suffix_dedup": rf"""
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n_bytes FROM documents
+        ), win AS (
+            SELECT doc_id, c + i AS p, substr(part, 2 * i + 1, {2 * repeats.WINDOW}) AS w
+            FROM (SELECT doc_id, c, part, unnest(range(0, least(1000, n_bytes - {repeats.WINDOW - 1} - c))) AS i
+                  FROM (SELECT doc_id, n_bytes, c, substr(x, 2 * c + 1, {2 * (1000 + repeats.WINDOW)}) AS part FROM (SELECT *, unnest(range(0, n_bytes - {repeats.WINDOW - 1}, 1000)) AS c FROM d WHERE n_bytes >= {repeats.WINDOW})))
+        ), again AS (
+            SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM win) WHERE k > 1
+        ), step AS (
+            SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again
+        ), run AS (
+            SELECT doc_id, min(p) AS s, max(p) + {repeats.WINDOW} AS e FROM (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + {repeats.WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM step) GROUP BY doc_id, r
+        ), gap AS (
+            SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a FROM run
+        ), kept AS (
+            SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(x, 2 * a + 1, 2 * (s - a)), '' ORDER BY s) AS head FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }

@@ -171,11 +171,12 @@ def likely(m: re.Match) -> bool:
 def undisguise(tape: Tape) -> None:
     """`at` and `dot` in an address become signs; dots between the parts of an IP address too."""
     text, edits, done = tape.text, [], 0
-    dots = [m.start() for m in DOT_SIGN.finditer(text)] if AT_WORD.search(text) else []
+    dot = 0  # where the next sign or word for a dot is
     for hit in AT_WORD.finditer(text):
-        if hit.start() < done or bisect_left(dots, hit.end()) == bisect_left(dots, hit.end() + REACH):
-            continue
-        if not AFTER_AT.match(text, hit.end(), hit.end() + REACH):
+        after, reach = hit.end(), hit.end() + REACH
+        if dot < after:
+            dot = m.start() if (m := DOT_SIGN.search(text, after)) else len(text) + REACH
+        if hit.start() < done or dot >= reach or not AFTER_AT.match(text, after, reach):
             continue
         m = next((m for m in ADDRESS.finditer(text, max(done, hit.start() - REACH), hit.end() + REACH) if m.end("at") >= hit.end()), None)
         if m and m.end() == hit.end() + REACH:  # a host that goes on beyond the reach

@@ -14,7 +14,7 @@ CASES = {
     "OR-31-5508-274": [(3, 14, "HEALTHPLAN")],
     "ACCT-1234567": [(0, 12, "ACCOUNT")],
     "EMS-2019-7712": [(0, 8, "VEHICLE")],
-    "ems-2024-0331": [(0, 13, "ID_OTHER")],
+    "ems-2019-7712": [(0, 13, "ID_OTHER")],
     "CLAIM-2024-123": [(0, 14, "ID_OTHER")],
     "MRN-1234": [(0, 8, "VEHICLE")],
     "MRN-12345": [(0, 9, "MRN")],
@@ -33,7 +33,7 @@ CASES = {
     "555-846-0932 fax": [(0, 12, "PHONE")],
     "telefax" + " " * 22 + "555-846-0932": [(29, 41, "FAX")],
     "fax" + " " * 23 + "555-846-0932": [(26, 38, "PHONE")],
-    "fax 555-846-0932 555-219-4473": [(4, 16, "FAX"), (17, 29, "FAX")],
+    "fax 555-846-0932 555-846-0935": [(4, 16, "FAX"), (17, 29, "FAX")],
     "3/4/24": [(0, 6, "DATE")],
     "March 3, 2024": [(0, 13, "DATE")],
     "MARCH 3, 2024": [],

@@ -68,3 +68,28 @@ CONVERSATIONS = rf"""
     SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(substr(won, 1, 12)::BIGINT, 0) AS cost, coalesce(substr(won, 13), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
     FROM (SELECT DISTINCT cid, conv_id FROM damaged) LEFT JOIN counted USING (cid) LEFT JOIN total USING (cid) LEFT JOIN spelled USING (cid)"""
+
+_WITHOUT = "SELECT word, n, length(word) AS size, k, substr(word, 1, k - 1) || substr(word, k + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM vocabulary)"
+SPELLING = rf"""
+    WITH RECURSIVE found AS (
+        SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY doc_id, run
+    ), hashed AS MATERIALIZED (SELECT run, n, {crc32("keyed")} AS h FROM (SELECT *, concat(coalesce(doc_id::VARCHAR, ''), ':', run) AS keyed FROM found)
+    ), vocabulary AS MATERIALIZED (
+        SELECT word, sum(n)::BIGINT AS n FROM (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n FROM hashed)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), without AS MATERIALIZED ({_WITHOUT}
+    ), pairs AS MATERIALIZED (
+        SELECT a.word, b.word AS other, b.n FROM without a JOIN without b ON a.less = b.less AND a.k = b.k AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM without a JOIN vocabulary b ON a.less = b.word
+        UNION SELECT b.word, a.word, a.n FROM without a JOIN vocabulary b ON a.less = b.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, max(n) AS top, min(other) FILTER (n = best_n) AS other FROM (SELECT *, max(n) OVER (PARTITION BY word) AS best_n FROM pairs) GROUP BY word
+    ), picked AS MATERIALIZED (
+        SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN other END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM vocabulary v LEFT JOIN best USING (word)
+    ), chain AS (
+        SELECT word, word AS root, 0 AS steps FROM picked
+        UNION ALL SELECT chain.word, picked.form, steps + 1 FROM chain JOIN picked ON chain.root = picked.word WHERE picked.form IS NOT NULL
+    )
+    SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM picked JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) USING (word)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, conversations, language, lm, oracle, packing, pii, quality, repeats, simhash, toxicity
+from textveil.llm import bpe, conversations, language, lm, oracle, packing, pii, quality, repeats, simhash, spelling, toxicity
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 from textveil.sources import tables
@@ -74,6 +74,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the damaged documents with its form and root. Null texts have no words; ties as in spelling.variants."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation after the contract's damage: its faults, and the cheapest repair. Nulls and ties as in conversations.repair."""
     return conversations.repair(tables.read(spark, sf_dir, "conversations"))
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_spelling": op12_spelling,
     "op13_conversations": op13_conversations,
 }
 
@@ -162,5 +168,6 @@ ORACLE_SQL = {
         SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_spelling": oracle.SPELLING,
     "op13_conversations": oracle.CONVERSATIONS,
 }

@@ -93,3 +93,16 @@ SPELLING = rf"""
         UNION ALL SELECT chain.word, picked.form, steps + 1 FROM chain JOIN picked ON chain.root = picked.word WHERE picked.form IS NOT NULL
     )
     SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM picked JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) USING (word)"""
+
+PASSAGES = rf"""
+    WITH d AS (
+        SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{SPACES}+'), lambda w: w <> '') AS words FROM documents
+    ), win AS (
+        SELECT row, doc_id, p, md5(array_to_string(words[p : p + 49], ' ')) AS w FROM (SELECT *, unnest(range(1, len(words) - 48)) AS p FROM d WHERE len(words) >= 50)
+    ), again AS (
+        SELECT row, p FROM (SELECT row, p, doc_id, min(doc_id) OVER (PARTITION BY w) AS first FROM win) WHERE first < doc_id
+    ), gone AS (SELECT DISTINCT row, p + k AS p FROM again, range(0, 50) AS r(k)
+    ), kept AS (
+        SELECT row, string_agg(word, ' ' ORDER BY p) AS body, count(*) AS n FROM (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d) ANTI JOIN gone USING (row, p) GROUP BY row
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, conversations, language, lm, oracle, packing, pii, quality, repeats, simhash, spelling, toxicity
+from textveil.llm import bpe, conversations, language, lm, oracle, packing, passages, pii, quality, repeats, simhash, spelling, toxicity
 from textveil.llm.common import crc_mod, documents
 from textveil.llm.exact_dedup import exact_groups
 from textveil.sources import tables
@@ -74,6 +74,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of documents with smaller ids. Nulls as in passages.remove_passages."""
+    removed = F.expr("aggregate(spans, 0L, (sum, x) -> sum + x.end - x.start)").alias("n_removed")
+    return passages.remove_passages(documents(spark, sf_dir)).select("doc_id", "n_words", removed, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the damaged documents with its form and root. Null texts have no words; ties as in spelling.variants."""
     return spelling.variants(documents(spark, sf_dir))
@@ -95,6 +101,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_passages": op11_passages,
     "op12_spelling": op12_spelling,
     "op13_conversations": op13_conversations,
 }
@@ -168,6 +175,7 @@ ORACLE_SQL = {
         SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_passages": oracle.PASSAGES,
     "op12_spelling": oracle.SPELLING,
     "op13_conversations": oracle.CONVERSATIONS,
 }

@@ -6,10 +6,8 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
-
 from textveil.functions import spans
-from textveil.operators import detectors, roundtrip
+from textveil.operators import detectors
 from textveil.plans.registry import ORACLE_SQL, QUERIES
 from textveil.sources import synthetic
 from textveil.sources import text as texts
@@ -85,21 +83,3 @@ def test_detectors(spark):
     assert both == {1: [(0, 4, "NAME"), (9, 20, "SSN")], 2: [], 3: [], 4: [(0, 3, "NAME"), (13, 22, "EMAIL")]}
     assert found(detectors.select()) == {1: [(9, 20, "SSN")], 2: [], 3: [], 4: [(13, 22, "EMAIL")]}
     assert found(detectors.select(load=shouted))[1][0] == (0, 1, "ELSE")
-
-
-def test_roundtrip_and_report(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "age 95, SSN 123-45-6789", "a"), (2, None, None), (3, "no one", "c")], "doc_id long, text string, source string")
-    unknown = lambda p: F.concat(p, F.lit(" [SSN_9]"))
-    done = roundtrip.run(texts.named(docs), "What now?", "key", unknown)
-    rows = {r.doc_id: r for r in done.collect()}
-    assert rows[1].leaks == 1 and "123-45-6789" in rows[1].restored and "123-45-6789" not in rows[1].response
-    assert rows[2].source == "example_1" and all(r.warnings == ["[SSN_9]"] for r in rows.values())
-    assert roundtrip.warned(done).first() == (3, 3, 1)
-    timings = roundtrip.timed(texts.named(docs), "What now?", "key", unknown)
-    assert {r.stage for r in timings.collect()} == {"deidentify", "response", "rehydrate", "total"}
-    roundtrip.write_report(done, timings, str(tmp_path / "report"))
-    told = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/report/*").collect())
-    assert "With warnings: 3" in told and "### example_1" in told and "| total | 1 |" in told and "self-check found 1" in told
-    roundtrip.write_config(spark, str(tmp_path / "config"), epochs=8, lora=False, best_metric=0.87, lora_config=None)
-    assert '"lora_config":null' in spark.read.text(str(tmp_path / "config")).first().value
-    assert roundtrip.warned(roundtrip.run(docs.where("false"), "?", "key")).first() == (0, 0, 0)

@@ -1,24 +1,29 @@
-"""Latency summaries and the written report."""
+"""Latency summaries and the best epoch of a log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def measures(value: Column) -> dict[str, Column]:
+    """n, p50, p95, mean_s, max_s of some seconds; percentiles are exact and interpolated."""
+    value = value.cast("double")
+    return {
+        "n": F.count(value), "p50": F.coalesce(F.percentile(value, 0.5), F.lit(0.0)), "p95": F.coalesce(F.percentile(value, 0.95), F.lit(0.0)),
+        "mean_s": F.avg(value), "max_s": F.max(value),
+    }
+
+
 def summary(timings: DataFrame, stage: str = "stage", seconds: str = "seconds") -> DataFrame:
-    """stage, n, p50, p95, mean_s, max_s; percentiles are exact and interpolated. No rows give no rows."""
-    value = F.col(seconds).cast("double")
-    return timings.groupBy(F.col(stage).alias("stage")).agg(
-        F.count(value).alias("n"), F.coalesce(F.percentile(value, 0.5), F.lit(0.0)).alias("p50"), F.coalesce(F.percentile(value, 0.95), F.lit(0.0)).alias("p95"),
-        F.avg(value).alias("mean_s"), F.max(value).alias("max_s"),
-    )
+    """stage, n, p50, p95, mean_s, max_s. No rows give no rows."""
+    return timings.groupBy(F.col(stage).alias("stage")).agg(*(column.alias(name) for name, column in measures(F.col(seconds)).items()))
 
 
-def report(rows: DataFrame) -> str:
+def table(rows: list[dict]) -> str:
     """Markdown of a summary, which has a row for each stage."""
     lines = ["| stage | n | p50 | p95 | mean | max |", "| --- | --- | --- | --- | --- | --- |"]
-    lines += [f"| {r.stage} | {r.n} | {r.p50:.3f} | {r.p95:.3f} | {r.mean_s:.3f} | {r.max_s:.3f} |" for r in rows.orderBy("stage").collect()]
+    lines += [f"| {r['stage']} | {r['n']} | {r['p50']:.3f} | {r['p95']:.3f} | {r['mean_s']:.3f} | {r['max_s']:.3f} |" for r in rows]
     return "\n".join(lines) + "\n"
 
 

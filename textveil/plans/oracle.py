@@ -5,7 +5,7 @@ from __future__ import annotations
 from textveil.functions.labels import FOREIGN, TAG_IDS, TAGS
 from textveil.functions.patterns import FAX_WINDOW, FAX_WORD, PATTERNS
 from textveil.operators.restore import BETWEEN, DRY_RUN
-from textveil.plans.queries import DAYS, SECRET
+from textveil.plans.queries import DAYS, FAILING, SECRET
 from textveil.sources import synthetic
 from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, gold_sql, text_sql
@@ -230,6 +230,13 @@ ORACLE_SQL: dict[str, str] = {
         '**Sent**', chr(10), '```', chr(10), masked, chr(10), '```', chr(10), '**Response**', chr(10), '```', chr(10), response, chr(10), '```', chr(10),
         '**Restored**', chr(10), '```', chr(10), restored, chr(10), '```', chr(10),
         CASE WHEN len(tokens) > 0 THEN concat('**Unknown tokens:** ', array_to_string(tokens, ', '), chr(10)) ELSE '' END) AS transcript FROM batch""",
+    "roundtrip_fallback": f"""WITH {_BATCH}, asked AS (SELECT doc_id, masked, concat({lit(DRY_RUN)}, masked, {lit(BETWEEN)}, {lit(texts.QUESTION)}) AS response, doc_id % 4 AS k FROM masks)
+        SELECT doc_id, CASE k WHEN 1 THEN {lit(FAILING[0])} WHEN 2 THEN {lit(FAILING[1])} WHEN 3 THEN {lit(FAILING[2])} END AS provider, response,
+               CASE k WHEN 1 THEN 'unknown provider' WHEN 2 THEN 'no key' WHEN 3 THEN 'unreachable' END AS error, k > 0 AS fell_back, k > 0 AS hinted,
+               coalesce(list_reduce(entries, lambda text, x: replace(text, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), response), response) AS restored
+        FROM asked LEFT JOIN (SELECT doc_id, list(masked || chr(1) || original ORDER BY length(masked) DESC, ordinal) AS entries FROM mapping GROUP BY doc_id) USING (doc_id)""",
+    "roundtrip_timings": f"WITH {NOTES} SELECT stage, count(*) AS n, true AS ordered, true AS within FROM src, (VALUES ('deidentify'), ('response'), ('rehydrate'), ('total')) v(stage) GROUP BY stage",
+    "roundtrip_checked": f"WITH {NOTES}, {_SELFCHECK.replace(shifted('o', str(DAYS)), shifted('o', '(' + KEYED + ')'))} SELECT doc_id, masked, coalesce(n, 0) AS leaks, {KEYED} AS shift FROM final LEFT JOIN (SELECT doc_id, count(*) AS n FROM open GROUP BY doc_id) USING (doc_id)",
     "class_weights": f"{_CLASSES} SELECT CAST(tag_id AS BIGINT) AS tag_id, tag, CAST(weight AS DOUBLE) AS weight FROM classes",
     "argmax_tags": f"WITH {_LOGITS} SELECT event_id, min(k) AS tag_id FROM logits x JOIN (SELECT event_id, max(x) AS x FROM logits GROUP BY event_id) USING (event_id, x) GROUP BY event_id",
     "weighted_loss": f"""{_CLASSES}, {_LOGITS}, sums AS (SELECT event_id, gold, ln(sum(exp(x))) - max(x) FILTER (k = gold) AS nll FROM logits WHERE event_id % 11 <> 0 GROUP BY event_id, gold)

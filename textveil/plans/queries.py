@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textveil.functions import dates, labels, spans
 from textveil.functions.patterns import PATTERNS
-from textveil.operators import bio, latency, masking, restore, roundtrip, scoring
+from textveil.operators import bio, latency, masking, responder, restore, roundtrip, scoring
 from textveil.sources import synthetic, tables
 from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, notes
 
 SECRET, DAYS = "example secret", 10
+FAILING = ["nowhere", "anthropic", "openai_compatible"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -133,6 +134,36 @@ def roundtrip_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip.transcripts(_batch(spark, sf_dir))
 
 
+def _providers() -> responder.Caller:
+    """No call succeeds: a fourth of the documents each asks no one, an unknown provider, one whose key is missing, and a closed port."""
+    closed = responder.PROVIDERS["openai_compatible"]._replace(url="http://127.0.0.1:9/v1")
+    chosen = F.element_at(F.array(F.lit(None).cast("string"), *map(F.lit, FAILING)), (F.pmod(F.col("doc_id"), F.lit(4)) + 1).cast("int"))
+    return responder.Caller(chosen, {"anthropic": responder.PROVIDERS["anthropic"], "openai_compatible": closed}, keys={}, retries=0)
+
+
+def roundtrip_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents of a batch get if their provider can't be asked, and why."""
+    rows = notes(spark, sf_dir).select("doc_id", "text", "source")
+    done = roundtrip.run(rows, texts.QUESTION, SECRET, _providers(), check=False, shift_days=DAYS)
+    return done.select("doc_id", "answer.provider", "response", "answer.error", "answer.fell_back", responder.hint(F.col("answer.error")).isNotNull().alias("hinted"), "restored")
+
+
+def roundtrip_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each stage how many documents were timed, and whether its figures are in order and within the totals."""
+    rows = notes(spark, sf_dir).select("doc_id", "text", "source")
+    stacked = roundtrip.timings(roundtrip.timed(rows, texts.QUESTION, SECRET))
+    whole = F.max(F.when(F.col("stage") == "total", F.col("seconds"))).over(Window.partitionBy("doc_id"))
+    within = stacked.withColumn("within", (F.col("seconds") >= 0) & (F.col("seconds") <= whole))
+    measured = latency.summary(within).select("stage", "n", ((F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("max_s")) & (F.col("mean_s") <= F.col("max_s"))).alias("ordered"))
+    return measured.join(within.groupBy("stage").agg(F.every("within").alias("within")), "stage")
+
+
+def roundtrip_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with the self-check and each document's own shift of dates."""
+    done = roundtrip.run(notes(spark, sf_dir).select("doc_id", "text", "source"), texts.QUESTION, SECRET)
+    return done.select("doc_id", "masked", "leaks", F.col("shift").cast("long").alias("shift"))
+
+
 def rehydrate_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answered(spark, sf_dir).select("doc_id", restore.rehydrated().alias("restored"))
 
@@ -299,6 +330,9 @@ QUERIES: dict[str, Query] = {
     "roundtrip_batch": roundtrip_batch,
     "roundtrip_warned": roundtrip_warned,
     "roundtrip_transcripts": roundtrip_transcripts,
+    "roundtrip_fallback": roundtrip_fallback,
+    "roundtrip_timings": roundtrip_timings,
+    "roundtrip_checked": roundtrip_checked,
     "ensemble_spans": ensemble_spans,
     "normalise_labels": normalise_labels,
     "score_overall": score_overall,

@@ -40,12 +40,17 @@ BLOCK, WORK, FEW = (32, 256), 400_000, 6
 CRUMBS = 0.002
 #: Times that the program is solved at most, and the share of the pieces that makes another time worth it.
 PHASES, LEAST_PLACED = 3, 0.1
-#: Emptiness that a kept configuration may have; of these the one with the fewest sequences in all holds.
-GAPS = (1.0, 0.05, 0.02, 0.01, 0.005, 0.002)
+#: Emptiness that a kept configuration may have (below none: none is kept); of these the one with the fewest sequences in all
+#: holds, so there are never more than best fit alone would make.
+GAPS = (1.0, 0.05, 0.02, 0.01, 0.005, 0.002, -1.0)
+#: First prices by steps: most pieces of one length in a sequence that they tell apart, and places of the step tried for each.
+MOST_ALIKE, STEPS_TRIED = 6, 12
 #: Pieces of text remembered in each of two generations of a worker, and the longest that stay.
 MEMO_WORDS, MEMO_CHARS = 400_000, 64
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 100
+#: Groups that a length's pieces are ranked in at most; one task sums up so many groups' sizes.
+RANK_GROUPS = 1 << 16
 #: Python's str.split takes these four for white space, the tokenizer's pattern doesn't (fixed values).
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORD = re.compile(f"[^{WHITE}]+")
@@ -190,7 +195,9 @@ def program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 0
     of lengths a knapsack finds the dearest configuration through the longest open length; it is used until one of its
     lengths has its share, if its price is near the block's dearest. Lengths behind their share get dearer, so emptier
     configurations come near where fuller ones cannot hold them. While prices are met that give a better bound than the
-    first ones, all rounds run again from these, with stronger updates. rounds: 0 for as many as KNAPSACKS allows.
+    first ones, all rounds run again from these, with stronger updates. The program starts with best fit's configurations,
+    as column generation does with a heuristic's: where the priced ones cover at a higher cost, these are the answer.
+    rounds: 0 for as many as KNAPSACKS allows.
     """
     sizes = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(s)] for s in sizes], dtype=float)
@@ -202,19 +209,38 @@ def program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 0
         if better is None:
             break
         known, prices, strength = solution.bound, better, 3 * strength
+    columns = best_fit(Counter(), histogram, capacity)
+    if sum(n for _, n in columns) < sum(solution.amounts.values()) + sum(solution.closing.values()):
+        found = {tuple(sorted(Counter(lengths).items(), reverse=True)): float(n) for lengths, n in columns}
+        return Solution(found, {}, solution.bound)
     return solution
 
 
 def first_prices(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
     """Of the prices that no configuration exceeds for some length e up to half the capacity, those with the best bound.
 
-    Lengths below e are nearly free, those that leave less than e cost a whole sequence, all others their share of it.
+    Lengths below e are nearly free, those that leave less than e cost a whole sequence, all others their share of it. Or
+    prices rise in a line from 0 through 1 / (m + 1) at that share of the capacity to 1 / m at some length, and stay there:
+    for lengths of which m + 1 fit with others that are shorter, else m. These are scaled by the dearest configuration.
     """
     best, found = -1.0, sizes / capacity
     for e in [1, *(int(s) for s in sizes if s <= capacity // 2), capacity // 2 + 1]:
         prices = np.where(sizes > capacity - e, 1.0, np.where(sizes < e, FREE, 1.0) * sizes / capacity)
         if counts @ prices > (1 + NEAR) * best:
             best, found = float(counts @ prices), prices
+    for m in range(1, MOST_ALIKE + 1):
+        low, high = capacity / (m + 1), capacity / m
+        if not ((sizes > low / 2) & (sizes <= high)).any():
+            continue
+        for top in np.linspace(low, high, STEPS_TRIED + 1)[1:]:
+            prices = np.clip(1 / (m + 1) + (1 / m - 1 / (m + 1)) * (sizes - low) / (top - low), FREE * sizes / capacity, 1 / m)
+            if counts @ prices <= (1 + NEAR) * best:
+                continue  # the dearest configuration seldom costs less than 1
+            every = np.zeros(capacity)
+            every[sizes - 1] = prices
+            prices = prices / dearest(every)
+            if counts @ prices > (1 + NEAR) * best:
+                best, found = float(counts @ prices), prices
     return found
 
 
@@ -386,7 +412,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     table = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity, rounds).sequences))
     # A length has as many salts as its pieces need; the table of salts has at most capacity rows.
-    salts = docs.sparkSession.createDataFrame([(s, -(-n // RANKED_TOGETHER)) for s, n in histogram.items()], "length long, salts long")
+    salts = docs.sparkSession.createDataFrame([(s, min(RANK_GROUPS, -(-n // RANKED_TOGETHER))) for s, n in histogram.items()], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "salts")).drop("salts")
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")

@@ -6,29 +6,15 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import conversations, passages, queries, spelling
+from textveil.llm import conversations, passages, spelling
 
-SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, word string, shard string, body string"
 
 
-@pytest.mark.parametrize("name", ["op11_passages", "op12_spelling", "op13_conversations"])
-def test_against_sql(spark, name):
-    con = duckdb.connect()
-    for f in Path(SF).iterdir():
-        con.sql(f"create view {f.stem} as select * from '{f}'")
-    wanted = con.sql(queries.ORACLE_SQL[name])
-    got = queries.QUERIES[name](spark, SF)
-    assert sorted(got.columns) == sorted(wanted.columns)
-    assert sorted(repr(tuple(r)) for r in got.select(*wanted.columns).collect()) == sorted(map(repr, wanted.fetchall()))
-
-
 def brute_passages(rows, window):
     first = defaultdict(lambda: 1 << 70)
     cut = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]

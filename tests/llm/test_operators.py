@@ -7,6 +7,7 @@ import statistics
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -266,6 +267,35 @@ def test_lm_score_against_exact_counts(sample):
     assert far <= 0.03 * tokens_
 
 
+def test_lm_geometry():
+    """As many bits a token at every size."""
+    for total in [200_000, 3_640_000, 67_000_000, 67_108_865, 74_000_000, 134_000_001, 10**12]:
+        bits, lead = lm.geometry(total)
+        assert lm.BITS_A_TOKEN <= bits / total < lm.BITS_A_TOKEN + 0.1 and bits % (8 << lead) == 0 and bits >> lead < 1 << 32
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lm_crowded_filter(spark, monkeypatch, broadcast):
+    """With no bit to spare false hits raise the scores of new texts by 0.02 a token at most, on both sides of the switch."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(800)}"  # nearly all pairs are different
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(200))) for k in range(900)], "doc_id long, text string")
+    train = lm.split(docs)[0]
+    counts, total, distinct = exact_pairs([r.text.encode() for r in train.collect()])
+    assert lm.geometry(total)[0] > lm.MIN_BITS
+    stepped = lambda grams: lm.value(np.where((n := counts(grams)) > 0, lm.level(np.maximum(n, 1)), 0))
+    if not broadcast:
+        monkeypatch.setattr(lm, "MAX_BITS", 1 << 19)
+        monkeypatch.setattr(lm, "build", None)
+    held = lm.split(docs)[1]
+    want = {r.doc_id: float(lm.log10(stepped, total, distinct, *lm.tokens([r.text.encode()]))[0]) for r in held.collect()}
+    got = lm.score(held, train).collect()
+    bias = sum(r.score - want[r.doc_id] for r in got) / sum(r.n_tokens for r in got)
+    assert 0.002 <= bias <= 0.02
+
+
 def test_lm_commonest(spark):
     counts = spark.createDataFrame([(k, n) for k, n in enumerate([1] * 50 + [2] * 20 + [9] * 5 + [100])], "token long, n long")
     assert {r.n for r in lm.commonest(counts, 30).collect()} == {2, 9, 100}
@@ -283,7 +313,10 @@ def test_lm_filter_beyond_broadcast(spark, sample, monkeypatch):
         monkeypatch.setattr(lm, "SEGMENT_LOG", log)
         got = sorted(lm.score(sample, train).collect(), key=key)
         assert [(r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in got] == [(r.doc_id, r.n_tokens, r.n_known, pytest.approx(r.base_score)) for r in want]
-        assert [r.score for r in got] == pytest.approx([r.score for r in want], rel=1e-9 if log > 9 else 0.1)  # other segments: other false hits
+        if log > 9:
+            assert [r.score for r in got] == pytest.approx([r.score for r in want], rel=1e-9)
+        else:  # other segments: other false hits, which may move a short text
+            assert sum(abs(a.score - b.score) > 0.1 * abs(b.score) for a, b in zip(got, want, strict=True)) <= 0.01 * len(want)
 
 
 def test_bloom_counts():
@@ -687,7 +720,7 @@ def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "conversations"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -736,7 +769,8 @@ def test_quality_sees_word_order(spark):
 def test_every_query_returns_every_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, query in queries.QUERIES.items():
-        assert query(spark, SF).select("doc_id").distinct().count() == n, name
+        if name not in ("op12_spelling", "op13_conversations"):  # of words and conversations
+            assert query(spark, SF).select("doc_id").distinct().count() == n, name
 
 
 def test_pipeline(spark):

@@ -28,8 +28,9 @@ from xxhash import xxh64_intdigest
 from textveil.llm.common import crc_mod, durable, text_of
 from textveil.llm.repeats import slices
 
-#: Bounds of the filter, its segments, bits for each training token, and hash functions of the first and later steps.
-MIN_BITS, MAX_BITS, SEGMENTS, BITS_A_TOKEN, FIRST, LATER = 1 << 20, 1 << 29, 1 << 10, 8, 4, 2
+#: Bounds of the filter, its segments, bits for each training token (at which false hits raise scores by 0.02 a token at most),
+#: and hash functions of the first and later steps.
+MIN_BITS, MAX_BITS, SEGMENTS, BITS_A_TOKEN, FIRST, LATER = 1 << 20, 1 << 30, 1 << 10, 13, 6, 3
 #: Binary logarithm of the most bits of a segment (larger filters have more segments), and bytes of an n-gram within one.
 SEGMENT_LOG, LOW = 24, 5
 #: Steps of the scale that double a count.
@@ -38,7 +39,7 @@ STEPS = 2
 COMMON, FINE = 1 << 20, 4
 #: Discount of a seen pair, further weight of a word's own probability, and the base's added count.
 DISCOUNT, PRIOR, ADDED = 0.75, 2.0, 0.1
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bits of a word that stand for it in its count of successors, and the owner of n-grams that are no pairs.
 OWNER_SHIFT, NO_OWNER = np.uint64(64 - 8 * LOW), np.uint64((1 << 8 * LOW) - 1)
@@ -93,8 +94,8 @@ def value(levels: np.ndarray) -> np.ndarray:
 
 
 def _places(grams: np.ndarray, step: int, number: int, size: int) -> np.ndarray:
-    """Bit within its segment for each n-gram (its low part)."""
-    return _mix((grams + np.uint64(step * 16 + number)) * _A) & np.uint64(size - 1)
+    """Bit within its segment for each n-gram (its low part); size: any number below 2 ** 32."""
+    return ((_mix((grams + np.uint64(step * 16 + number)) * _A) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 
 def segment(grams: np.ndarray, levels: np.ndarray, size: int) -> bytes:
@@ -120,11 +121,13 @@ def probe(bits: np.ndarray, base: np.ndarray, low: np.ndarray, size: int) -> np.
 
 
 def geometry(total: int) -> tuple[int, int]:
-    """Bits of the filter, and how many leading bits of an n-gram name its segment. Both follow the training tokens alone."""
-    bits = max(MIN_BITS, 1 << (BITS_A_TOKEN * max(1, total) - 1).bit_length())
-    if 4 * total <= MAX_BITS:
-        bits = min(bits, MAX_BITS)
-    return bits, max(SEGMENTS.bit_length() - 1, bits.bit_length() - 1 - SEGMENT_LOG)
+    """Bits of the filter, and how many leading bits of an n-gram name its segment. Both follow the training tokens alone.
+
+    There are BITS_A_TOKEN for each token at every size, rounded up to whole bytes of the segments.
+    """
+    bits = max(MIN_BITS, BITS_A_TOKEN * total)
+    lead = max(SEGMENTS.bit_length() - 1, bits.bit_length() - 1 - SEGMENT_LOG)
+    return -(-bits // (8 << lead)) * (8 << lead), lead
 
 
 def _low(grams: np.ndarray) -> np.ndarray:
@@ -409,6 +412,7 @@ def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFra
     if small:
         model = spark.sparkContext.broadcast(build(training, total, distinct))
     else:
+        whole = durable(whole, "lm-texts")  # read twice: rows keep their numbers even if a task is run again
         source = answered(whole, durable(segments(training, bits, lead), "lm-segments"), bits, lead)
     top = commonest(counts, common).select("token", "n").toArrow()  # bounded by common
     known, n = (top.column(c).to_numpy() for c in ("token", "n"))

@@ -39,7 +39,8 @@ STEPS = 2
 COMMON, FINE = 1 << 20, 4
 #: Discount of a seen pair, further weight of a word's own probability, and the base's added count.
 DISCOUNT, PRIOR, ADDED = 0.75, 2.0, 0.1
-TEXT_BYTES = 4 << 20
+#: Bytes of text worked on at once, and where the whole filter is held beside them.
+TEXT_BYTES, BESIDE_FILTER = 8 << 20, 2 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bits of a word that stand for it in its count of successors, and the owner of n-grams that are no pairs.
 OWNER_SHIFT, NO_OWNER = np.uint64(64 - 8 * LOW), np.uint64((1 << 8 * LOW) - 1)
@@ -347,10 +348,10 @@ def answers(whole: DataFrame, held: DataFrame, bits: int, lead: int) -> DataFram
     return both.repartition("segment").sortWithinPartitions("segment", "block").mapInArrow(answer, "block long, segment int, levels binary")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = TEXT_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of texts, each with the number of its first row."""
     for batch in batches:
-        for part in slices(batch, size=TEXT_BYTES):
+        for part in slices(batch, size=size):
             yield part.column("row")[0].as_py(), part
 
 
@@ -445,7 +446,7 @@ def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFra
         )
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _blocks(batches):
+        for _, part in _blocks(batches, BESIDE_FILTER):
             yield from rows_of(part, model.value.counts, tokens(part.column("body").to_pylist()))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,6 +48,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that are no more: it does so when the driver's collector finds them gone,
+    which a mostly idle driver does too late for the disks of its executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> int:
     """Remove the intermediate tables of this application, once no result needs them any more; how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

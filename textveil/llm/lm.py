@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from textveil.llm.common import crc_mod, durable, text_of
+from textveil.llm.common import crc_mod, durable, forget, text_of
 from textveil.llm.repeats import slices
 
 #: Bounds of the filter, its segments, bits for each training token (at which false hits raise scores by 0.02 a token at most),
@@ -301,7 +301,9 @@ def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
     """The whole filter; only for such as have MAX_BITS at most."""
     bits, lead = geometry(total)
     out = np.zeros((1 << lead, bits >> lead + 3), np.uint8)
-    table = segments(docs, bits, lead).toArrow()
+    table = segments(docs, bits, lead)
+    forget(docs.sparkSession)  # the counts' shuffle is written as a table by now
+    table = table.toArrow()
     for number, made in zip(table.column("segment").to_pylist(), table.column("bits"), strict=True):
         out[number] = np.frombuffer(made.as_buffer(), np.uint8)
     return LogFilter(out.reshape(-1), total, distinct)
@@ -414,7 +416,9 @@ def score(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFra
         model = spark.sparkContext.broadcast(build(training, total, distinct))
     else:
         whole = durable(whole, "lm-texts")  # read twice: rows keep their numbers even if a task is run again
-        source = answered(whole, durable(segments(training, bits, lead), "lm-segments"), bits, lead)
+        held = segments(training, bits, lead)
+        forget(spark)
+        source = answered(whole, durable(held, "lm-segments"), bits, lead)
     top = commonest(counts, common).select("token", "n").toArrow()  # bounded by common
     known, n = (top.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(known)

@@ -30,7 +30,7 @@ from textveil.llm.repeats import slices
 
 #: Bounds of the filter, its segments, bits for each training token (at which false hits raise scores by 0.02 a token at most),
 #: and hash functions of the first and later steps.
-MIN_BITS, MAX_BITS, SEGMENTS, BITS_A_TOKEN, FIRST, LATER = 1 << 20, 1 << 30, 1 << 10, 13, 6, 3
+MIN_BITS, MAX_BITS, SEGMENTS, BITS_A_TOKEN, FIRST, LATER = 1 << 20, 1 << 31, 1 << 10, 13, 6, 3
 #: Binary logarithm of the most bits of a segment (larger filters have more segments), and bytes of an n-gram within one.
 SEGMENT_LOG, LOW = 24, 5
 #: Steps of the scale that double a count.
@@ -301,11 +301,10 @@ def build(docs: DataFrame, total: int, distinct: int) -> LogFilter:
     """The whole filter; only for such as have MAX_BITS at most."""
     bits, lead = geometry(total)
     out = np.zeros((1 << lead, bits >> lead + 3), np.uint8)
-    table = segments(docs, bits, lead)
+    made = segments(docs, bits, lead)
     forget(docs.sparkSession)  # the counts' shuffle is written as a table by now
-    table = table.toArrow()
-    for number, made in zip(table.column("segment").to_pylist(), table.column("bits"), strict=True):
-        out[number] = np.frombuffer(made.as_buffer(), np.uint8)
+    for row in made.toLocalIterator(True):  # a partition's segments at a time
+        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     return LogFilter(out.reshape(-1), total, distinct)
 
 

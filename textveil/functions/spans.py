@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textveil.functions import long
 from textveil.functions.patterns import FAX_WINDOW, FAX_WORD, PATTERNS
 
 SPANS = "array<struct<s: int, e: int, label: string>>"
@@ -25,16 +26,18 @@ def matches(text: str, pattern: str) -> str:
     split where something was found.
     """
     found, gaps = f"regexp_extract_all({text}, {quoted(pattern)}, 0)", f"split({text}, {quoted(pattern)}, -1)"
-    total = "aggregate(slice({}, 1, {}), 0, (n, part) -> n + length(part))"
-    return f"""transform(array({found}), f -> if(size(f) = 0, cast(array() as array<struct<s: int, m: string>>), transform(array({gaps}), g ->
-        transform(f, (m, i) -> named_struct('s', {total.format('g', 'i + 1')} + {total.format('f', 'i')}, 'm', m)))[0]))[0]"""
+    lengths = "transform(f, (m, i) -> length(g[i]) + length(m))"
+    placed = long.let(long.starts(lengths), "at", "transform(f, (m, i) -> named_struct('s', at[i] + length(g[i]), 'm', m))")
+    return long.let(found, "f", f"if(size(f) = 0, cast(array() as array<struct<s: int, m: string>>), {long.let(gaps, 'g', placed)})")
 
 
-def candidates(text: str, labels: set[str] | None = None) -> Column:
+def candidates(text: str, labels: set[str] | None = None, chunks: str | None = None) -> Column:
     """Array of struct (prio, s, e, label) of all matches in order of priority, then place, before any claim.
 
-    Ages shrink to their digits; phone numbers after the word fax are FAX. labels: only these patterns.
+    Ages shrink to their digits; phone numbers after the word fax are FAX. labels: only these patterns. chunks: the column
+    with the text's chunks (functions.long), if there is one.
     """
+    chunks = chunks or "cast(array() as array<string>)"
     parts = []
     for prio, p in enumerate(PATTERNS, 1):
         if labels is not None and p.label not in labels:
@@ -42,7 +45,7 @@ def candidates(text: str, labels: set[str] | None = None) -> Column:
         if p.label == "AGE":
             shaped = f"named_struct('prio', {prio}, 's', x.s + length(x.m) - length(regexp_extract(x.m, '(?U)\\\\d+', 0)), 'e', x.s + length(x.m), 'label', 'AGE')"
         elif p.label == "PHONE_OR_FAX":
-            before = f"substring({text}, greatest(0, x.s - {FAX_WINDOW}) + 1, least({FAX_WINDOW}, x.s))"
+            before = long.cut(text, chunks, f"greatest(0, x.s - {FAX_WINDOW})", f"least({FAX_WINDOW}, x.s)")
             label = f"if({before} rlike {quoted('(?iU)' + FAX_WORD)}, 'FAX', 'PHONE')"
             shaped = f"named_struct('prio', {prio}, 's', x.s, 'e', x.s + length(x.m), 'label', {label})"
         else:
@@ -53,21 +56,39 @@ def candidates(text: str, labels: set[str] | None = None) -> Column:
 
 
 def claim(found: str) -> Column:
-    """Greedy claim over a candidate column in its order: one that touches an earlier winner goes as a whole; by place."""
-    return F.expr(f"""array_sort(aggregate({found}, cast(array() as {SPANS}), (won, c) ->
-        if(exists(won, w -> w.s < c.e and c.s < w.e), won, concat(won, array(named_struct('s', c.s, 'e', c.e, 'label', c.label))))))""")
+    """Greedy claim over a candidate column in its order: one that touches an earlier winner goes as a whole; by place.
+
+    Matches of one grammar don't touch each other, so many candidates are taken a grammar at a time.
+    """
+    won = "named_struct('s', c.s, 'e', c.e, 'label', c.label)"
+    plain = f"aggregate({found}, cast(array() as {SPANS}), (won, c) -> if(exists(won, w -> w.s < c.e and c.s < w.e), won, concat(won, array({won}))))"
+    added = f"array_sort(concat(won, transform(filter(cs, c -> not {long.touches('won', 'c')}), c -> {won})))"
+    step = long.let(f"filter({found}, c -> c.prio = p)", "cs", f"if(size(cs) = 0, won, {added})")
+    many = f"aggregate(sequence(1, {len(PATTERNS)}), cast(array() as {SPANS}), (won, p) -> {step})"
+    return F.expr(f"array_sort(if(size({found}) <= {long.BLOCK}, {plain}, {many}))")
 
 
 def with_spans(df, text: str = "text", into: str = "spans"):
     """df with the claimed spans of a text column; null and empty texts have none."""
-    staged = df.withColumn("_candidates", candidates(f"`{text}`"))
-    return staged.withColumn(into, claim("_candidates")).drop("_candidates")
+    staged = df.withColumn("_chunks", F.expr(long.chunks(f"`{text}`"))).withColumn("_candidates", candidates(f"`{text}`", chunks="_chunks"))
+    return staged.withColumn(into, claim("_candidates")).drop("_candidates", "_chunks")
 
 
 def ensemble(first: str, second: str) -> Column:
     """Spans of the first column, and those of the second (in order) that touch neither these nor each other."""
-    return F.expr(f"""array_sort(aggregate(array_sort({second}), {first}, (won, c) ->
-        if(exists(won, w -> w.s < c.e and c.s < w.e), won, concat(won, array(c)))))""")
+    plain = f"aggregate(array_sort({second}), {first}, (won, c) -> if(exists(won, w -> w.s < c.e and c.s < w.e), won, concat(won, array(c))))"
+    # in order of their starts a span touches one taken before if it touches the last; taken ones are gathered block by block
+    free = f"filter(array_sort({second}), c -> not {long.touches('own', 'c')})"
+    inner = f"aggregate(slice(free, k * {long.BLOCK} + 1, {long.BLOCK}), named_struct('part', cast(array() as {SPANS}), 'e', acc.e), (b, c) -> if(c.s >= b.e, named_struct('part', concat(b.part, array(c)), 'e', c.e), b))"
+    step = long.let(inner, "r", "named_struct('part', concat(acc.part, r.part), 'e', r.e)")
+    taken = f"aggregate(sequence(0, int(size(free) div {long.BLOCK})), named_struct('part', cast(array() as {SPANS}), 'e', 0), (acc, k) -> {step}, acc -> acc.part)"
+    many = long.let(f"array_sort({first})", "own", long.let(free, "free", f"concat(own, {taken})"))
+    return F.expr(f"array_sort(if(size({first}) + size({second}) <= {long.BLOCK}, {plain}, {many}))")
+
+
+def parts(text: str, spans: str, chunks: str) -> Column:
+    """A column of spans with part, what stands there in the text."""
+    return F.expr(f"transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'part', {long.cut(text, chunks, 'x.s', '(x.e - x.s)')}))")
 
 
 def locate(text: str, wanted: str) -> Column:

@@ -9,38 +9,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.functions import dates, spans
+from textveil.functions import dates, long, spans
 
 _ITEM = "named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', x.o, 'm', {}, 'mapped', {})"
+TOKENS = "array<struct<label: string, k: string, n: int>>"
 
 
-def _spliced(text: str, items: str) -> str:
-    return f"""aggregate({items}, named_struct('out', '', 'at', 0),
-        (a, x) -> named_struct('out', concat(a.out, substring({text}, a.at + 1, x.s - a.at), x.m), 'at', x.e),
-        a -> concat(a.out, substring({text}, a.at + 1)))"""
+def _spliced(text: str, items: str, chunks: str) -> str:
+    """SQL for the text with each item's m in its place."""
+    ends = f"if(i = 0, 0, {items}[i - 1].e)"
+    pieces = f"transform({items}, (x, i) -> concat({long.cut(text, chunks, ends, f'(x.s - {ends})')}, x.m))"
+    last = f"{items}[size({items}) - 1].e"
+    rest = long.cut(text, chunks, last, f"(length({text}) - {last})")
+    return f"if(size({items}) = 0, {text}, concat(array_join({pieces}, ''), {rest}))"
 
 
-def _token(keys: str) -> str:
-    """[LABEL_n]: n counts the label's distinct originals (in lower case) up to this one."""
-    own = "named_struct('label', x.label, 'k', lower(x.o))"
-    return f"concat('[', x.label, '_', size(filter(slice({keys}, 1, cast(array_position({keys}, {own}) as int)), y -> y.label = x.label)), ']')"
+def _numbered(rows: DataFrame, found: str, spot: str) -> DataFrame:
+    """rows with _tokens (label, k, n; sorted), the originals of found that have no number yet added to those there are.
+
+    k: an original in lower case. Numbers of a label go on from the highest, in the order of spot, an SQL expression of an
+    item x. Originals are sorted and each run's first one counted, so that nothing is sought for each of them.
+    """
+    known = long.let(long.search("_tokens", _below("y_", "x")), "p_", "if(p_ < size(_tokens), _tokens[p_].label = x.label and _tokens[p_].k = x.k, false)")
+    rows = rows.withColumn("_sorted", F.expr(f"array_sort(transform({found}, x -> named_struct('label', x.label, 'k', lower(x.o), 'spot', {spot})))"))
+    first = "if(i = 0, true, _sorted[i - 1].label <> x.label or _sorted[i - 1].k <> x.k)"
+    rows = rows.withColumn("_sorted", F.expr(f"filter(filter(_sorted, (x, i) -> {first}), x -> not {known})"))
+    rows = rows.withColumn("_sorted", F.expr("array_sort(transform(_sorted, x -> named_struct('label', x.label, 'spot', x.spot, 'k', x.k)))"))
+    # where each label begins, and how many numbers it has: a few entries
+    rows = rows.withColumn("_heads", F.expr("filter(transform(_sorted, (x, i) -> named_struct('label', x.label, 'i', i)), (x, i) -> if(i = 0, true, _sorted[i - 1].label <> x.label))"))
+    rows = rows.withColumn("_heads", F.expr("transform(_heads, h -> named_struct('label', h.label, 'i', h.i - size(filter(_tokens, t -> t.label = h.label))))"))
+    number = "i - filter(heads_, h -> h.label = x.label)[0].i + 1"
+    # named outside: a column that is used once may be worked out where it stands, here again for each element
+    fresh = long.let("_heads", "heads_", f"transform(_sorted, (x, i) -> named_struct('label', x.label, 'k', x.k, 'n', {number}))")
+    return rows.withColumn("_tokens", F.expr(f"if(size(_sorted) = 0, _tokens, array_sort(concat(_tokens, {fresh})))")).drop("_sorted", "_heads")
+
+
+def _below(a: str, b: str) -> str:
+    return f"({a}.label < {b}.label or ({a}.label = {b}.label and {a}.k < {b}.k))"
+
+
+def _token() -> str:
+    """SQL for an item x's [LABEL_n]."""
+    place = long.let("named_struct('label', x.label, 'k', lower(x.o))", "z_", long.search("_tokens", _below("y_", "z_")))
+    return f"concat('[', x.label, '_', _tokens[{place}].n, ']')"
 
 
-def _keys(items: str) -> str:
-    return f"array_distinct(transform({items}, x -> named_struct('label', x.label, 'k', lower(x.o))))"
+def _originals(found: str, text: str, chunks: str) -> str:
+    return f"transform({found}, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', {long.cut(text, chunks, 'x.s', '(x.e - x.s)')}))"
 
 
 def mask(df: DataFrame, text: str = "text", found: str = "spans", shift: str = "shift") -> DataFrame:
-    """df with items (s, e, label, o, m, mapped), masked and _keys, for its text, spans and shift columns.
+    """df with items (s, e, label, o, m, mapped), masked and _tokens, for its text, spans and shift columns.
 
-    Ages become `90+` and are not mapped; dates move by shift days; all else, unreadable dates too, gets a pseudonym.
+    Ages become `90+` and are not mapped; dates move by shift days; all else, unreadable dates too, gets a pseudonym
+    [LABEL_n]: n counts the label's distinct originals (in lower case) up to this one.
     """
-    staged = df.withColumn("_raw", F.expr(f"transform({found}, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', substring({text}, x.s + 1, x.e - x.s)))"))
+    staged = df.withColumn("_chunks", F.expr(long.chunks(text))).withColumn("_raw", F.expr(_originals(found, text, "_chunks")))
     fixed = f"case when x.label = 'AGE' then '90+' when x.label = 'DATE' then {dates.shifted('x.o', shift)} end"
     staged = staged.withColumn("_fixed", F.expr(f"transform(_raw, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', x.o, 'f', {fixed}))"))
-    staged = staged.withColumn("_keys", F.expr(_keys("filter(_fixed, x -> x.f is null)")))
-    staged = staged.withColumn("items", F.expr("transform(_fixed, x -> " + _ITEM.format(f"coalesce(x.f, {_token('_keys')})", "x.label <> 'AGE'") + ")"))
-    return staged.withColumn("masked", F.expr(_spliced(text, "items"))).drop("_raw", "_fixed")
+    staged = staged.withColumn("_tokens", F.expr(f"cast(array() as {TOKENS})")).withColumn("_raw", F.expr("filter(_fixed, x -> x.f is null)"))
+    staged = _numbered(staged, "_raw", "x.s")
+    staged = staged.withColumn("items", F.expr("transform(_fixed, x -> " + _ITEM.format(f"if(x.f is not null, x.f, {_token()})", "x.label <> 'AGE'") + ")"))
+    return staged.withColumn("masked", F.expr(_spliced(text, "items", "_chunks"))).drop("_raw", "_fixed", "_chunks")
 
 
 def selfcheck(df: DataFrame) -> DataFrame:
@@ -48,19 +78,22 @@ def selfcheck(df: DataFrame) -> DataFrame:
 
     Adds leaks (items, by place in the first masked text). New pseudonyms go on from the first ones, right to left.
     """
-    staged = spans.with_spans(df, "masked", "_hits")
-    staged = staged.withColumn("_raw", F.expr("""filter(transform(_hits, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', substring(masked, x.s + 1, x.e - x.s))),
-        x -> not exists(items, y -> y.mapped and y.m = x.o))"""))
-    staged = staged.withColumn("_keys", F.expr(f"array_distinct(concat(_keys, {_keys('reverse(_raw)')}))"))
-    staged = staged.withColumn("leaks", F.expr("transform(_raw, x -> " + _ITEM.format(_token("_keys"), "true") + ")"))
-    return staged.withColumn("masked", F.expr(_spliced("masked", "leaks"))).withColumn("items", F.expr("concat(items, reverse(leaks))")).drop("_raw", "_hits")
+    staged = spans.with_spans(df, "masked", "_hits").withColumn("_chunks", F.expr(long.chunks("masked")))
+    staged = staged.withColumn("_known", F.expr("array_sort(array_distinct(transform(filter(items, y -> y.mapped), y -> y.m)))"))
+    staged = staged.withColumn("_raw", F.expr(_originals("_hits", "masked", "_chunks")))
+    staged = staged.withColumn("_raw", F.expr(f"filter(_raw, x -> not {long.within('_known', 'x.o')})"))
+    staged = _numbered(staged, "_raw", "-x.s")
+    staged = staged.withColumn("leaks", F.expr("transform(_raw, x -> " + _ITEM.format(_token(), "true") + ")"))
+    return staged.withColumn("masked", F.expr(_spliced("masked", "leaks", "_chunks"))).withColumn("items", F.expr("concat(items, reverse(leaks))")).drop("_raw", "_hits", "_known", "_chunks")
 
 
 def entries() -> Column:
     """The mapping of a row's items as an array of ordinal, masked, original: the last original wins, the first place counts."""
-    kept = "filter(items, x -> x.mapped)"
-    return F.expr(f"""transform(array_distinct(transform({kept}, x -> x.m)), (m, i) ->
-        named_struct('ordinal', i, 'masked', m, 'original', element_at(filter({kept}, x -> x.m = m), -1).o))""")
+    ordered = "array_sort(transform(filter(items, x -> x.mapped), (x, i) -> named_struct('m', x.m, 'i', i, 'o', x.o)))"
+    heads = "filter(transform(sorted_, (x, j) -> named_struct('m', x.m, 'i', x.i, 'j', j)), (x, j) -> if(j = 0, true, sorted_[j - 1].m <> x.m))"
+    last = "sorted_[if(t + 1 < size(heads_), heads_[t + 1].j, size(sorted_)) - 1].o"
+    listed = f"array_sort(transform(heads_, (x, t) -> named_struct('i', x.i, 'm', x.m, 'o', {last})))"
+    return F.expr(long.let(ordered, "sorted_", long.let(heads, "heads_", f"transform({listed}, (x, t) -> named_struct('ordinal', t, 'masked', x.m, 'original', x.o))")))
 
 
 def mapping(df: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textveil.functions import long
 from textveil.functions.spans import quoted
 
 TOKEN = r"(?U)\[[A-Z_]+_\d+\]"
@@ -18,14 +19,31 @@ def entries(mapping: DataFrame, key: str) -> DataFrame:
 
 
 def rehydrated(response: str = "response", entries_: str = "entries") -> Column:
-    """Replacement after replacement, the longest masked string first, then the first mapped one."""
-    ordered = f"array_sort(transform({entries_}, e -> named_struct('n', -length(e.masked), 'ordinal', e.ordinal, 'masked', e.masked, 'original', e.original)))"
-    return F.expr(f"coalesce(aggregate({ordered}, {response}, (text, e) -> replace(text, e.masked, e.original)), {response})")
+    """Replacement after replacement, the longest masked string first, then the first mapped one.
+
+    Of many entries all pseudonyms are put back in one pass, and then the dates one after the other. That gives the same
+    where no original looks like a pseudonym or a date written with strokes, which only addresses can; else, and for few
+    entries, it goes replacement after replacement.
+    """
+    ordered = "array_sort(transform({}, e -> named_struct('n', -length(e.masked), 'ordinal', e.ordinal, 'masked', e.masked, 'original', e.original)))"
+    each = f"aggregate({{}}, {{}}, (text, e) -> replace(text, e.masked, e.original))"
+    plain = each.format(ordered.format(entries_), response)
+    tokens = f"array_sort(transform(filter({entries_}, e -> e.masked like '[%'), e -> named_struct('masked', e.masked, 'original', e.original)))"
+    place = long.search("known_", "y_.masked < t")
+    one = long.let(place, "p_", "if(p_ < size(known_), if(known_[p_].masked = t, known_[p_].original, t), t)")
+    token = quoted(TOKEN)
+    joined = f"array_join(transform(split({response}, {token}, -1), (g, i) -> concat(g, if(i < size(found_), {long.let('found_[i]', 't', one)}, ''))), '')"
+    at_once = long.let(tokens, "known_", long.let(f"regexp_extract_all({response}, {token}, 0)", "found_", joined))
+    dates = ordered.format(f"filter({entries_}, e -> not e.masked like '[%')")
+    odd = f"exists({entries_}, e -> e.masked like '[%' and (contains(e.original, '[') or e.original rlike '[0-9]/[0-9]' or e.original rlike '[a-z] [0-9]{{1,2}}, [0-9]'))"
+    many = each.format(dates, at_once)
+    return F.expr(f"coalesce(case when coalesce(size({entries_}), 0) <= {long.BLOCK} then {plain} when {odd} then {plain} else {many} end, {response})")
 
 
 def warnings(response: str = "response", entries_: str = "entries") -> Column:
     """Tokens in the response that the mapping doesn't have, in order, repeats included."""
-    return F.expr(f"filter(regexp_extract_all({response}, {quoted(TOKEN)}, 0), t -> not coalesce(exists({entries_}, e -> e.masked = t), false))")
+    known = f"array_sort(coalesce(transform({entries_}, e -> e.masked), cast(array() as array<string>)))"
+    return F.expr(long.let(known, "known_", f"filter(regexp_extract_all({response}, {quoted(TOKEN)}, 0), t -> not {long.within('known_', 't')})"))
 
 
 def prompt(masked: str, question: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textveil.functions import dates, labels, spans
+from textveil.functions import dates, labels, long, spans
 from textveil.functions.patterns import PATTERNS
 from textveil.operators import bio, latency, masking, responder, restore, roundtrip, scoring
 from textveil.sources import synthetic, tables
@@ -26,9 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat(df: DataFrame, column: str = "spans", *keys: str) -> DataFrame:
     """A row for each span, with its part of the text."""
+    told = df.withColumn("_chunks", F.expr(long.chunks("text"))).select(*keys, "doc_id", spans.parts("text", column, "_chunks").alias("_told"))
     # inline_outer: for inline the optimiser would compute the whole array a second time, in a filter on its size
-    rows = df.select(*keys, "doc_id", "text", F.inline_outer(column)).where("label is not null")
-    return rows.select(*keys, "doc_id", *(F.col(c).cast("long") for c in ("s", "e")), "label", F.expr("substring(text, s + 1, e - s)").alias("part"))
+    rows = told.select(*keys, "doc_id", F.inline_outer("_told")).where("label is not null")
+    return rows.select(*keys, "doc_id", *(F.col(c).cast("long") for c in ("s", "e")), "label", "part")
 
 
 def source(table: str) -> Query:

@@ -18,22 +18,36 @@ def tokens(text: str = "text", longest: int = LONGEST) -> Column:
     return F.expr(f"slice({matches(text, TOKEN)}, 1, {longest})")
 
 
-def align(docs: DataFrame, spans: str, key: str = "doc_id") -> DataFrame:
+def align(docs: DataFrame, spans: str, key: str = "doc_id", cut: Column | None = None) -> DataFrame:
     """key, pos, ts, te, tag, tag_id of each token of docs (columns key, text and the array of spans s, e, label).
 
-    A span's first token is B, the rest I; of two spans on a token the later in the array wins. All of it is inside a
-    document, so it is one projection: tokens are cut once, and no rows meet in a shuffle. Null texts have no tokens.
+    cut: the tokens, an array of struct (s, m, ...) such as subwords.add() makes; else words and signs. Their further
+    fields become columns. A span's first token is B, the rest I; of two spans on a token the later in the array wins. Tokens
+    that stand for no text are O. All of it is inside a document, so it is one projection: tokens are cut once, and no rows
+    meet in a shuffle. Null texts have no tokens of their own.
     """
-    ready = docs.select(key, F.expr(f"coalesce({spans}, cast(array() as {SPANS}))").alias("_spans"), tokens().alias("_tokens"))
+    cut = tokens() if cut is None else cut
+    ready = docs.select(key, F.expr(f"coalesce({spans}, cast(array() as {SPANS}))").alias("_spans"), cut.alias("_tokens"))
+    more = [f.name for f in ready.schema["_tokens"].dataType.elementType.fields if f.name not in ("s", "m")]
     listed = "array(" + ", ".join(f"'{label}'" for label in LABELS) + ")"
     touching = "element_at(filter(_spans, g -> t.s < g.e and g.s < t.s + length(t.m)), -1)"
     first = "(i = 0 or _tokens[i - 1].s + length(_tokens[i - 1].m) <= g.s)"
     tagged = f"""transform(_tokens, (t, i) -> transform(array(if(exists(_spans, g -> t.s < g.e and g.s < t.s + length(t.m)), {touching}, null)), g -> named_struct(
         'pos', i, 'ts', t.s, 'te', t.s + length(t.m), 'tag', if(g is null, 'O', concat(if({first}, 'B-', 'I-'), g.label)),
-        'tag_id', if(g is null, 0, cast(2 * array_position({listed}, g.label) - if({first}, 1, 0) as int))))[0])"""
+        'tag_id', if(g is null, 0, cast(2 * array_position({listed}, g.label) - if({first}, 1, 0) as int)) {"".join(f", '{n}', t.{n}" for n in more)}))[0])"""
     return ready.select(key, F.inline_outer(F.expr(tagged))).where("pos is not null")
 
 
+def merge(tagged: DataFrame, key: str = "doc_id", score: str = "score") -> DataFrame:
+    """key, pos, ts, te, tag of words from their sub-words (key, pos, ts, te, tag, tag_id, word, score).
+
+    A word takes the tag of its best sub-word, of equals the one with the smallest tag id; it reaches from its first to its
+    last sub-word. Tokens of no word are left out.
+    """
+    best = F.max_by("tag", F.struct(F.col(score), -F.col("tag_id"))).alias("tag")
+    return tagged.where("word is not null").groupBy(key, F.col("word").alias("pos")).agg(F.min("ts").alias("ts"), F.max("te").alias("te"), best)
+
+
 def decode(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, s, e, label of the runs of tags: B opens one, so does I after another label."""
     order = Window.partitionBy(key).orderBy("pos")
@@ -71,4 +85,4 @@ def weighted_loss(rows: DataFrame, gold: str = "tag_id", logits: str = "logits")
     return top.select("w", (F.col("w") * loss).alias("wl")).agg((F.sum("wl") / F.sum("w")).alias("loss"), F.count("*").alias("tokens"))
 
 
-__all__ = ["IGNORED", "LABELS", "align", "argmax_tags", "class_weights", "decode", "tokens", "weighted_loss"]
+__all__ = ["IGNORED", "LABELS", "align", "argmax_tags", "class_weights", "decode", "merge", "tokens", "weighted_loss"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from textveil.functions.labels import FOREIGN, TAG_IDS, TAGS
 from textveil.functions.patterns import FAX_WINDOW, FAX_WORD, PATTERNS
 from textveil.operators.restore import BETWEEN, DRY_RUN
-from textveil.plans.queries import DAYS, FAILING, SECRET
+from textveil.plans.queries import DAYS, FAILING, SECRET, VOCABULARY_WORDS
 from textveil.sources import synthetic
 from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, gold_sql, text_sql
@@ -175,6 +175,19 @@ _BATCH = f"""{NOTES}, {MASK}, {MAPPING},
     named AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source ELSE concat('example_', row_number() OVER (ORDER BY doc_id) - 1) END AS source FROM src),
     batch AS (SELECT doc_id, named.source, masked, response, restored, coalesce(tokens, []) AS tokens FROM said JOIN back USING (doc_id) JOIN named USING (doc_id) LEFT JOIN odd USING (doc_id))"""
 
+_WORDS_OF = matched(r"[0-9A-Za-z_]+|[^0-9A-Za-z_" + chr(92) + "s]")
+#: Pieces by the longest one first, for each distinct word; then the first 254 of a document, tagged from gold.
+PIECES = f"""vocabulary AS MATERIALIZED (SELECT list(piece) AS pieces FROM (SELECT chr(k::INT) AS piece FROM range(33, 127) AS r(k) WHERE lower(chr(k::INT)) = chr(k::INT)
+        UNION ALL SELECT substr(w, k, n) FROM (SELECT unnest(string_split({lit(' '.join(VOCABULARY_WORDS))}, ' ')) AS w), range(1, 12) AS r(k), (VALUES (3), (4)) v(n) WHERE k + n - 1 <= length(w))),
+    words AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS word, s, lower(m) AS m FROM ({_WORDS_OF})),
+    cuts AS (SELECT DISTINCT m, 0 AS a, 0 AS b FROM words UNION ALL
+        SELECT m, b, CASE WHEN b + 4 <= length(m) AND list_contains(pieces, substr(m, b + 1, 4)) THEN b + 4 WHEN b + 3 <= length(m) AND list_contains(pieces, substr(m, b + 1, 3)) THEN b + 3
+            WHEN list_contains(pieces, substr(m, b + 1, 1)) THEN b + 1 END FROM cuts, vocabulary WHERE b < length(m)),
+    split_ AS MATERIALIZED (SELECT m, a, b, CASE WHEN a = 0 THEN '' ELSE '##' END || substr(m, a + 1, b - a) AS piece FROM cuts WHERE b > a),
+    cut AS MATERIALIZED (SELECT m, a, b, piece FROM split_ WHERE m IN (SELECT m FROM split_ GROUP BY m HAVING max(b) = length(m)) AND length(m) <= 100
+        UNION ALL SELECT DISTINCT m, 0, length(m), '[UNK]' FROM words WHERE length(m) > 100 OR m NOT IN (SELECT m FROM split_ GROUP BY m HAVING max(b) = length(m))),
+    toks AS MATERIALIZED (SELECT * FROM (SELECT doc_id, word, piece, s + a AS ts, s + b AS te, row_number() OVER (PARTITION BY doc_id ORDER BY s, a) AS pos FROM words JOIN cut USING (m)) WHERE pos <= 254)"""
+
 DUCK = synthetic.Dialect("('0x' || left(md5({text}), 8))::BIGINT", "[{items}]", "list_extract({array}, {at})", "{{'label': {label}, 'v': {v}}}", "(DATE '2020-01-01' + CAST({days} AS INT))")
 
 
@@ -224,6 +237,12 @@ ORACLE_SQL: dict[str, str] = {
     "latency_percentiles": "SELECT event_type AS stage, count(value) AS n, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(avg(value), 9) AS mean_s, round(max(value), 9) AS max_s FROM events GROUP BY event_type",
     "bio_align": f"WITH {NOTES}, {GOLD}, {TOKENS}, {aligned('tagged', 'gold')} SELECT doc_id, pos, ts, te, CAST(tag_id AS BIGINT) AS tag_id, tag FROM tagged",
     "bio_metrics": f"WITH {NOTES}, {DETECT}, {GOLD}, {TOKENS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS ordinal FROM won), {aligned('t1', 'numbered')}, {aligned('t2', 'gold')}, {decoded('d1', 't1')}, {decoded('d2', 't2')} SELECT {MEASURES} FROM (SELECT (SELECT count(*) FROM (FROM d1 INTERSECT FROM d2)) AS tp, (SELECT count(*) FROM (FROM d1 EXCEPT FROM d2)) AS fp, (SELECT count(*) FROM (FROM d2 EXCEPT FROM d1)) AS fn)",
+    "bio_subwords": f"WITH RECURSIVE {NOTES}, {GOLD}, {PIECES}, {aligned('tagged', 'gold')}, told AS (SELECT doc_id, string_agg(piece, ' ' ORDER BY pos) AS pieces, string_agg(tag_id, ' ' ORDER BY pos) AS tags, count(*) AS n FROM toks JOIN tagged USING (doc_id, pos) GROUP BY doc_id) SELECT doc_id, coalesce(pieces, '') AS pieces, coalesce(tags, '') AS tags, 256 - coalesce(n, 0) AS others, 0::BIGINT AS wrong FROM src LEFT JOIN told USING (doc_id)",
+    "subword_merge": f"""WITH RECURSIVE {NOTES}, {GOLD}, {PIECES}, {aligned('tagged', 'gold')}, scored AS (
+            SELECT doc_id, t.word, t.ts, t.te, CASE WHEN (doc_id + t.pos) % 5 = 0 THEN 'O' ELSE tag END AS tag, CASE WHEN (doc_id + t.pos) % 5 = 0 THEN 0 ELSE tag_id END AS tag_id, (doc_id * 3 + t.pos * 7) % 97 AS score
+            FROM toks t JOIN tagged g USING (doc_id, pos)),
+        merged AS (SELECT doc_id, word AS pos, min(ts) AS ts, max(te) AS te, arg_max(tag, score * 100 - tag_id) AS tag FROM scored GROUP BY doc_id, word), {decoded('found', 'merged')}
+        SELECT doc_id, s, e, label FROM found""",
     "roundtrip_batch": f"WITH {_BATCH} SELECT doc_id, source, response, restored, len(tokens) AS warnings FROM batch",
     "roundtrip_warned": f"WITH {_BATCH} SELECT count(*) AS docs, count(*) FILTER (len(tokens) > 0) AS warned, 0::BIGINT AS leaks FROM batch",
     "roundtrip_transcripts": f"""WITH {_BATCH} SELECT doc_id, concat('### ', source, chr(10), 'shift of dates: {DAYS} days', chr(10),

@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textveil.functions import dates, labels, long, spans
+from textveil.functions import dates, labels, long, spans, subwords
 from textveil.functions.patterns import PATTERNS
 from textveil.operators import bio, latency, masking, responder, restore, roundtrip, scoring
 from textveil.sources import synthetic, tables
@@ -16,6 +16,7 @@ from textveil.sources import text as texts
 from textveil.sources.notes import SURNAMES, notes
 
 SECRET, DAYS = "example secret", 10
+VOCABULARY_WORDS = ["record", "patient", "clinic", "claims", "account", "example", "portal", "partner", "device", "dates"]
 FAILING = ["nowhere", "anthropic", "openai_compatible"]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,6 +262,34 @@ def bio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(scoring.overall(scoring.verdicts(*(bio.decode(bio.align(rows, c)) for c in ("spans", "gold")))))
 
 
+def vocabulary() -> list[str]:
+    """A small vocabulary by rule: single letters, digits and signs, and every part of three and four letters of some words, each as the beginning and inside of words."""
+    bare = [chr(k) for k in range(33, 127) if chr(k).lower() == chr(k)] + sorted({w[k : k + n] for w in VOCABULARY_WORDS for n in (3, 4) for k in range(len(w) - n + 1)})
+    return [subwords.PADDING, subwords.UNKNOWN, subwords.FIRST, subwords.LAST, *bare, *(subwords.INSIDE + piece for piece in bare)]
+
+
+def _pieces(rows: DataFrame, spans_: str) -> DataFrame:
+    cut = subwords.add(rows.select("doc_id", "text", spans_), bio.tokens(), vocabulary())
+    return bio.align(cut, spans_, cut=F.col("pieces"))
+
+
+def bio_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 256 sub-words of each note: pieces and tag ids of those that stand for text, and how many don't."""
+    rows = _pieces(notes(spark, sf_dir), "gold")
+    listed = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "piece", "tag_id")))).alias("x")
+    told = rows.groupBy("doc_id").agg(listed, F.count_if(F.isnull("word")).alias("others"), F.count_if(F.isnull("word") & (F.col("tag_id") > 0)).alias("wrong"))
+    return told.select("doc_id", F.expr("array_join(x.piece, ' ')").alias("pieces"), F.expr("array_join(x.tag_id, ' ')").alias("tags"), "others", "wrong")
+
+
+def subword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of words that take the tag of their best sub-word; scores and losses of tags stand in for a model's."""
+    rows = _pieces(notes(spark, sf_dir), "gold").where("word is not null")
+    lost = (F.col("doc_id") + F.col("pos")) % 5 == 0
+    score = ((F.col("doc_id") * 3 + F.col("pos") * 7) % 97 / 97).alias("score")
+    scored = rows.select("doc_id", "pos", "ts", "te", "word", F.when(lost, "O").otherwise(F.col("tag")).alias("tag"), F.when(lost, 0).otherwise(F.col("tag_id")).alias("tag_id"), score)
+    return bio.decode(bio.merge(scored)).select("doc_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "label")
+
+
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bio.class_weights(spark).withColumn("tag_id", F.col("tag_id").cast("long"))
 
@@ -345,6 +374,8 @@ QUERIES: dict[str, Query] = {
     "latency_percentiles": latency_percentiles,
     "bio_align": bio_align,
     "bio_metrics": bio_metrics,
+    "bio_subwords": bio_subwords,
+    "subword_merge": subword_merge,
     "class_weights": class_weights,
     "argmax_tags": argmax_tags,
     "weighted_loss": weighted_loss,

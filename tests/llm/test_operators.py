@@ -106,6 +106,20 @@ def test_repeats_without_ids(spark):
     assert max(n for (d, _), n in got.items() if d is None) == 2  # the repeated row
 
 
+def test_repeats_of_any_id(spark):
+    """Neighbouring, negative and the largest ids keep their order and their names; null ones come after them all."""
+    shared = "a passage that is well over one hundred bytes long and occurs in many documents, whatever their ids may be. "
+    ids = [2**63 - 1, 2**63 - 2, 2**62 + 5, 2**62, 7, 6, -1, -2, -(2**63), None]
+    docs = spark.createDataFrame([(d, f"head {k} " + shared) for k, d in enumerate(ids)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs).collect()}
+    whole = {d for d, kept in got.items() if shared.encode() in kept}
+    assert set(got) == set(ids) and whole == {-(2**63)}
+    less = docs.where("doc_id is null or doc_id >= 6")
+    assert {r.doc_id for r in repeats.remove_repeats(less).collect() if shared.encode() in bytes(r.kept)} == {6}
+    with pytest.raises(ValueError, match="1023"):
+        repeats.remove_repeats(docs, window=1024)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], EMPTY)).isEmpty()
 

@@ -30,7 +30,7 @@ WINDOW, KEY = 100, 32
 LOCAL_MANY, MANY = 16, 2000
 #: Bytes of text that are hashed at once and resolved together, and rows that are resolved together.
 BLOCK, TOGETHER, ROWS = 1 << 18, 8 << 20, 50_000
-#: From here on numbers stand for texts without an id.
+#: From here on numbers stand for texts without an id; below are halves of ids.
 NO_ID = 1 << 62
 _BASE = 0x9E3779B97F4A7C15
 
@@ -292,7 +292,7 @@ def _covered(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _cut(found: DataFrame, window: int) -> DataFrame:
-    """doc, n_bytes, spans and kept of rows with doc, body and covered (array of spans; -1: the whole text)."""
+    """doc, version, n_bytes, spans and kept of rows with doc, version, body and covered (array of spans; -1: the whole text)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def merged(covered: list[int] | None, size: int) -> list[tuple[int, int]]:
@@ -319,10 +319,10 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
                     edges = [0, *(x for run in runs for x in run), len(body)]
                     kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                     spans.append([{"start": a, "end": b} for a, b in runs])
-                columns = [part.column("doc"), pa.array(list(map(len, bodies)), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc", "n_bytes", "spans", "kept"])
+                columns = [part.column("doc"), part.column("version"), pa.array(list(map(len, bodies)), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "n_bytes", "spans", "kept"])
 
-    return found.select("doc", "body", "covered").mapInArrow(work, "doc long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return found.select("doc", "version", "body", "covered").mapInArrow(work, "doc long, version long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, local_many: int = LOCAL_MANY, many: int = MANY) -> DataFrame:
@@ -330,13 +330,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, local_
 
     Null texts are empty; texts shorter than the window lose nothing. Null ids stand after all others, in the order of a
     hash of their texts of more than 90 bits. Rows equal in id and text are one document that is listed again, with equal
-    results; different texts of one id are apart, in the order of a hash of 31 bits. Extra columns are ignored; no rows
-    give no rows. Ids of 2 ** 62 and more are not usable: they would stand among the null ones.
+    results; different texts of one id are apart, in the order of a hash of 30 bits. Extra columns are ignored; no rows
+    give no rows. Ids may be any long.
     """
-    body, bits = F.encode(text_of(), "UTF-8"), F.lit(NO_ID - 1)
+    if window > 1023:
+        raise ValueError("windows have 1023 bytes at most")
+    body, bits, own = F.encode(text_of(), "UTF-8"), F.lit(NO_ID - 1), docs["doc_id"].cast("long")
+    # An id's last bit goes before the hash of its text, so that any id leaves half the numbers to texts without one.
     texts = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text_of(), F.lit("no id")).bitwiseAND(bits).bitwiseOR(F.lit(NO_ID))).alias("doc"),
-        F.shiftrightunsigned(F.xxhash64(text_of()), 33).alias("version"), body.alias("body"),
+        F.coalesce(F.shiftright(own, 1), F.xxhash64(text_of(), F.lit("no id")).bitwiseAND(bits).bitwiseOR(F.lit(NO_ID))).alias("doc"),
+        F.coalesce(F.shiftleft(own.bitwiseAND(F.lit(1)), 30).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text_of()), 34)), F.shiftrightunsigned(F.xxhash64(text_of()), 33)).alias("version"),
+        body.alias("body"),
     )
     place = ["doc", "version"]
     equal = texts.select(*place, F.sha2("body", 256).alias("sha"))
@@ -349,4 +353,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, local_
     around = _surroundings(texts.join(repeated.hint("merge"), place).select(*place, "body", "places"), window, key)
     spans = _covered(around, window).unionByName(copies.withColumn("span", F.lit(-1).cast("long")))
     found = texts.join(spans.groupBy(*place).agg(F.collect_list("span").alias("covered")).hint("merge"), place, "left")
-    return _cut(found, window).select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "spans", "kept")
+    doc_id = F.when(F.col("doc") < NO_ID, F.shiftleft("doc", 1).bitwiseOR(F.shiftrightunsigned("version", 30)))
+    return _cut(found, window).select(doc_id.alias("doc_id"), "n_bytes", "spans", "kept")

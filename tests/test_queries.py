@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 from textveil.functions import spans
-from textveil.operators import detectors
+from textveil.operators import detectors, scoring
 from textveil.plans.registry import ORACLE_SQL, QUERIES
 from textveil.sources import synthetic
 from textveil.sources import text as texts
@@ -83,3 +83,14 @@ def test_detectors(spark):
     assert both == {1: [(0, 4, "NAME"), (9, 20, "SSN")], 2: [], 3: [], 4: [(0, 3, "NAME"), (13, 22, "EMAIL")]}
     assert found(detectors.select()) == {1: [(9, 20, "SSN")], 2: [], 3: [], 4: [(13, 22, "EMAIL")]}
     assert found(detectors.select(load=shouted))[1][0] == (0, 1, "ELSE")
+
+
+def test_report_of_odd_rows(spark):
+    """Repeated spans count once, a wrong label is found and missed, nulls are empty, a key without a gold span has a row."""
+    kind = "k string, doc_id long, found array<struct<s: int, e: int, label: string>>, gold array<struct<s: int, e: int, label: string>>"
+    a, b, wrong = (0, 3, "SSN"), (5, 9, "DATE"), (5, 9, "AGE")
+    docs = spark.createDataFrame([("x", 1, [a, a, wrong], [a, b]), ("x", 2, None, [b]), ("x", 3, [a], [a, a]), ("y", 4, [], None)], kind)
+    got = {r.k: r.asDict() for r in scoring.report(docs, ("k",)).collect()}
+    assert (got["x"]["tp"], got["x"]["fp"], got["x"]["fn"], got["x"]["docs"], got["x"]["leaking"]) == (2, 1, 2, 3, 2)
+    assert got["y"] == {"k": "y", "tp": 0, "fp": 0, "fn": 0, "p": 0.0, "r": 0.0, "f1": 0.0, "docs": 1, "leaking": 0, "leak_rate": 0.0}
+    assert scoring.report(docs.where("false"), ("k",)).isEmpty()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textveil.functions.spans import SPANS
+
 PLACE = ["doc_id", "s", "e", "label"]
 
 
@@ -43,6 +45,17 @@ def per_label(found: DataFrame, keys: tuple[str, ...] = (), across_docs: bool =
     return counted.select(*keys, "label", *measures(F.col("tp"), F.col("fp"), F.col("fn")), (F.col("tp") + F.col("fn")).alias("support"))
 
 
+def report(docs: DataFrame, keys: tuple[str, ...], found: str = "found", gold: str = "gold") -> DataFrame:
+    """keys, tp, fp, fn, p, r, f1, docs, leaking, leak_rate of documents that hold both their arrays of spans, in one pass.
+
+    Spans that are listed twice count once, null arrays are empty; every key that has a document has a row.
+    """
+    p, g = (F.expr(f"array_distinct(coalesce({c}, cast(array() as {SPANS})))") for c in (found, gold))
+    sizes = docs.select(*keys, F.size(F.array_intersect(p, g)).alias("tp"), F.size(F.array_except(p, g)).alias("fp"), F.size(F.array_except(g, p)).alias("fn"))
+    counted = sizes.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")), F.count("*").alias("docs"), F.count_if(F.col("fn") > 0).alias("leaking"))
+    return counted.select(*keys, *measures(F.col("tp"), F.col("fp"), F.col("fn")), "docs", "leaking", ratio(F.col("leaking"), F.col("docs")).alias("leak_rate"))
+
+
 def leak_rate(found: DataFrame, docs: DataFrame) -> DataFrame:
     """docs, leaking, leak_rate: documents with a missed span among all; 0 of none."""
     missed = found.where("kind = 'fn'").select("doc_id").distinct().withColumn("leak", F.lit(1))

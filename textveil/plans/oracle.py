@@ -110,10 +110,10 @@ _DOCTOR = matched(r"Dr\. (?:" + "|".join(SURNAMES) + ")")
 MODEL = f"""model AS MATERIALIZED (SELECT doc_id, s, s + length(m) AS e, 'NAME' AS label FROM ({_DOCTOR})
     UNION ALL SELECT doc_id, instr(text, source) - 1, instr(text, source) - 1 + length(source), 'LOCATION' FROM src WHERE instr(text, source) > 0)"""
 ENSEMBLE = f"""{MODEL}, both_ AS (SELECT doc_id, 0 AS prio, s, e, label FROM won UNION ALL SELECT doc_id, 1, s, e, label FROM model), {greedy('joined', 'both_')}"""
-SCORED = f"""{NOTES}, {DETECT}, {ENSEMBLE}, {GOLD},
-    found AS (SELECT 'regex' AS detector, doc_id, s, e, label FROM won UNION SELECT 'model', * FROM model UNION SELECT 'ensemble', * FROM joined),
+_JUDGED = """found AS (SELECT 'regex' AS detector, doc_id, s, e, label FROM won UNION SELECT 'model', * FROM model UNION SELECT 'ensemble', * FROM joined),
     wanted AS (SELECT DISTINCT detector, doc_id, s, e, label FROM gold, (VALUES ('regex'), ('model'), ('ensemble')) v(detector)),
     scored AS MATERIALIZED (SELECT *, 'tp' AS kind FROM (FROM found INTERSECT FROM wanted) UNION ALL SELECT *, 'fp' FROM (FROM found EXCEPT FROM wanted) UNION ALL SELECT *, 'fn' FROM (FROM wanted EXCEPT FROM found))"""
+SCORED = f"{NOTES}, {DETECT}, {ENSEMBLE}, {GOLD}, {_JUDGED}"
 _P, _R = "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END", "CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END"
 MEASURES = f"tp, fp, fn, round({_P}, 9)::DOUBLE AS p, round({_R}, 9)::DOUBLE AS r, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * ({_P}) * ({_R}) / (({_P}) + ({_R})) END, 9)::DOUBLE AS f1"
 _COUNTS = "count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fp') AS fp, count(*) FILTER (kind = 'fn') AS fn"
@@ -202,6 +202,14 @@ def _synthetic() -> str:
     return f"synth AS MATERIALIZED ({' UNION ALL '.join(pools)})"
 
 
+#: Three evaluation sets side by side; the remainder of an id by three tells them apart.
+_EVALUATED = f"""noted AS MATERIALIZED ({_RENDERED}), {_synthetic()}, marked AS MATERIALIZED ({_gold_parts()}),
+    cut AS (SELECT doc_id, x.label AS label, length(x.v) AS n, sum(length(x.v)) OVER (PARTITION BY doc_id ORDER BY place) AS e
+        FROM (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS place FROM synth WHERE split = 'eval')),
+    src AS MATERIALIZED (SELECT 3 * doc_id AS doc_id, text, source FROM noted UNION ALL SELECT 3 * doc_id + 1, text, NULL FROM synth WHERE split = 'eval'
+        UNION ALL SELECT 3 * doc_id + 2, text, NULL FROM (VALUES {_values([(n, body) for n, (_, body, _) in enumerate(texts.GOLD, 1)])}) v(doc_id, text)),
+    gold AS MATERIALIZED (SELECT 3 * doc_id AS doc_id, g.s::BIGINT AS s, g.e::BIGINT AS e, g.label AS label FROM (SELECT doc_id, unnest(gold) AS g FROM noted WHERE gold IS NOT NULL)
+        UNION ALL SELECT 3 * doc_id + 1, (e - n)::BIGINT, e::BIGINT, label FROM cut WHERE label IS NOT NULL UNION ALL SELECT 3 * doc_id + 2, s, e, label FROM marked)"""
 _CASED = "CASE WHEN text = upper(text) THEN upper(x.v) WHEN text = lower(text) THEN lower(x.v) ELSE x.v END"
 
 ORACLE_SQL: dict[str, str] = {
@@ -230,6 +238,9 @@ ORACLE_SQL: dict[str, str] = {
     "normalise_labels": f"WITH {NOTES}, {DETECT}, names(label, other) AS (VALUES {_values(list(_BACK.items()))}), ours(other, label) AS (VALUES {_values(list(FOREIGN.items()))}) SELECT ours.other AS \"foreign\", ours.label AS label, count(*) AS n FROM won JOIN names ON won.label = names.label JOIN ours ON names.other = ours.other GROUP BY 1, 2",
     "score_overall": f"WITH {SCORED} SELECT {MEASURES} FROM (SELECT {_COUNTS} FROM scored WHERE detector = 'regex')",
     "score_by_detector": f"WITH {SCORED} SELECT detector, {MEASURES} FROM (SELECT detector, {_COUNTS} FROM scored GROUP BY detector)",
+    "score_by_evaluation": f"""WITH {_EVALUATED}, {DETECT}, {ENSEMBLE}, {_JUDGED}, told AS (SELECT doc_id % 3 AS k, detector, {_COUNTS}, count(DISTINCT CASE WHEN kind = 'fn' THEN doc_id END) AS leaking FROM scored GROUP BY 1, 2)
+        SELECT CASE k WHEN 0 THEN 'notes' WHEN 1 THEN 'synthetic' ELSE 'gold' END AS eval_set, detector, {MEASURES}, docs, leaking, round(leaking / docs, 9) AS leak_rate
+        FROM told JOIN (SELECT doc_id % 3 AS k, count(*) AS docs FROM src GROUP BY 1) USING (k)""",
     "score_per_label": f"WITH {SCORED} SELECT detector, label, {MEASURES}, tp + fn AS support FROM (SELECT detector, label, {_PLACES} FROM scored GROUP BY detector, label)",
     "score_leak_rate": f"WITH {SCORED} SELECT docs, leaking, round(leaking / docs, 9) AS leak_rate FROM (SELECT (SELECT count(*) FROM src) AS docs, count(DISTINCT doc_id) AS leaking FROM scored WHERE detector = 'regex' AND kind = 'fn')",
     "missed_sample": f"WITH {SCORED} SELECT doc_id, s, e, label, {PART} AS part, coalesce(source, 'synthetic') AS source FROM scored JOIN src USING (doc_id) WHERE detector = 'regex' AND kind = 'fn' ORDER BY doc_id, s, e, label LIMIT 8",

@@ -19,6 +19,8 @@ SECRET, DAYS = "example secret", 10
 VOCABULARY_WORDS = ["record", "patient", "clinic", "claims", "account", "example", "portal", "partner", "device", "dates"]
 #: Documents on which the best epoch is chosen at most.
 TRIED = 1000
+#: Synthetic notes of the evaluation set.
+EVALUATED = 2000
 FAILING = ["nowhere", "anthropic", "openai_compatible"]
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,13 +191,18 @@ def _surname_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("model", F.expr(f"concat({shaped.format(doctor, 'NAME')}, {shaped.format(place, 'LOCATION')})"))
 
 
-def _detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    staged = _surname_spans(spans.with_spans(notes(spark, sf_dir))).withColumn("ensemble", spans.ensemble("spans", "model"))
-    return staged
+def _detectors(rows: DataFrame) -> DataFrame:
+    return _surname_spans(spans.with_spans(rows)).withColumn("ensemble", spans.ensemble("spans", "model"))
+
+
+def _stacked(rows: DataFrame, *keys: str) -> DataFrame:
+    """A row for each document and each of three detectors, with what it found."""
+    listed = ", ".join(f"named_struct('detector', '{name}', 'found', {column})" for name, column in (("regex", "spans"), ("model", "model"), ("ensemble", "ensemble")))
+    return _detectors(rows).select(*keys, "doc_id", "gold", F.expr(f"explode(array({listed})) as d")).select(*keys, "doc_id", "d.detector", "d.found", "gold")
 
 
 def ensemble_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(_detectors(spark, sf_dir), "ensemble")
+    return flat(_detectors(notes(spark, sf_dir)), "ensemble")
 
 
 def normalise_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +216,7 @@ def normalise_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of three detectors in one pass over the notes."""
-    staged = _detectors(spark, sf_dir)
-    stacked = staged.select("doc_id", "gold", F.expr("explode(array(named_struct('detector', 'regex', 'found', spans), named_struct('detector', 'model', 'found', model), named_struct('detector', 'ensemble', 'found', ensemble))) as d"))
-    both = stacked.select("doc_id", F.col("d.detector").alias("detector"), F.expr("array_distinct(d.found)").alias("found"), "gold")
+    both = _stacked(notes(spark, sf_dir)).withColumn("found", F.array_distinct("found"))
     listed = F.expr("""concat(transform(found, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'kind', if(exists(gold, g -> g = x), 'tp', 'fp'))),
         transform(filter(gold, g -> not exists(found, x -> x = g)), x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'kind', 'fn')))""")
     return both.select("detector", "doc_id", F.inline_outer(listed)).where("label is not null")
@@ -225,6 +230,18 @@ def score_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(scoring.overall(_scored(spark, sf_dir), ("detector",)))
 
 
+def evaluation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eval_set, doc_id, text, source, gold of the notes, the synthetic notes kept for evaluation, and the marked gold documents."""
+    marked = {"notes": notes(spark, sf_dir), "synthetic": synthetic.generate(spark, EVALUATED, split="eval"), "gold": texts.gold(spark).drop("source")}
+    named = (rows.withColumnRenamed("entities", "gold").withColumn("eval_set", F.lit(name)).select("eval_set", "doc_id", "text", *(["source"] if name == "notes" else []), "gold") for name, rows in marked.items())
+    return reduce(partial(DataFrame.unionByName, allowMissingColumns=True), named)
+
+
+def score_by_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every detector on every evaluation set, with the documents that it leaves leaking."""
+    return _tidy(scoring.report(_stacked(evaluation_sets(spark, sf_dir), "eval_set"), ("eval_set", "detector")))
+
+
 def score_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(scoring.per_label(_scored(spark, sf_dir), ("detector",)))
 
@@ -382,6 +399,7 @@ QUERIES: dict[str, Query] = {
     "normalise_labels": normalise_labels,
     "score_overall": score_overall,
     "score_by_detector": score_by_detector,
+    "score_by_evaluation": score_by_evaluation,
     "score_per_label": score_per_label,
     "score_leak_rate": score_leak_rate,
     "missed_sample": missed_sample,

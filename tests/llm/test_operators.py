@@ -761,6 +761,18 @@ def test_quality_verdict_and_filter(spark):
     assert share[1] >= 0.95 and share[0] <= 0.1
 
 
+def test_quality_in_one_reading(spark, sample):
+    """Verdicts from written measures are those of judge() by log_ratios(); null, empty and repeated rows, any extra columns."""
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a a b"), (3, "a " * 40), (3, "a " * 40)], "doc_id long, text string")
+    docs = sample.select("doc_id", "text").unionByName(odd).withColumns({c: F.lit(7) for c in ("marks", "weights", "h", "cells", "score")})
+    trusted = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    one, two = quality.verdicts(docs, trusted), quality.judge(docs, quality.log_ratios(docs, trusted))
+    assert one.columns == two.columns
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    assert one.count() == docs.count()
+    assert quality.verdicts(docs.where("false"), trusted).isEmpty()
+
+
 def test_quality_of_nothing(spark):
     none, labels = spark.createDataFrame([], EMPTY), spark.createDataFrame([(1,)], "doc_id long")
     assert quality.judge(none, quality.log_ratios(none, labels)).isEmpty()

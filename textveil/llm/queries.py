@@ -55,7 +55,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trusted target: labelled rows of quality 1."""
     docs = documents(spark, sf_dir)
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return quality.judge(docs, quality.log_ratios(docs, trusted)).drop("score")
+    return quality.verdicts(docs, trusted).drop("score")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,28 @@ def test_report_of_odd_rows(spark):
     assert (got["x"]["tp"], got["x"]["fp"], got["x"]["fn"], got["x"]["docs"], got["x"]["leaking"]) == (2, 1, 2, 3, 2)
     assert got["y"] == {"k": "y", "tp": 0, "fp": 0, "fn": 0, "p": 0.0, "r": 0.0, "f1": 0.0, "docs": 1, "leaking": 0, "leak_rate": 0.0}
     assert scoring.report(docs.where("false"), ("k",)).isEmpty()
+
+
+def test_absent_detectors(spark):
+    """Models that an executor can't load are left out with the reason; other errors are not hidden."""
+
+    def capitals():
+        return lambda every: [[(0, 1, "NAME")] if t[:1].isupper() else [] for t in every]
+
+    def package():
+        import no_such_package_anywhere  # noqa: F401
+
+    def weights():
+        return open("/nowhere/weights.bin")
+
+    def broken():
+        raise ValueError("weights of another shape")
+
+    kept, absent = detectors.present(spark, {"capitals": capitals, "package": package, "weights": weights})
+    assert list(kept) == ["capitals"]
+    assert [(r.detector, r.missing == r.tasks > 0, r.reason.split(":")[0]) for r in absent] == [("package", True, "ModuleNotFoundError"), ("weights", True, "FileNotFoundError")]
+    docs = spark.createDataFrame([(1, "Anna"), (2, "ben"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: len(r.spans) for r in kept["capitals"](docs, "text", "spans").collect()} == {1: 1, 2: 0, 3: 0}
+    assert detectors.present(spark, {}) == ({}, [])
+    with pytest.raises(Exception, match="another shape"):
+        detectors.present(spark, {"broken": broken})

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.functions import spans
@@ -49,6 +49,35 @@ def foreign(load: Callable[[], Model]) -> Detector:
     return model(load, FOREIGN)
 
 
+def probe(spark: SparkSession, loads: dict[str, Callable[[], Model]], tasks: int | None = None) -> DataFrame:
+    """detector, tasks, missing, reason: where models can be loaded, tried in so many tasks at once (as many as the cluster has cores).
+
+    A package or a file that is not there makes a model absent in that task; any other error is one.
+    """
+    n = tasks or spark.sparkContext.defaultParallelism
+
+    def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            reasons: list[str | None] = []
+            for load in loads.values():
+                try:
+                    load()
+                    reasons.append(None)
+                except (ImportError, OSError) as error:
+                    reasons.append(f"{type(error).__name__}: {error}")
+            yield pd.DataFrame({"detector": list(loads), "reason": pd.Series(reasons, dtype=object)})
+
+    every = spark.range(0, n, 1, n).mapInPandas(tried, "detector string, reason string")
+    return every.groupBy("detector").agg(F.count("*").alias("tasks"), F.count("reason").alias("missing"), F.min("reason").alias("reason"))
+
+
+def present(spark: SparkSession, loads: dict[str, Callable[[], Model]], rename: dict[str, str] | None = None) -> tuple[dict[str, Detector], list[Row]]:
+    """Detectors of the models that every task of probe() could load, and the rows of those that are left out, with the reason."""
+    rows = probe(spark, loads).collect() if loads else []  # a row for each model
+    absent = sorted((r for r in rows if r.missing), key=lambda r: r.detector)
+    return {name: model(load, rename) for name, load in loads.items() if name not in {r.detector for r in absent}}, absent
+
+
 def ensemble(second: Detector, first: Detector = patterns) -> Detector:
     """The first detector's spans, and those of the second that touch neither these nor each other."""
 

@@ -475,6 +475,18 @@ def test_pii_more_disguises():
     assert parts("at +1 555 123 4567 one of us") == {("phone", "+1 555 123 4567")}
 
 
+def test_pii_digits_of_other_scripts():
+    """Arabic, Persian, Devanagari, Bengali and Thai digits; the same texts in words or shorter numbers hold nothing."""
+    for zero in "\u0660\u06f0\u0966\u09e6\u0e50":
+        own = str.maketrans("0123456789", "".join(chr(ord(zero) + k) for k in range(10)))
+        for kind, plain in (("phone", "+49 301 234 5678"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.1")):
+            shown = plain.translate(own)
+            text = f"see {shown} now"
+            base, found = pii.spans(text)
+            assert base == [] and [(k, text[a:b]) for k, a, b in found] == [(kind, shown)]
+        assert pii.spans("in 2024 and 1999, 300.300.300.300, 4111 1111 1111 1112".translate(own))[1] == []
+
+
 def test_pii_gate():
     """The gate lets through every text in which a run with a digit spelled apart is found."""
     import random

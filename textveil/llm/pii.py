@@ -2,7 +2,7 @@
 
 Two passes. The base pass finds e-mail addresses, IPv4 addresses, payment cards and phone numbers as they are written. The
 second pass runs a chain of transducers over the text: (1) homoglyphs (Cyrillic, Greek, full-width and other compatibility
-forms) become their ASCII look-alikes, and characters without width vanish; (2) at and dot disguises become `@` and `.`;
+forms) and digits of all scripts become their ASCII look-alikes, and characters without width vanish; (2) at and dot disguises become `@` and `.`;
 (3) runs of spelled digits become digits. Every output character carries the source interval it stands for, so a match
 in the normalised text maps back to source characters. Matches that touch no rewritten character are the base pass's own.
 """
@@ -13,6 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -142,8 +143,18 @@ class Tape:
         self.text, self.starts, self.ends, self.changed = "".join(parts), starts, ends, True
 
 
+@lru_cache(maxsize=65536)
+def _folded(c: str) -> str:
+    """The ASCII form of a look-alike, a compatibility form or a decimal digit of any script; other characters as they are."""
+    new = LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
+    if new != c and new.isascii():
+        return new
+    digit = unicodedata.decimal(c, None)
+    return c if digit is None else str(digit)
+
+
 def fold(tape: Tape) -> None:
-    """Homoglyphs and compatibility forms to ASCII; characters without width vanish. Other letters stay."""
+    """Homoglyphs, compatibility forms and digits of other scripts to ASCII; characters without width vanish. Other letters stay."""
     if tape.text.isascii():
         return
     edits = []
@@ -151,7 +162,7 @@ def fold(tape: Tape) -> None:
         c = m[0]
         if c in WIDTHLESS:
             edits.append((m.start(), m.end(), ""))
-        elif (new := LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)) != c and new.isascii():
+        elif (new := _folded(c)) != c:
             edits.append((m.start(), m.end(), new))
     tape.rewrite(edits)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructField, StructType
 FIRST, LAST, PADDING, UNKNOWN, INSIDE, LONGEST_WORD = "[CLS]", "[SEP]", "[PAD]", "[UNK]", "##", 100
 PIECES = "array<struct<s: int, m: string, piece: string, word: int>>"
 REMEMBERED = 200_000
+#: Documents whose sub-words are held at once.
+ROWS = 500
 
 
 def read(path: str) -> list[str]:
@@ -59,34 +62,53 @@ class Trie:
         return out if at == len(word) else [(0, len(word), UNKNOWN)]
 
 
-def add(docs: DataFrame, tokens: Column, vocabulary: list[str], longest: int = 256, into: str = "pieces") -> DataFrame:
+def add(docs: DataFrame, tokens: Column, vocabulary: list[str], longest: int = 256, into: str = "pieces", padded: bool = True) -> DataFrame:
     """docs with an array of struct (s, m, piece, word) of `longest` tokens, from a column of words (s, m).
 
     m is the part of the text, word its word's number, null for tokens that stand for no text. Null words give a document
-    without pieces of its own.
+    without pieces of its own. padded: else padding is left out, for steps that look at words only.
     """
     schema = StructType([*docs.schema.fields, StructField(into, StructType.fromDDL(f"x {PIECES}")[0].dataType)])
     kind = to_arrow_schema(schema).field(into).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(vocabulary)
-        known: dict[str, list[tuple[int, int, str]]] = {}
-        for batch in batches:
-            *kept, words = batch.columns
-            rows = []
-            for own in words.to_pylist():
-                out = [(0, "", FIRST, None)]
-                for n, word in enumerate(own or ()):
-                    if len(out) >= longest - 1:
-                        break
-                    if word["m"] not in known:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[word["m"]] = trie.cut(word["m"])
-                    out += [(word["s"] + a, word["m"][a:b], piece, n) for a, b, piece in known[word["m"]]]
-                out = out[: longest - 1] + [(0, "", LAST, None)]
-                out += [(0, "", PADDING, None)] * (longest - len(out))
-                rows.append([dict(zip(("s", "m", "piece", "word"), x, strict=True)) for x in out])
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, kind)], names=[*batch.schema.names[:-1], into])
+        known: dict[str, tuple[list[int], list[str], list[str]]] = {}
+        for whole in batches:
+            # a few rows at a time: each makes `longest` tokens
+            for batch in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                *kept, words = batch.columns
+                sizes = pc.fill_null(pc.list_value_length(words), 0).to_pylist()
+                every = words.flatten()
+                starts, parts = every.field("s").to_pylist(), every.field("m").to_pylist()
+                s, m, piece, word, offsets, at = [], [], [], [], [0], 0
+                for size in sizes:
+                    s.append(0), m.append(""), piece.append(FIRST), word.append(None)
+                    end = len(s) + longest - 2
+                    for n in range(size):
+                        if len(s) >= end:
+                            break
+                        own, start = parts[at + n], starts[at + n]
+                        if own not in known:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            cut = trie.cut(own)
+                            known[own] = [a for a, _, _ in cut], [own[a:b] for a, b, _ in cut], [x for _, _, x in cut]
+                        places, letters, pieces = known[own]
+                        s += [start + a for a in places]
+                        m += letters
+                        piece += pieces
+                        word += [n] * len(places)
+                    at += size
+                    del s[end:], m[end:], piece[end:], word[end:]
+                    rest = end - len(s) if padded else 0
+                    s += [0] * (rest + 1)
+                    m += [""] * (rest + 1)
+                    piece += [LAST, *[PADDING] * rest]
+                    word += [None] * (rest + 1)
+                    offsets.append(len(s))
+                fields = [pa.array(values, f.type) for values, f in zip((s, m, piece, word), kind.value_type, strict=True)]
+                listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)), type=kind)
+                yield pa.RecordBatch.from_arrays([*kept, listed], names=[*batch.schema.names[:-1], into])
 
     return docs.select("*", tokens.alias("_words")).mapInArrow(run, schema)

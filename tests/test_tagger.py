@@ -104,3 +104,16 @@ def test_tagger_of_odd_rows(spark):
     assert log.count() == 2 and {len(r.spans) for r in tagger.detector(model)(docs, "text", "spans").where("coalesce(text, '') = ''").collect()} == {0}
     none, empty = tagger.fit(docs.where("false"), docs, epochs=2)
     assert empty.isEmpty() and none(["Ida"]) == [[]]
+
+
+def test_many_texts_at_once():
+    """Texts tagged together get the tags that each gets by itself."""
+    pick = np.random.default_rng(3)
+    sizes = np.array([0, 3, 1, 7, 0, 7, 2, 5])
+    logits = pick.integers(-3, 4, (sizes.sum(), len(tagger.TAGS))).astype(float)  # whole numbers: ties
+    one = [tagger.viterbi(x) for x in np.split(logits, np.cumsum(sizes)[:-1]) if len(x)]
+    assert tagger.best_tags(logits, sizes).tolist() == np.concatenate(one).tolist()
+    assert tagger.best_tags(logits[:0], np.zeros(2, int)).tolist() == []
+    model = tagger.Model(pick.normal(size=(tagger.CELLS, len(tagger.TAGS))))
+    texts = ["Dr. Gomes saw 123-45-6789", "", "x", "é𝄞 12"] * 100
+    assert model(texts) == [model([t])[0] for t in texts]

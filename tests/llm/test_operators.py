@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import statistics
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -712,6 +713,18 @@ def test_toxicity_labels_and_scripts(spark):
     assert toxicity.score(spark.createDataFrame([], EMPTY), toxicity.train(docs, labels)).isEmpty()
 
 
+def test_toxicity_counts_stay_in_tasks(spark):
+    """The driver held both tables of counts, 115 MB of each kind of copy, on a handful of rows too."""
+    docs = spark.createDataFrame([(k, ("you foul rat " if k % 2 else "a fine day ") * 9) for k in range(100)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    toxicity.fold()
+    tracemalloc.start()
+    model = toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and model.score("foul rat") > 0.5 > model.score("fine day")
+
+
 def test_toxicity_held_out(spark):
     """Some four in ten toxic labels stand on texts without any foul word, so half of them is much."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))

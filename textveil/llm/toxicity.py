@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import crc_mod
+from textveil.llm.common import crc_mod, durable
 
 SYMBOLS, ORDER, DISCOUNT = 27, 5, 0.75
 #: Bounds of the labelled sample: rows of each class, chosen by a hash of the id; of these a fifth sets the link.
@@ -66,7 +66,12 @@ def sequences(text: str) -> np.ndarray:
 
 def backoff(counts: np.ndarray) -> np.ndarray:
     """Shared probabilities of a symbol after three, from which of all sequences occur (pooled over the classes)."""
-    kinds, levels = (counts > 0).reshape(SYMBOLS, -1).sum(0, dtype=np.float64), []
+    return shared_backoff((counts > 0).reshape(SYMBOLS, -1).sum(0, dtype=np.float64))
+
+
+def shared_backoff(kinds: np.ndarray) -> np.ndarray:
+    """The same from how many symbols come before each sequence of four."""
+    levels = []
     while kinds.size >= SYMBOLS:
         levels.append(kinds)
         kinds = (kinds > 0).reshape(SYMBOLS, -1).sum(0, dtype=np.float64)
@@ -83,21 +88,26 @@ def backoff(counts: np.ndarray) -> np.ndarray:
 
 def log_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """log P(symbol | four before, toxic) - the same for ordinary, for every sequence; half precision."""
-    lower = backoff(toxic + ordinary).reshape(-1, SYMBOLS)
+    lower = backoff(toxic + ordinary)
     out = np.zeros(SYMBOLS**ORDER, dtype=np.float16)
-    slab = SYMBOLS ** (ORDER - 1)
-    for first in range(SYMBOLS):
-        logs = []
-        for counts in (toxic, ordinary):
-            table = counts[first * slab : (first + 1) * slab].reshape(-1, SYMBOLS).astype(np.float64)
-            total, successors = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mixed = (np.maximum(table - DISCOUNT, 0) + DISCOUNT * successors * lower) / total
-            logs.append(np.log(np.where(total > 0, mixed, lower)))
-        out[first * slab : (first + 1) * slab] = (logs[0] - logs[1]).reshape(-1)
+    for at in range(0, len(out), len(lower)):
+        part = slice(at, at + len(lower))
+        out[part] = slab_ratios(toxic[part], ordinary[part], lower)
     return out
 
 
+def slab_ratios(toxic: np.ndarray, ordinary: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The ratios of the sequences with one first symbol."""
+    logs, lower = [], lower.reshape(-1, SYMBOLS)
+    for counts in (toxic, ordinary):
+        table = counts.reshape(-1, SYMBOLS).astype(np.float64)
+        total, successors = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mixed = (np.maximum(table - DISCOUNT, 0) + DISCOUNT * successors * lower) / total
+        logs.append(np.log(np.where(total > 0, mixed, lower)))
+    return (logs[0] - logs[1]).reshape(-1)
+
+
 def evidence(text: str, ratios: np.ndarray) -> tuple[float, float]:
     """Mean log ratio of the whole text and of its strongest passage; zeros without letters."""
     codes = sequences(text)
@@ -133,8 +143,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
     """Fit on labelled rows (doc_id, toxic) whose crc32(doc_id) mod 5 is not 0, at most so many of each class.
 
-    The chosen ids are broadcast (bounded by the parameters); counting runs in tasks over whole texts and what comes back
-    is the two tables of counts, whatever the input. Null labels and ids are left out; of several labels of one id the
+    The chosen ids are broadcast (bounded by the parameters); counting runs in tasks over whole texts, and so do the ratios;
+    what comes back is a bit and a ratio of each sequence, whatever the input. Null labels and ids are left out; of several labels of one id the
     toxic one holds, and each row of a repeated id is counted. Without both classes every score is the prior.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 5) != 0)
@@ -156,33 +166,57 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
                     edges = np.searchsorted(code, slab * np.arange(SYMBOLS + 1))
                     used = np.flatnonzero(np.diff(edges))
                     packed = [[x[edges[k] : edges[k + 1]].tobytes() for k in used.tolist()] for x in (code.astype("<i4"), n.astype("<i4"))]
-                    yield pa.RecordBatch.from_arrays([pa.array(kind * SYMBOLS + used, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["part", "codes", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([kind] * len(used), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], ["first", "toxic", "codes", "counts"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = -1, np.zeros(0, np.int64)
+        last, held = -1, np.zeros((2, slab), np.int64)
 
         def row() -> pa.RecordBatch:
-            data = np.minimum(held, np.iinfo(np.int32).max).astype("<i4").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([data], pa.binary())], ["part", "counts"])
+            used = np.flatnonzero(held.any(0)).astype("<i4")
+            data = np.minimum(held[:, used], np.iinfo(np.int32).max).astype("<i4")
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (used, data))], ["first", "codes", "counts"])
 
         for batch in batches:
-            for part, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != last:
+            for first, toxic, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first != last:
                     if last >= 0:
                         yield row()
-                    last, held = part, np.zeros(slab, np.int64)
-                held[np.frombuffer(codes, "<i4") % slab] += np.frombuffer(counts, "<i4")
+                    last, held[:] = first, 0
+                held[toxic, np.frombuffer(codes, "<i4") % slab] += np.frombuffer(counts, "<i4")
         if last >= 0:
             yield row()
 
-    packed = sample.where("not link").select("toxic", "text").mapInArrow(count, "part int, codes binary, counts binary")
-    seen = packed.repartition("part").sortWithinPartitions("part").mapInArrow(unite, "part int, counts binary").toArrow()
-    counts = np.zeros((2 * SYMBOLS, slab), dtype=np.int32)
-    for part, data in zip(seen.column("part").to_pylist(), seen.column("counts"), strict=True):
-        counts[part] = np.frombuffer(data.as_buffer(), "<i4")
-    counts = counts.reshape(2, -1)
-    ratios = log_ratios(counts[1], counts[0])
-    del counts
+    packed = sample.where("not link").select("toxic", "text").mapInArrow(count, "first int, toxic int, codes binary, counts binary")
+    # the counts stay in tasks: the driver gets a bit for each sequence, which makes the backoff, and then the ratios
+    united = durable(packed.repartition("first").sortWithinPartitions("first").mapInArrow(unite, "first int, codes binary, counts binary"), "toxicity")
+
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes in batch.column("codes").to_pylist():
+                bits = np.zeros(slab, bool)
+                bits[np.frombuffer(codes, "<i4")] = True
+                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    kinds = np.zeros(slab)
+    for bits in united.select("codes").mapInArrow(occurring, "bits binary").toArrow().column("bits"):  # a bit for each of 27^5 sequences
+        kinds += np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=slab)
+    lower = docs.sparkSession.sparkContext.broadcast(shared_backoff(kinds))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, codes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = np.zeros((2, slab), np.int32)
+                table[:, np.frombuffer(codes, "<i4")] = np.frombuffer(counts, "<i4").reshape(2, -1)
+                data = slab_ratios(table[1], table[0], lower.value).astype("<f2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([data], pa.binary())], ["first", "ratios"])
+
+    ratios = np.zeros((SYMBOLS, slab), dtype=np.float16)
+    told = united.mapInArrow(compare, "first int, ratios binary").toArrow()  # 27 rows of a megabyte, whatever the input
+    for first, data in zip(told.column("first").to_pylist(), told.column("ratios"), strict=True):
+        ratios[first] = np.frombuffer(data.as_buffer(), "<f2")
+    del told
+    lower.destroy()
+    ratios = ratios.reshape(-1)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "mean", "most"])
 
     held = sample.where("link").select("toxic", "text").mapInArrow(weigh, "toxic int, mean double, most double").toArrow()
+    shared.destroy()
     y, mean, most = (held.column(c).to_numpy().astype(float) for c in ("toxic", "mean", "most"))
     return Model(ratios, logistic(np.column_stack((np.ones(len(y)), 100 * mean, 10 * most)), y) if len(y) else np.zeros(3))
 

@@ -100,3 +100,12 @@ def greedy(text):
 @given(st.lists(st.lists(st.sampled_from(["123-45-6789", "12-3456-789", "a@b.co", "http://", "10.0.0.1", "fax ", "555-846-0932", "age 99", "3/4/24", " ", "-", "é", "1", "EMS-2019-7712"]), max_size=12).map("".join), min_size=40, max_size=40, unique=True))
 def test_claim_equals_python(spark, texts):
     assert found(spark, texts) == {t: greedy(t) for t in texts}
+
+
+def test_guards_are_narrow(spark):
+    """A dash or a stroke alone let six patterns search a text; what a pattern finds passes its guard."""
+    holds = lambda text: {p.label for p in patterns.PATTERNS if spark.createDataFrame([(text,)], "t string").selectExpr(p.guard.format(text="t")).first()[0]}
+    assert holds("pulse 12, code I10, dose 12-34-56, ratio 3/4, well-known, 95-year-old") == set()
+    every = "123-45-6789 a@b.co http://x 1.2.3.4 (555) 846-0931 MRN-12345 12-3456-789 ED-31-5508-274 NPI-123456789 SN12345-A ABC-1234 3/4/24 age 95 EMS-2019-7712"
+    assert holds(every) == {p.label for p in patterns.PATTERNS}
+    assert {"SSN", "DATE", "HEALTHPLAN"} <= holds("١٢٣-٤٥-٦٧٨٩ ٣/٤/٢٤ ١٢-٣٤٥٦-٧٨٩")

@@ -28,20 +28,24 @@ def _numbered(rows: DataFrame, found: str, spot: str) -> DataFrame:
     """rows with _tokens (label, k, n; sorted), the originals of found that have no number yet added to those there are.
 
     k: an original in lower case. Numbers of a label go on from the highest, in the order of spot, an SQL expression of an
-    item x. Originals are sorted and each run's first one counted, so that nothing is sought for each of them.
+    item x. Many originals are sorted and each run's first one counted, so that nothing is sought for each of them.
     """
+    one = f"named_struct('label', x.label, 'k', x.k, 'n', size(filter(t_, y -> y.label = x.label)) + 1)"
+    listed = f"sort_array(transform({found}, x -> named_struct('spot', {spot}, 'label', x.label, 'k', lower(x.o))))"
+    few = f"aggregate({listed}, _tokens, (t_, x) -> if(exists(t_, y -> y.label = x.label and y.k = x.k), t_, array_append(t_, {one})))"
+    many = f"if(size({found}) <= {long.FEW}, slice({found}, 1, 0), {found})"
     known = long.let(long.search("_tokens", _below("y_", "x")), "p_", "if(p_ < size(_tokens), _tokens[p_].label = x.label and _tokens[p_].k = x.k, false)")
-    rows = rows.withColumn("_sorted", F.expr(f"array_sort(transform({found}, x -> named_struct('label', x.label, 'k', lower(x.o), 'spot', {spot})))"))
+    rows = rows.withColumn("_sorted", F.expr(f"sort_array(transform({many}, x -> named_struct('label', x.label, 'k', lower(x.o), 'spot', {spot})))"))
     first = "if(i = 0, true, _sorted[i - 1].label <> x.label or _sorted[i - 1].k <> x.k)"
     rows = rows.withColumn("_sorted", F.expr(f"filter(filter(_sorted, (x, i) -> {first}), x -> not {known})"))
-    rows = rows.withColumn("_sorted", F.expr("array_sort(transform(_sorted, x -> named_struct('label', x.label, 'spot', x.spot, 'k', x.k)))"))
+    rows = rows.withColumn("_sorted", F.expr("sort_array(transform(_sorted, x -> named_struct('label', x.label, 'spot', x.spot, 'k', x.k)))"))
     # where each label begins, and how many numbers it has: a few entries
     rows = rows.withColumn("_heads", F.expr("filter(transform(_sorted, (x, i) -> named_struct('label', x.label, 'i', i)), (x, i) -> if(i = 0, true, _sorted[i - 1].label <> x.label))"))
     rows = rows.withColumn("_heads", F.expr("transform(_heads, h -> named_struct('label', h.label, 'i', h.i - size(filter(_tokens, t -> t.label = h.label))))"))
     number = "i - filter(heads_, h -> h.label = x.label)[0].i + 1"
     # named outside: a column that is used once may be worked out where it stands, here again for each element
     fresh = long.let("_heads", "heads_", f"transform(_sorted, (x, i) -> named_struct('label', x.label, 'k', x.k, 'n', {number}))")
-    return rows.withColumn("_tokens", F.expr(f"if(size(_sorted) = 0, _tokens, array_sort(concat(_tokens, {fresh})))")).drop("_sorted", "_heads")
+    return rows.withColumn("_tokens", F.expr(f"case when size({found}) = 0 then _tokens when size({found}) <= {long.FEW} then sort_array({few}) when size(_sorted) = 0 then _tokens else sort_array(concat(_tokens, {fresh})) end")).drop("_sorted", "_heads")
 
 
 def _below(a: str, b: str) -> str:
@@ -50,8 +54,10 @@ def _below(a: str, b: str) -> str:
 
 def _token() -> str:
     """SQL for an item x's [LABEL_n]."""
-    place = long.let("named_struct('label', x.label, 'k', lower(x.o))", "z_", long.search("_tokens", _below("y_", "z_")))
-    return f"concat('[', x.label, '_', _tokens[{place}].n, ']')"
+    few = "filter(_tokens, y_ -> y_.label = z_.label and y_.k = z_.k)[0].n"
+    number = f"if(size(_tokens) <= {long.FEW}, {few}, _tokens[{long.search('_tokens', _below('y_', 'z_'))}].n)"
+    named = long.let("named_struct('label', x.label, 'k', lower(x.o))", "z_", number)
+    return f"concat('[', x.label, '_', {named}, ']')"
 
 
 def _originals(found: str, text: str, chunks: str) -> str:
@@ -79,7 +85,7 @@ def selfcheck(df: DataFrame) -> DataFrame:
     Adds leaks (items, by place in the first masked text). New pseudonyms go on from the first ones, right to left.
     """
     staged = spans.with_spans(df, "masked", "_hits").withColumn("_chunks", F.expr(long.chunks("masked")))
-    staged = staged.withColumn("_known", F.expr("array_sort(array_distinct(transform(filter(items, y -> y.mapped), y -> y.m)))"))
+    staged = staged.withColumn("_known", F.expr("transform(filter(items, y -> y.mapped), y -> y.m)")).withColumn("_known", F.expr(f"if(size(_known) <= {long.FEW}, _known, sort_array(array_distinct(_known)))"))
     staged = staged.withColumn("_raw", F.expr(_originals("_hits", "masked", "_chunks")))
     staged = staged.withColumn("_raw", F.expr(f"filter(_raw, x -> not {long.within('_known', 'x.o')})"))
     staged = _numbered(staged, "_raw", "-x.s")
@@ -89,11 +95,13 @@ def selfcheck(df: DataFrame) -> DataFrame:
 
 def entries() -> Column:
     """The mapping of a row's items as an array of ordinal, masked, original: the last original wins, the first place counts."""
-    ordered = "array_sort(transform(filter(items, x -> x.mapped), (x, i) -> named_struct('m', x.m, 'i', i, 'o', x.o)))"
+    few = "transform(filter(f_, (x, i) -> not exists(slice(f_, 1, i), y -> y.m = x.m)), (x, t) -> named_struct('ordinal', t, 'masked', x.m, 'original', element_at(filter(f_, y -> y.m = x.m), -1).o))"
+    ordered = "sort_array(transform(f_, (x, i) -> named_struct('m', x.m, 'i', i, 'o', x.o)))"
     heads = "filter(transform(sorted_, (x, j) -> named_struct('m', x.m, 'i', x.i, 'j', j)), (x, j) -> if(j = 0, true, sorted_[j - 1].m <> x.m))"
     last = "sorted_[if(t + 1 < size(heads_), heads_[t + 1].j, size(sorted_)) - 1].o"
-    listed = f"array_sort(transform(heads_, (x, t) -> named_struct('i', x.i, 'm', x.m, 'o', {last})))"
-    return F.expr(long.let(ordered, "sorted_", long.let(heads, "heads_", f"transform({listed}, (x, t) -> named_struct('ordinal', t, 'masked', x.m, 'original', x.o))")))
+    listed = f"sort_array(transform(heads_, (x, t) -> named_struct('i', x.i, 'm', x.m, 'o', {last})))"
+    many = long.let(ordered, "sorted_", long.let(heads, "heads_", f"transform({listed}, (x, t) -> named_struct('ordinal', t, 'masked', x.m, 'original', x.o))"))
+    return F.expr(long.let("filter(items, x -> x.mapped)", "f_", f"if(size(f_) <= {long.FEW}, {few}, {many})"))
 
 
 def mapping(df: DataFrame, key: str) -> DataFrame:

@@ -25,10 +25,10 @@ def rehydrated(response: str = "response", entries_: str = "entries") -> Column:
     where no original looks like a pseudonym or a date written with strokes, which only addresses can; else, and for few
     entries, it goes replacement after replacement.
     """
-    ordered = "array_sort(transform({}, e -> named_struct('n', -length(e.masked), 'ordinal', e.ordinal, 'masked', e.masked, 'original', e.original)))"
+    ordered = "sort_array(transform({}, e -> named_struct('n', -length(e.masked), 'ordinal', e.ordinal, 'masked', e.masked, 'original', e.original)))"
     each = f"aggregate({{}}, {{}}, (text, e) -> replace(text, e.masked, e.original))"
     plain = each.format(ordered.format(entries_), response)
-    tokens = f"array_sort(transform(filter({entries_}, e -> e.masked like '[%'), e -> named_struct('masked', e.masked, 'original', e.original)))"
+    tokens = f"sort_array(transform(filter({entries_}, e -> e.masked like '[%'), e -> named_struct('masked', e.masked, 'original', e.original)))"
     place = long.search("known_", "y_.masked < t")
     one = long.let(place, "p_", "if(p_ < size(known_), if(known_[p_].masked = t, known_[p_].original, t), t)")
     token = quoted(TOKEN)
@@ -42,8 +42,10 @@ def rehydrated(response: str = "response", entries_: str = "entries") -> Column:
 
 def warnings(response: str = "response", entries_: str = "entries") -> Column:
     """Tokens in the response that the mapping doesn't have, in order, repeats included."""
-    known = f"array_sort(coalesce(transform({entries_}, e -> e.masked), cast(array() as array<string>)))"
-    return F.expr(long.let(known, "known_", f"filter(regexp_extract_all({response}, {quoted(TOKEN)}, 0), t -> not {long.within('known_', 't')})"))
+    known = f"coalesce(transform({entries_}, e -> e.masked), cast(array() as array<string>))"
+    known = f"if(coalesce(size({entries_}), 0) <= {long.FEW}, {known}, sort_array({known}))"
+    unknown = long.let(known, "known_", f"filter(found_, t -> not {long.within('known_', 't')})")
+    return F.expr(long.let(f"regexp_extract_all({response}, {quoted(TOKEN)}, 0)", "found_", f"if(size(found_) = 0, found_, {unknown})"))
 
 
 def prompt(masked: str, question: Column) -> Column:

@@ -1,8 +1,9 @@
 """Notes are dealt out in tasks of as many rows at every size."""
 
 from pyspark.sql import functions as F
+from textveil.functions.spans import SPANS
 from textveil.sources import tables
-from textveil.sources.notes import notes
+from textveil.sources.notes import gold_sql, notes, text_sql
 
 
 def test_tasks_grow_with_the_orders(spark, tmp_path):
@@ -14,3 +15,16 @@ def test_tasks_grow_with_the_orders(spark, tmp_path):
     counted = notes(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(counted) == 6 and sum(r["count"] for r in counted) == n and max(r["count"] for r in counted) < 1.1 * tables.TASK_ROWS
     assert tables.tasks(spark.range(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_values_are_made_once(spark):
+    """Texts and spans made of a note's values are those of the expressions that the SQL shares, which make a value for each use."""
+    sf, gold = "/root/testdata/sf0.001", gold_sql("array({})", "named_struct('s', {s}, 'e', {e}, 'label', {label})")
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    every = read("orders").join(read("customer"), F.expr("o_custkey = c_custkey")).join(read("nation"), F.expr("c_nationkey = n_nationkey"))
+    none = f"cast(array() as {SPANS})"
+    wanted = every.selectExpr("o_orderkey as doc_id", f"{text_sql()} as text", f"coalesce({gold}, {none}) as gold").orderBy("doc_id").collect()
+    found = notes(spark, sf).select("doc_id", "text", "gold")
+    assert found.orderBy("doc_id").collect() == wanted and len({r.doc_id % 16 for r in wanted}) == 16
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("@mail.example.org") <= 5

@@ -134,3 +134,11 @@ def test_report_aborts(spark, tmp_path):
 def test_config(spark, tmp_path):
     roundtrip.write_config(spark, str(tmp_path / "config"), epochs=8, lora=False, best_metric=0.87, lora_config=None)
     assert '"lora_config":null' in spark.read.text(str(tmp_path / "config")).first().value
+
+
+def test_timings_move_no_rows(spark):
+    """Documents' stages were brought together and sorted by document; only counts by stage move now."""
+    from textveil.plans.registry import QUERIES
+
+    plan = QUERIES["roundtrip_timings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("percentile(") == 1

@@ -75,10 +75,10 @@ def timed(docs: DataFrame, question: str, secret: str, respond: Responder = rest
     return staged.withColumn("timing", F.struct("timing.*", F.expr("timing.deidentify + timing.response + timing.rehydrate").alias("total")))
 
 
-def timings(results: DataFrame) -> DataFrame:
-    """doc_id, stage, seconds of the rows of timed()."""
+def timings(results: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more columns, stage, seconds of the rows of timed()."""
     stacked = F.expr(f"stack({len(STAGES)}, " + ", ".join(f"'{s}', timing.{s}" for s in STAGES) + ") as (stage, seconds)")
-    return results.select("doc_id", stacked)
+    return results.select("doc_id", *more, stacked)
 
 
 def warned(results: DataFrame) -> DataFrame:

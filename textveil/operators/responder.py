@@ -127,6 +127,14 @@ class Caller:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "provider"}  # columns stay on the driver
 
+    def asks(self, name: str | None) -> bool:
+        """Whether a call is made for a row with this provider."""
+        provider = self.providers.get(name)
+        return provider is not None and (bool(self._key(name, provider)) or not provider.needs_key)
+
+    def _key(self, name: str, provider: Provider) -> str | None:
+        return (os.environ.get(provider.variable) if self.keys is None else self.keys.get(name)) or None
+
     def said(self, client: Client, prompt: str, name: str | None) -> dict:
         """The answer of one call."""
         began, attempts, text, error = time.perf_counter(), 0, None, None
@@ -135,7 +143,7 @@ class Caller:
                 provider = self.providers.get(name)
                 if provider is None:
                     raise Refused("unknown provider")
-                key = (os.environ.get(provider.variable) if self.keys is None else self.keys.get(name)) or None
+                key = self._key(name, provider)
                 if key is None and provider.needs_key:
                     raise Refused("no key")
                 path, headers, body = request(provider, prompt, key, self.longest)
@@ -162,7 +170,10 @@ class Caller:
             with ThreadPoolExecutor(self.at_once) as pool:
                 for batch in batches:
                     *kept, prompts, names = batch.columns
-                    told = list(pool.map(lambda x: self.said(client, x[0] or "", x[1]), zip(prompts.to_pylist(), names.to_pylist(), strict=True)))
+                    rows_ = list(zip(prompts.to_pylist(), names.to_pylist(), strict=True))
+                    # a thread only for those that ask someone, but for the others none
+                    answers = pool.map(lambda x: self.said(client, x[0] or "", x[1]), [x for x in rows_ if self.asks(x[1])])
+                    told = [next(answers) if self.asks(name) else self.said(client, text or "", name) for text, name in rows_]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(told, kind)], names=[*batch.schema.names[:-2], into])
 
         asked = rows.select("*", prompt.alias("_prompt"), self.provider.cast("string").alias("_provider"))

@@ -28,3 +28,13 @@ def test_values_are_made_once(spark):
     assert found.orderBy("doc_id").collect() == wanted and len({r.doc_id % 16 for r in wanted}) == 16
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("@mail.example.org") <= 5
+
+
+def test_batches_are_named_before_their_texts_are_made(spark):
+    """Whole texts were moved to the ranges in which a batch is numbered, and masked and restored in these."""
+    from textveil.plans.registry import QUERIES
+
+    plan = QUERIES["roundtrip_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan[plan.index("Window") :]  # bounds of ranges were looked through row by row
+    window, made, dealt = (plan.index(part) for part in ("Window", "Seen by ", "RepartitionByExpression"))
+    assert made < dealt < window  # the plan is listed from its last step to its first one

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textveil.functions import spans
@@ -34,6 +34,14 @@ def gold(spark: SparkSession) -> DataFrame:
     return docs.select("doc_id", "source", "text", spans.locate("text", "wanted").alias("entities"))
 
 
+def _below(key: str, cuts: list, before: int = 0) -> Column:
+    """How many of some sorted values are below a column's, by halves: an array of them would be looked through for each row."""
+    if not cuts:
+        return F.lit(before)
+    half = len(cuts) // 2
+    return F.when(F.col(key) > F.lit(cuts[half]), _below(key, cuts[half + 1 :], before + half + 1)).otherwise(_below(key, cuts[:half], before))
+
+
 def placed(docs: DataFrame, key: str = "doc_id", ranges: int = 200) -> DataFrame:
     """docs with place, each row's number from 0 in the order of key (unique; null first), without one task for all rows.
 
@@ -41,8 +49,7 @@ def placed(docs: DataFrame, key: str = "doc_id", ranges: int = 200) -> DataFrame
     its range behind the counts of those before. Only the ranges' bounds and counts reach the driver.
     """
     cuts = docs.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)]).alias("cuts")).first().cuts or []
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-    dealt = docs.withColumn("_range", F.size(F.filter(bounds, lambda c: c < F.col(key))) if cuts else F.lit(0))
+    dealt = docs.withColumn("_range", _below(key, sorted(set(cuts))))
     dealt = dealt.withColumn("_range", F.when(F.isnull(key), -1).otherwise(F.col("_range")))
     before, total = {}, 0
     for number, count in sorted(map(tuple, dealt.groupBy("_range").count().collect())):  # a row for each range

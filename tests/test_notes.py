@@ -17,6 +17,11 @@ def test_tasks_grow_with_the_orders(spark, tmp_path):
     assert tables.tasks(spark.range(0)) == spark.sparkContext.defaultParallelism
 
 
+def test_small_tables_have_tasks_of_the_same_rows(spark):
+    """Up to 50,000 rows were one task, so that the longest one grew with the table until there were more tasks than cores."""
+    assert all(n / tables.tasks(spark.range(n)) <= 10_000 for n in (60_000, 150_000, 900_000))
+
+
 def test_values_are_made_once(spark):
     """Texts and spans made of a note's values are those of the expressions that the SQL shares, which make a value for each use."""
     sf, gold = "/root/testdata/sf0.001", gold_sql("array({})", "named_struct('s', {s}, 'e', {e}, 'label', {label})")

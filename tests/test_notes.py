@@ -43,3 +43,13 @@ def test_batches_are_named_before_their_texts_are_made(spark):
     assert "lambdafunction" not in plan[plan.index("Window") :]  # bounds of ranges were looked through row by row
     window, made, dealt = (plan.index(part) for part in ("Window", "Seen by ", "RepartitionByExpression"))
     assert made < dealt < window  # the plan is listed from its last step to its first one
+
+
+def test_items_are_made_once(spark):
+    """Each identifier was made into a struct twice before its date was moved, and a lone one was sorted and counted."""
+    from textveil.operators import masking
+
+    docs = spark.createDataFrame([(1, "a 1/2/2024, b@x.org", [(2, 10, "DATE"), (12, 19, "EMAIL")]), (2, "B@x.org", [(0, 7, "EMAIL")]), (3, "", [])], f"doc_id long, text string, spans {SPANS}")
+    done = masking.mask(docs.withColumn("shift", F.lit(1)))
+    assert [(r.masked, [tuple(t) for t in r._tokens]) for r in done.orderBy("doc_id").collect()] == [("a 01/03/2024, [EMAIL_1]", [("EMAIL", "b@x.org", 1)]), ("[EMAIL_1]", [("EMAIL", "b@x.org", 1)]), ("", [])]
+    assert "transform(transform(" not in done.select("masked")._jdf.queryExecution().optimizedPlan().toString()

@@ -33,6 +33,7 @@ def _numbered(rows: DataFrame, found: str, spot: str) -> DataFrame:
     one = f"named_struct('label', x.label, 'k', x.k, 'n', size(filter(t_, y -> y.label = x.label)) + 1)"
     listed = f"sort_array(transform({found}, x -> named_struct('spot', {spot}, 'label', x.label, 'k', lower(x.o))))"
     few = f"aggregate({listed}, _tokens, (t_, x) -> if(exists(t_, y -> y.label = x.label and y.k = x.k), t_, array_append(t_, {one})))"
+    lone = f"array(named_struct('label', {found}[0].label, 'k', lower({found}[0].o), 'n', 1))"
     many = f"if(size({found}) <= {long.FEW}, slice({found}, 1, 0), {found})"
     known = long.let(long.search("_tokens", _below("y_", "x")), "p_", "if(p_ < size(_tokens), _tokens[p_].label = x.label and _tokens[p_].k = x.k, false)")
     rows = rows.withColumn("_sorted", F.expr(f"sort_array(transform({many}, x -> named_struct('label', x.label, 'k', lower(x.o), 'spot', {spot})))"))
@@ -45,7 +46,7 @@ def _numbered(rows: DataFrame, found: str, spot: str) -> DataFrame:
     number = "i - filter(heads_, h -> h.label = x.label)[0].i + 1"
     # named outside: a column that is used once may be worked out where it stands, here again for each element
     fresh = long.let("_heads", "heads_", f"transform(_sorted, (x, i) -> named_struct('label', x.label, 'k', x.k, 'n', {number}))")
-    return rows.withColumn("_tokens", F.expr(f"case when size({found}) = 0 then _tokens when size({found}) <= {long.FEW} then sort_array({few}) when size(_sorted) = 0 then _tokens else sort_array(concat(_tokens, {fresh})) end")).drop("_sorted", "_heads")
+    return rows.withColumn("_tokens", F.expr(f"case when size({found}) = 0 then _tokens when size({found}) = 1 and size(_tokens) = 0 then {lone} when size({found}) <= {long.FEW} then sort_array({few}) when size(_sorted) = 0 then _tokens else sort_array(concat(_tokens, {fresh})) end")).drop("_sorted", "_heads")
 
 
 def _below(a: str, b: str) -> str:
@@ -54,10 +55,9 @@ def _below(a: str, b: str) -> str:
 
 def _token() -> str:
     """SQL for an item x's [LABEL_n]."""
-    few = "filter(_tokens, y_ -> y_.label = z_.label and y_.k = z_.k)[0].n"
-    number = f"if(size(_tokens) <= {long.FEW}, {few}, _tokens[{long.search('_tokens', _below('y_', 'z_'))}].n)"
-    named = long.let("named_struct('label', x.label, 'k', lower(x.o))", "z_", number)
-    return f"concat('[', x.label, '_', {named}, ']')"
+    few = "filter(_tokens, y_ -> y_.label = x.label and y_.k = lower(x.o))[0].n"
+    many = long.let("named_struct('label', x.label, 'k', lower(x.o))", "z_", f"_tokens[{long.search('_tokens', _below('y_', 'z_'))}].n")
+    return f"concat('[', x.label, '_', case when size(_tokens) = 1 then _tokens[0].n when size(_tokens) <= {long.FEW} then {few} else {many} end, ']')"
 
 
 def _originals(found: str, text: str, chunks: str) -> str:
@@ -70,13 +70,14 @@ def mask(df: DataFrame, text: str = "text", found: str = "spans", shift: str = "
     Ages become `90+` and are not mapped; dates move by shift days; all else, unreadable dates too, gets a pseudonym
     [LABEL_n]: n counts the label's distinct originals (in lower case) up to this one.
     """
-    staged = df.withColumn("_chunks", F.expr(long.chunks(text))).withColumn("_raw", F.expr(_originals(found, text, "_chunks")))
-    fixed = f"case when x.label = 'AGE' then '90+' when x.label = 'DATE' then {dates.shifted('x.o', shift)} end"
-    staged = staged.withColumn("_fixed", F.expr(f"transform(_raw, x -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', x.o, 'f', {fixed}))"))
+    staged = df.withColumn("_chunks", F.expr(long.chunks(text))).withColumn("_o", F.expr(f"transform({found}, x -> {long.cut(text, '_chunks', 'x.s', '(x.e - x.s)')})"))
+    # a struct for each item is most of what a note costs here, so there is one only where it is needed
+    fixed = f"case when x.label = 'AGE' then '90+' when x.label = 'DATE' then {dates.shifted('_o[i]', shift)} end"
+    staged = staged.withColumn("_fixed", F.expr(f"transform({found}, (x, i) -> named_struct('s', x.s, 'e', x.e, 'label', x.label, 'o', _o[i], 'f', {fixed}))"))
     staged = staged.withColumn("_tokens", F.expr(f"cast(array() as {TOKENS})")).withColumn("_raw", F.expr("filter(_fixed, x -> x.f is null)"))
     staged = _numbered(staged, "_raw", "x.s")
     staged = staged.withColumn("items", F.expr("transform(_fixed, x -> " + _ITEM.format(f"if(x.f is not null, x.f, {_token()})", "x.label <> 'AGE'") + ")"))
-    return staged.withColumn("masked", F.expr(_spliced(text, "items", "_chunks"))).drop("_raw", "_fixed", "_chunks")
+    return staged.withColumn("masked", F.expr(_spliced(text, "items", "_chunks"))).drop("_raw", "_o", "_fixed", "_chunks")
 
 
 def selfcheck(df: DataFrame) -> DataFrame:
